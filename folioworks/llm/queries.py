@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks.llm.lookalikes import look_classes, look_pairs
 from folioworks.llm.mixing import mix_sources
 from folioworks.llm.packing import fill_report, pack_items
+from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
 from folioworks.session import table
 
 
@@ -17,6 +18,28 @@ def capacity_of(spark: SparkSession, d: str, profile: str = "standard") -> int:
     return int(table(spark, d, "pack_profile").where(F.col("profile") == profile).select("capacity_tokens").first()[0])
 
 
+def _tracks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    roster = Roster(table(spark, d, "speaker_roster"))
+    return {
+        "audio_segment": segment_rows(table(spark, d, "audio_segment"), roster),
+        "grounding_anchor": anchor_rows(table(spark, d, "grounding_anchor"), roster),
+    }
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = [
+        speaker_turns(rows).select(F.lit(track).alias("track"), "recording", "start_ms", "speaker").distinct()
+        for track, rows in _tracks(spark, d).items()
+    ]
+    return found[0].unionByName(found[1])
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The clean words of every turn."""
+    found = [turn_texts(rows).withColumn("track", F.lit(track)) for track, rows in _tracks(spark, d).items()]
+    return found[0].unionByName(found[1])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     packed = pack_items(table(spark, d, "documents"), capacity_of(spark, d))
     return packed.where("pieces > 1 and piece = 0").select("doc_id").distinct()
@@ -46,4 +69,4 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p4_found, p4_texts, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
