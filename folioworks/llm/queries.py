@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks.llm.lookalikes import look_classes, look_pairs
 from folioworks.llm.mixing import mix_sources
 from folioworks.llm.packing import fill_report, pack_items
+from folioworks.llm.splitting import split_documents
 from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
 from folioworks.session import table
 
@@ -18,6 +19,16 @@ def capacity_of(spark: SparkSession, d: str, profile: str = "standard") -> int:
     return int(table(spark, d, "pack_profile").where(F.col("profile") == profile).select("capacity_tokens").first()[0])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_documents(table(spark, d, "source_context"), table(spark, d, "split_profile"), with_text=False)
+    return pieces.where("pieces > 1 and piece = 0").select("profile", "doc_id")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces with their texts."""
+    return split_documents(table(spark, d, "source_context"), table(spark, d, "split_profile"))
+
+
 def _tracks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     roster = Roster(table(spark, d, "speaker_roster"))
     return {
@@ -69,4 +80,4 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_texts, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_texts, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
