@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks.llm.lookalikes import look_classes, look_pairs
 from folioworks.llm.mixing import mix_sources
 from folioworks.llm.packing import fill_report, pack_items
+from folioworks.llm.personal import find_personal, fit_model
 from folioworks.llm.splitting import split_documents
 from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
 from folioworks.session import table
@@ -51,6 +52,28 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+#: The columns searched for personal information: (table, text column).
+PERSONAL = (("grounding_anchor", "extracted_verbatim"), ("final_deliverable", "final_content"), ("sensitive_flag", "match"))
+
+
+def _personal(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    model = fit_model([(table(spark, d, t), "row_id", c) for t, c in PERSONAL], table(spark, d, "staff_roster"))
+    out = None
+    for t, c in PERSONAL:
+        one = find_personal(table(spark, d, t), "row_id", c, model, with_text).withColumn("field", F.lit(f"{t}.{c}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, False).select("field", "row_id", "pii_type", "match_start")
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders."""
+    return _personal(spark, d, True).select("field", "row_id", "redacted")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     packed = pack_items(table(spark, d, "documents"), capacity_of(spark, d))
     return packed.where("pieces > 1 and piece = 0").select("doc_id").distinct()
@@ -80,4 +103,4 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_texts, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_texts, p5_found, p5_redacted, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
