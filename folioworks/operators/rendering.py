@@ -22,7 +22,7 @@ def cat(*parts: Column | str) -> Column:
 
 def doc(*rows: Column | str | None) -> Column:
     """Rows joined by line feeds; null rows are left out, so conditional rows are ``F.when(...)`` without an otherwise."""
-    return F.concat_ws(NL, *[_s(r) for r in rows])
+    return F.concat_ws(NL, *[_s(r) for r in rows if r is not None])
 
 
 def block(items: Column, row: Callable) -> Column:
@@ -292,14 +292,17 @@ def scene_section(scene: Column) -> Column:
 
 
 def source_summary(text: Column, files: Column, links: Column) -> Column:
-    """``N chars · k file(s) · m link(s)``; parts that are zero are left out."""
-    plural = lambda n, w: F.when(n > 0, cat(n.cast("string"), f" {w}", F.when(n == 1, "").otherwise("s")))
+    """``N chars of text · k file(s) · m link(s)``; parts that are zero are left out."""
     n = F.length(text)
-    return F.concat_ws(" · ", F.when(n > 0, cat(n.cast("string"), " chars")), plural(files, "file"), plural(links, "link"))
+    parts = F.concat_ws(
+        " · ", F.when(n > 0, cat(F.format_number(n, 0), " chars of text")), F.when(files > 0, cat(files.cast("string"), " file(s)")),
+        F.when(links > 0, cat(links.cast("string"), " link(s)")),
+    )
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit("empty source"))
 
 
 def link_label(url: Column) -> Column:
-    """Host and path of a URL; the URL itself if it isn't one."""
+    """Host and path of a URL, ``/`` for an empty path; the text itself if it isn't a URL."""
     host = F.try_parse_url(url, F.lit("HOST"))
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.when(host.isNotNull(), cat(host, F.when(path == "/", "").otherwise(path))).otherwise(url)
+    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    return F.when(host.isNotNull(), cat(host, path)).otherwise(url)

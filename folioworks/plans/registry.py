@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.plans import grounding_queries, text_queries
+from folioworks.plans import grounding_queries, record_queries, scene_queries, text_queries
 
-_MODULES = (grounding_queries, text_queries)
+_MODULES = (grounding_queries, text_queries, scene_queries, record_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
