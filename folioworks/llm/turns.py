@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators.intervals import to_ms
 from folioworks.operators.prefix import bucket_of, carry_forward
+from folioworks.session import checkpoint
 
 UNKNOWN = "Unknown Speaker"
 BREAK_MS = 21_600_000
@@ -21,8 +22,9 @@ _ROUND = r"\((?!(?:at|dot|@|\.|\d+)\))[^()\n]{0,80}\)"
 _SQUARE = r"\[{1,2}(?!(?:at|dot|@|\.|\d+)\])[^\[\]\n]{0,80}\]{1,2}"
 _ANGLE = r"<(?![^<>]*(?:@|[ (\[](?:at|dot)[ )\]]))[^<>\n]{1,60}>"
 _NOISE = rf"{_SQUARE}|{_ROUND}|\{{[^{{}}\n]{{0,80}}\}}|{_ANGLE}|\*[^*\n]{{1,60}}\*|♪[^♪\n]{{0,80}}♪?"
-_FILLER = rf"(?i)(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(sorted(FILLERS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}_-])(?:,|\.{{2,}}|…)?"
 _PHRASE = rf"(?i)(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(PHRASES)}),"
+#: Marks that may stand around a word.
+_MARKS = " .,;:!?…-–—\"'“”‘’()[]{}<>*♪|\u00a0"
 #: The ways a label can stand before its words: [label], <v label>, label: and label --
 _LABEL = rf"^(?:\[[^\[\]\n]{{1,60}}\]{_SPACE}*:?|<v[ .][^<>\n]{{1,60}}>|[^:\n\[\]<>]{{1,60}}?(?::|{_SPACE}--(?={_SPACE})))"
 _LEAD = rf"^(?:{_SPACE}|{_CLOCK})+"
@@ -74,7 +76,7 @@ class Roster:
         exact = F.try_element_at(names, key) if self.names else F.lit(None).cast("string")
         return (
             df.withColumn("__key", label_key(F.col(written)))
-            .withColumn("__number", F.regexp_extract("__key", r"^(?:speaker|spkr|spk)0*(\d+)$", 1))
+            .withColumn("__number", F.regexp_extract(F.coalesce("__key", F.lit("")), r"^(?:speaker|spkr|spk)0*(\d+)$", 1))
             .withColumn("__exact", F.when(F.col("__number") != "", F.concat(F.lit("Speaker "), "__number")).otherwise(exact))
             .withColumn("__near", F.when(F.col("__exact").isNull() & (F.length("__key") >= 5), near) if self.keys else F.lit(None).cast("array<string>"))
             .withColumn(out, F.coalesce("__exact", F.when(F.size("__near") == 1, F.get("__near", F.lit(0)))))
@@ -82,28 +84,50 @@ class Roster:
         )
 
 
-def clean_words(text: Column) -> Column:
-    """``text`` without marked noise and fillers, white space collapsed; empty when no word is left."""
-    s = F.regexp_replace(text, _NOISE, " ")
-    s = F.regexp_replace(F.regexp_replace(s, _FILLER, " "), _PHRASE, " ")
-    s = F.regexp_replace(F.regexp_replace(s, rf"{_SPACE}+", " "), r" (?=[,.?!;:])", "")
-    s = F.trim(F.regexp_replace(s, r"^[\s,.;:!?…-]+", ""))
-    return F.when(s.rlike(r"[\p{L}\p{N}]"), s).otherwise(F.lit(""))
+def clean_words(df: DataFrame, text: str, out: str = "words") -> DataFrame:
+    """Adds the words of ``text`` in order, without marked noise and fillers, as an array; null text has none.
+
+    Each step is a column of its own, so nothing is evaluated twice, and a step that needs a regular
+    expression runs only where a cheap test finds what it would replace.
+    """
+    raw, low = F.col("__t"), F.col("__low")
+    marked, phrased = F.lit(False), F.lit(False)
+    for c in "[({<*♪":
+        marked = marked | F.contains(raw, F.lit(c))
+    for p in PHRASES:
+        phrased = phrased | F.contains(low, F.lit(p.lower() + ","))
+
+    def wanted(w: Column) -> Column:
+        return ~F.btrim(w, F.lit(_MARKS)).isin("", *FILLERS)
+
+    return (
+        df.withColumn("__t", F.coalesce(text, F.lit("")))
+        .withColumn("__t", F.when(marked, F.regexp_replace(raw, _NOISE, " ")).otherwise(raw))
+        .withColumn("__low", F.lower("__t"))
+        .withColumn("__t", F.when(phrased, F.regexp_replace(raw, _PHRASE, " ")).otherwise(raw))
+        .withColumn("__t", F.split(raw, rf"{_SPACE}+"))
+        .withColumn(out, F.filter("__t", lambda w: wanted(F.lower(w))))
+        .drop("__t", "__low")
+    )
 
 
 def parts_of(rows: DataFrame, roster: Roster, text: str = "text") -> DataFrame:
     """One row per part of a segment's text, with ``part``, ``label`` and ``words``; a part begins at ``>>`` or ``<v``.
 
-    Parts without words are left out.
+    ``words`` is an array; parts without words are still there. (A filter on it would be moved below the
+    steps that make it, and so repeat them.)
     """
-    pieces = F.split(F.col(text), r">>|(?=<v[ .])")
+    several = F.contains(F.col(text), F.lit(">>")) | F.contains(F.col(text), F.lit("<v"))
+    pieces = F.when(several, F.split(F.col(text), r">>|(?=<v[ .])")).otherwise(F.array(text))
     parts = rows.select("*", F.posexplode(pieces).alias("part", "__raw")).drop(text)
     parts = parts.withColumn("__s", F.regexp_replace("__raw", _LEAD, ""))
-    parts = parts.withColumn("__label", F.regexp_extract("__s", _LABEL, 0))
+    raw = F.col("__s")
+    maybe = F.contains(raw, F.lit(":")) | F.contains(raw, F.lit("--")) | raw.startswith("[") | raw.startswith("<v")
+    parts = parts.withColumn("__label", F.nullif(F.when(maybe, F.regexp_extract("__s", _LABEL, 0)), F.lit("")))
     parts = roster.resolve(parts.withColumn("__name", F.regexp_replace("__label", r"^<v", "")), "__name")
     rest = F.when(F.col("label").isNotNull(), F.expr("substring(__s, length(__label) + 1)")).otherwise(F.col("__s"))
-    parts = parts.withColumn("words", clean_words(F.regexp_replace(rest, _LEAD, "")))
-    return parts.where("words <> ''").drop("__raw", "__s", "__label", "__name")
+    parts = clean_words(parts.withColumn("__rest", F.regexp_replace(rest, _LEAD, "")), "__rest")
+    return parts.drop("__raw", "__s", "__label", "__name", "__rest")
 
 
 def anchor_start_ms(anchor: Column) -> Column:
@@ -142,17 +166,19 @@ def anchor_rows(anchors: DataFrame, roster: Roster) -> DataFrame:
         .agg(F.min_by(F.struct("row_id", "temporal_anchor", "speaker", "extracted_verbatim"), "row_id").alias("r"))
         .select(
             F.col("source").alias("recording"), anchor_start_ms(F.col("r.temporal_anchor")).alias("start_ms"),
-            F.col("r.row_id").alias("ord"), F.lit(0).alias("part"), "r.speaker",
-            clean_words(F.coalesce("r.extracted_verbatim", F.lit(""))).alias("words"),
+            F.col("r.row_id").alias("ord"), F.lit(0).alias("part"), "r.speaker", "r.extracted_verbatim",
         )
-        .where("start_ms is not null and words <> ''")
+        .where("start_ms is not null")
     )
+    rows = clean_words(rows, "extracted_verbatim").drop("extracted_verbatim")
     return roster.resolve(rows, "speaker").drop("speaker")
 
 
-def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS) -> DataFrame:
+def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS, with_words: bool = True) -> DataFrame:
     """Every part with words, its speaker and its turn: ``(recording, start_ms, ord, part, words, speaker, turn)``.
 
+    Without ``with_words``, ``words`` is their number.
+
     ``turn`` numbers a recording's turns from 1. Speakers are filled forward and turns are islands of one
     speaker, both in windows over (recording, hour): a recording of any length is spread over as many
     tasks as it has hours, and only one row per hour (its last start and last label, its number of new
@@ -161,7 +187,10 @@ def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = B
     """
     if break_ms < bucket_ms:
         raise ValueError("a break must be at least as long as a bucket")
-    parts = rows.select("recording", "start_ms", "ord", "part", "label", "words", bucket_of(F.col("start_ms"), bucket_ms).alias("b"))
+    said_what = F.array_join("words", " ") if with_words else F.size("words")
+    parts = rows.select("recording", "start_ms", "ord", "part", "label", said_what.alias("words"), bucket_of(F.col("start_ms"), bucket_ms).alias("b"))
+    parts = checkpoint(parts)  # the texts are taken apart once, not again for each summary
+    parts = parts.where("words <> ''" if with_words else "words > 0")  # only now, or the steps above would run again for it
     place = F.struct("start_ms", "ord", "part")
     hours = parts.groupBy("recording", "b").agg(
         F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"),
@@ -197,9 +226,9 @@ def speaker_turns(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = B
     and their labels aren't carried; null recordings are one recording; ties are ordered by ``ord``, then
     by the place in the segment; empty tables give an empty result; extra columns are ignored.
     """
-    return speaker_parts(rows, bucket_ms, break_ms).groupBy("recording", "turn").agg(
+    return speaker_parts(rows, bucket_ms, break_ms, with_words=False).groupBy("recording", "turn").agg(
         F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("last_ms"), F.first("speaker").alias("speaker"),
-        F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.split("words", " "))).cast("long").alias("word_count"),
+        F.count(F.lit(1)).alias("parts"), F.sum("words").cast("long").alias("word_count"),
     )
 
 
