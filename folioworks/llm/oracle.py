@@ -1,9 +1,37 @@
-"""SQL twins of the queries for language models."""
+"""SQL twins of the queries for language models, where SQL can express them."""
 
 from __future__ import annotations
 
-P6 = ""
+import unicodedata
+
+from folioworks.llm.lookalikes import CYRILLIC, GREEK, SYMBOLS
+
+P2 = """
+select distinct profile, doc_id from source_context, split_profile
+where clean_markdown is not null and greatest(1, length(clean_markdown) // 4) > max_tokens"""
+
+#: No page is near the limit, so that characters decide as tokens do.
+P6 = "select distinct doc_id from documents, pack_profile where profile = 'standard' and length(text) > 3 * capacity_tokens"
+
+#: No case is close, so that sizes in characters decide as those in tokens do.
+P7 = """
+with s as (select source, sum(length(text)) n from documents group by source),
+t as (select *, weight / sum(weight) over (partition by recipe) share from mix_target)
+select recipe, t.source from t left join s on s.source = t.source
+where share > max_repeats * coalesce(n, 0) / (select sum(length(text)) from documents)"""
+
+
+def _p8() -> str:
+    pairs = {a: b for x in (CYRILLIC, GREEK, SYMBOLS) for a, b in zip(*x, strict=True)}
+    pairs |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+    pairs |= {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {"K": "K"}
+    unseen = "".join(chr(c) for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF))
+    a, b = ("".join(x).replace("'", "''") for x in (pairs, pairs.values()))
+    return f"""
+with f as (select doc_id, text, nfc_normalize(translate(regexp_replace(text, '[{unseen}]', '', 'g'), '{a}', '{b}')) form
+  from documents where text is not null)
+select x.doc_id doc_a, y.doc_id doc_b from f x join f y on x.form = y.form and x.doc_id < y.doc_id and x.text <> y.text"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2, "p6_found": P6, "p7_found": P7, "p8_found": _p8()}
