@@ -68,7 +68,7 @@ def chunk_documents(df: DataFrame, keys: list[str], text: str, max_tokens: int =
     return df.select(*keys, F.inline(chunks(F.col(text), max_tokens)))
 
 
-def grounding_header(meta: dict[str, Column], iocs: Column, threat: Column, tables: Column) -> Column:
+def grounding_header(meta: dict[str, Column], iocs: dict[str, Column], threat: dict[str, Column], tables: Column) -> Column:
     """The header of a prompt: what was extracted from a document, line by line.
 
     ``meta`` has ``file_name``, ``file_type``, ``sha256``, ``word_count`` and ``estimated_tokens``.

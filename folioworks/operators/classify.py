@@ -132,18 +132,14 @@ def hits(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def mentions_of(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur, in any case, anywhere."""
-    low = F.lower(text)
-    out = F.lit(0)
-    for w in words:
-        out = out + F.contains(low, F.lit(w)).cast("int")
-    return out
+    return F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)(" + "|".join(words) + ")"), F.lit(1)), F.lower)))
 
 
 def visual_type(text: Column, brightness: Column, boxes: Column) -> Column:
     """TERMINAL, DIAGRAM, SLIDE or OTHER, the first whose rule holds, from a frame's text and two image features."""
     words = word_count(text)
     terminal = hits(text, TERMINAL)
-    dark = (brightness < 110) & ((terminal >= 1) | F.lower(text).contains("powershell") | F.lower(text).contains("root@") | text.contains("$ "))
+    dark = (brightness < 110) & ((terminal >= 1) | text.rlike("(?i)powershell|root@") | text.contains("$ "))
     bullets = F.exists(lines(text), lambda x: strip(x).rlike(r"^(?:[-*•]|[123]\.)"))
     return (
         F.when(dark | (terminal >= 2) & (words > 5), "TERMINAL")

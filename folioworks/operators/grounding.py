@@ -42,7 +42,7 @@ def first_or(c: Column, default: str) -> Column:
     return F.coalesce(F.get(c, F.lit(0)), F.lit(default))
 
 
-def key_indicators(iocs: Column) -> Column:
+def key_indicators(iocs: dict[str, Column]) -> Column:
     """A few of each kind: five addresses, three hashes, five domains."""
     return F.concat(F.slice(iocs["ipv4_addresses"], 1, 5), F.slice(iocs["sha256_hashes"], 1, 3), F.slice(iocs["domains"], 1, 5))
 
@@ -62,7 +62,7 @@ def locked_facts(text: Column, words: Column, lines: Column, cvss: Column) -> Co
     return F.when(F.size(cvss) > 0, F.array_append(facts, score)).otherwise(facts)
 
 
-def heuristic_grounding(name: Column, text: Column, words: Column, lines: Column, iocs: Column, threat: Column) -> Column:
+def heuristic_grounding(name: Column, text: Column, words: Column, lines: Column, iocs: dict[str, Column], threat: dict[str, Column]) -> Column:
     """A grounding context made from what was extracted alone, as one struct."""
     actor = first_or(threat["threat_actors"], "Unidentified Threat Actor")
     severity = first_or(threat["severity_keywords"], "HIGH")
@@ -160,10 +160,10 @@ def anchor_label(anchor: Column, verbatim: Column, limit: int = 100) -> Column:
     return F.concat(F.lit("["), anchor, F.lit("] "), F.left(verbatim, F.lit(limit)))
 
 
-def indicator_citations(df: DataFrame, keys: list[str], iocs: str = "iocs") -> DataFrame:
+def indicator_citations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Citation rows ``(<keys>, id, kind, label)`` of the CVEs and addresses of a document."""
     row = lambda prefix: lambda v: F.struct(F.concat(F.lit(prefix), v).alias("id"), F.lit("file").alias("kind"), v.alias("label"))
-    each = F.concat(F.transform(F.col(f"{iocs}.cves"), row("cve-")), F.transform(F.col(f"{iocs}.ipv4_addresses"), row("ip-")))
+    each = F.concat(F.transform(F.col("cves"), row("cve-")), F.transform(F.col("ipv4_addresses"), row("ip-")))
     return df.select(*keys, F.inline(each))
 
 

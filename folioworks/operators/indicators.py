@@ -94,45 +94,61 @@ def valid_ipv6(c: Column) -> Column:
     return full | short
 
 
-def indicators(text: Column, ignored: tuple[str, ...] = IGNORED_DOMAINS) -> Column:
-    """All indicators of a text as one struct of sorted distinct arrays (``KINDS``).
+def _wanted_url(ignored: tuple[str, ...], u: Column) -> Column:
+    out = F.length(u) > 10
+    for d in ignored:
+        out = out & ~F.contains(F.lower(u), F.lit(d))
+    return out
+
+
+def _wanted_domain(ignored: tuple[str, ...], x: Column) -> Column:
+    out = ~x.endswith(".local")
+    for d in ignored:
+        out = out & (x != d) & ~x.endswith("." + d)
+    return out
+
+
+def _inside(longer: Column, h: Column) -> Column:
+    return F.exists(longer, lambda s: F.contains(s, h))
+
+
+def with_indicators(df: DataFrame, text: str, ignored: tuple[str, ...] = IGNORED_DOMAINS) -> DataFrame:
+    """``df`` with a sorted distinct array of indicators per kind (``KINDS``); columns of these names are replaced.
 
     Expressions only, in the row: nothing is shuffled or sent to Python. A SHA-1 inside a SHA-256, and an
-    MD5 inside either, are left out; URLs that mention an ignored domain and domains below one are too.
+    MD5 inside either, are left out; URLs that mention an ignored domain and domains below one are too. The
+    arrays are columns, not fields of a struct: the optimizer would write a struct's fields out again at
+    every use, and each use would search the text anew.
     """
-    sha256 = F.array_distinct(F.transform(found(text, SHA256), F.lower))
-    sha1 = F.filter(F.array_distinct(F.transform(found(text, SHA1), F.lower)), lambda h: ~F.exists(sha256, lambda s: F.contains(s, h)))
-    md5 = F.filter(
-        F.array_distinct(F.transform(found(text, MD5), F.lower)),
-        lambda h: ~F.exists(sha256, lambda s: F.contains(s, h)) & ~F.exists(sha1, lambda s: F.contains(s, h)),
+    t = F.col(text)
+    lowered = lambda p: F.array_distinct(F.transform(found(t, p), F.lower))
+    return (
+        df.withColumns({"__256": lowered(SHA256), "__1": lowered(SHA1), "__5": lowered(MD5)})
+        .withColumn("__1", F.filter("__1", lambda h: ~_inside(F.col("__256"), h)))
+        .withColumn("__5", F.filter("__5", lambda h: ~_inside(F.col("__256"), h) & ~_inside(F.col("__1"), h)))
+        .withColumns(
+            {
+                "cves": sorted_set(F.transform(found(t, CVE), F.upper)),
+                "ipv4_addresses": sorted_set(F.filter(found(t, IPV4), valid_ipv4)),
+                "ipv6_addresses": sorted_set(F.filter(found(t, IPV6), valid_ipv6)),
+                "sha256_hashes": F.array_sort("__256"),
+                "sha1_hashes": F.array_sort("__1"),
+                "md5_hashes": F.array_sort("__5"),
+                "domains": sorted_set(F.filter(F.transform(found(t, DOMAIN), lambda d: F.lower(trim_trailing(refang(d)))), partial(_wanted_domain, ignored))),
+                "urls": sorted_set(F.filter(F.transform(found(t, URL), lambda u: trim_trailing(refang(u))), partial(_wanted_url, ignored))),
+                "mitre_attack_ids": sorted_set(F.transform(found(t, ATTACK), F.upper)),
+            }
+        )
+        .drop("__256", "__1", "__5")
     )
 
-    def wanted_url(u: Column) -> Column:
-        out = F.length(u) > 10
-        for d in ignored:
-            out = out & ~F.contains(F.lower(u), F.lit(d))
-        return out
-
-    def wanted_domain(x: Column) -> Column:
-        out = ~x.endswith(".local")
-        for d in ignored:
-            out = out & (x != d) & ~x.endswith("." + d)
-        return out
-
-    return F.struct(
-        sorted_set(F.transform(found(text, CVE), F.upper)).alias("cves"),
-        sorted_set(F.filter(found(text, IPV4), valid_ipv4)).alias("ipv4_addresses"),
-        sorted_set(F.filter(found(text, IPV6), valid_ipv6)).alias("ipv6_addresses"),
-        F.array_sort(sha256).alias("sha256_hashes"),
-        F.array_sort(sha1).alias("sha1_hashes"),
-        F.array_sort(md5).alias("md5_hashes"),
-        sorted_set(F.filter(F.transform(found(text, DOMAIN), lambda d: F.lower(trim_trailing(refang(d)))), wanted_domain)).alias("domains"),
-        sorted_set(F.filter(F.transform(found(text, URL), lambda u: trim_trailing(refang(u))), wanted_url)).alias("urls"),
-        sorted_set(F.transform(found(text, ATTACK), F.upper)).alias("mitre_attack_ids"),
-    )
+
+def columns(names: tuple[str, ...]) -> dict[str, Column]:
+    """The named columns by name, as the functions over indicators and terms take them."""
+    return {n: F.col(n) for n in names}
 
 
-def total_found(iocs: Column) -> Column:
+def total_found(iocs: dict[str, Column]) -> Column:
     """The number of indicators of all kinds."""
     out = F.lit(0)
     for k in KINDS:
@@ -140,7 +156,7 @@ def total_found(iocs: Column) -> Column:
     return out
 
 
-def scene_indicators(iocs: Column) -> Column:
+def scene_indicators(iocs: dict[str, Column]) -> Column:
     """The kinds that scenes report, together, sorted and distinct."""
     return sorted_set(F.concat(iocs["cves"], iocs["ipv4_addresses"], iocs["sha256_hashes"], iocs["domains"]))
 
@@ -151,8 +167,8 @@ def _named(kind: str, v: Column) -> Column:
 
 def indicators_long(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per indicator: the keys, ``ioc_type`` and ``value``."""
-    rows = df.select(*keys, indicators(F.col(text)).alias("iocs"))
-    each = F.flatten(F.array(*[F.transform(F.col("iocs")[k], partial(_named, k)) for k in KINDS]))
+    rows = with_indicators(df.select(*keys, text), text)
+    each = F.flatten(F.array(*[F.transform(k, partial(_named, k)) for k in KINDS]))
     return rows.select(*keys, F.inline(each))
 
 
@@ -174,13 +190,23 @@ def cvss_scores(text: Column, more: Column | None = None) -> Column:
     return F.sort_array(F.array_distinct(F.filter(values, lambda x: x.isNotNull())), asc=False)
 
 
-def threat_summary(text: Column, table_scores: Column | None = None) -> Column:
-    """Actors, systems, severity words in their order, scores and dates of a text as one struct."""
-    words = F.transform(found(text, SEVERITY), F.upper)
-    return F.struct(
-        _terms(text, ACTORS).alias("threat_actors"),
-        _terms(text, SYSTEMS).alias("affected_systems"),
-        F.filter(F.array(*map(F.lit, SEVERITY_ORDER)), lambda s: F.array_contains(words, s)).alias("severity_keywords"),
-        cvss_scores(text, table_scores).alias("cvss_scores"),
-        _terms(text, TIMELINE).alias("timelines"),
+#: What ``with_terms`` adds.
+TERMS = ("threat_actors", "affected_systems", "severity_keywords", "cvss_scores", "timelines")
+
+
+def with_terms(df: DataFrame, text: str, table_scores: Column | None = None) -> DataFrame:
+    """``df`` with the actors, systems, severity words in their order, scores and dates of a text (``TERMS``)."""
+    t = F.col(text)
+    return (
+        df.withColumn("__w", F.transform(found(t, SEVERITY), F.upper))
+        .withColumns(
+            {
+                "threat_actors": _terms(t, ACTORS),
+                "affected_systems": _terms(t, SYSTEMS),
+                "severity_keywords": F.filter(F.array(*map(F.lit, SEVERITY_ORDER)), lambda s: F.array_contains(F.col("__w"), s)),
+                "cvss_scores": cvss_scores(t, table_scores),
+                "timelines": _terms(t, TIMELINE),
+            }
+        )
+        .drop("__w")
     )

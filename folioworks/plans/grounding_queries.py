@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators.intervals import coverage
 from folioworks.operators.nested import bridge, flat_table, object_store, occurrences
-from folioworks.session import checkpoint, table
+from folioworks.session import checkpoint, spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,18 +39,18 @@ select track, video_id, 'gap', before, s from ordered where before is not null a
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    links = bridge(occurrences(table(spark, d, "enriched_grounding")))
+    links = bridge(occurrences(spread(table(spark, d, "enriched_grounding"))))
     return links.where("child_id is not null").select("context_id", "array_path", "positions")
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
     """Identical objects, stored once."""
-    return object_store(occurrences(table(spark, d, "enriched_grounding")))
+    return object_store(occurrences(spread(table(spark, d, "enriched_grounding"))))
 
 
 def p3_hosts(spark: SparkSession, d: str) -> DataFrame:
     """One of the flat tables: the hosts of affected systems, each with its place and its parent's."""
-    rows = checkpoint(occurrences(table(spark, d, "enriched_grounding")))
+    rows = checkpoint(occurrences(spread(table(spark, d, "enriched_grounding"))))
     return flat_table(object_store(rows), bridge(rows), "threat_metadata.affected_systems.hosts", "host string")
 
 

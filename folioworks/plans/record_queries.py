@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
 from folioworks.operators import classify, grounding, records, rendering
-from folioworks.session import table
+from folioworks.session import spread, table
 
 
 def jobs_with_files(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ select a.k, case when m is null then 'missing' else 'size differs' end problem f
 def _payload(spark: SparkSession, d: str) -> DataFrame:
     """Deliverables taken apart: title, first paragraph, sentences and lines."""
     t = F.col("final_content")
-    rows = table(spark, d, "final_deliverable").where("final_content is not null")
+    rows = spread(table(spark, d, "final_deliverable")).where("final_content is not null")
     paragraphs = F.filter(F.transform(F.split(t, r"\n+"), T.strip), lambda x: x != "")
     points = F.transform(F.filter(paragraphs, lambda x: x.startswith("- ")), lambda x: F.substr(x, F.lit(3)))
     return rows.select("row_id", classify.output_key(F.lower("platform_key")).alias("key"), F.get(paragraphs, F.lit(0)).alias("title"), F.get(paragraphs, F.lit(1)).alias("lead"), points.alias("points"), T.sorted_set(F.regexp_extract_all(t, F.lit(r"(?i)CVE-\d{4}-\d{4,7}\b"), F.lit(0))).alias("cves"))

@@ -67,7 +67,8 @@ def scene_indicators(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "aligned_scene").groupBy("video_id", "scene_id").agg(F.max(F.array_join("scene_iocs", " ")).alias("shown"))
     rows = _aligned(spark, d).join(listed, ["video_id", "scene_id"], "left")
     both = F.concat(F.coalesce("shown", F.lit("")), F.lit(" "), "spoken_transcript")
-    return rows.select("video_id", "scene_id", F.array_join(indicators.scene_indicators(indicators.indicators(both)), "|").alias("scene_iocs"))
+    rows = indicators.with_indicators(rows.select("video_id", "scene_id", both.alias("t")), "t")
+    return rows.select("video_id", "scene_id", F.array_join(indicators.scene_indicators(indicators.columns(indicators.KINDS)), "|").alias("scene_iocs"))
 
 
 def _re(p: str) -> str:
@@ -159,8 +160,9 @@ def video_reports(spark: SparkSession, d: str) -> DataFrame:
     """One section per scene: when, what was said, what is shown and which indicators."""
     rows = _aligned(spark, d)
     kinds = table(spark, d, "aligned_scene").groupBy("video_id", "scene_id").agg(F.max("visual_type").alias("visual_type"))
-    i = indicators.scene_indicators(indicators.indicators(F.col("spoken_transcript")))
     rows = rows.join(kinds, ["video_id", "scene_id"], "left").withColumn("visual_type", F.coalesce("visual_type", F.lit("OTHER")))
+    rows = indicators.with_indicators(rows, "spoken_transcript")
+    i = indicators.scene_indicators(indicators.columns(indicators.KINDS))
     scene = F.struct("scene_id", "timestamp_display", "visual_type", "spoken_transcript", rendering.visual_content(F.col("visual_type"), F.lit("")).alias("content"), i.alias("iocs"))
     return rows.select("video_id", "scene_id", rendering.scene_section(scene).alias("section"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
 from folioworks.operators import chunking, classify, grounding, indicators, redaction, rendering, tables
-from folioworks.session import table
+from folioworks.session import spread, table
 
 KEYS = ["doc_id", "processed_at"]
 #: Threat terms that the reports lack are written below each text, the same here and in SQL.
@@ -21,7 +21,7 @@ TAIL = (
 
 def _reports(spark: SparkSession, d: str, tail: bool = True) -> DataFrame:
     """Every row of the reports; with ``tail`` the terms and hashes of the text itself are added to it."""
-    df = table(spark, d, "source_context")
+    df = spread(table(spark, d, "source_context"))
     text = F.col("clean_markdown")
     if tail:
         text = F.concat(text, F.lit(TAIL), F.col("sha256_checksum"), F.lit(" "), F.sha1(F.encode(text, "UTF-8")), F.lit(" "), F.md5(F.encode(text, "UTF-8")))
@@ -81,8 +81,9 @@ EXT_SQL = _BASE.rstrip() + "," + _IOC_LISTS + "\n" + " union all ".join(
 
 
 def ext_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reports(spark, d).select(*KEYS, indicators.indicators(F.col("t")).alias("i"))
-    return rows.select(*KEYS, indicators.total_found(F.col("i")).alias("total_iocs_found"), F.array_join(grounding.key_indicators(F.col("i")), "|").alias("key_indicators"))
+    rows = indicators.with_indicators(_reports(spark, d).select(*KEYS, "t"), "t")
+    i = indicators.columns(indicators.KINDS)
+    return rows.select(*KEYS, indicators.total_found(i).alias("total_iocs_found"), F.array_join(grounding.key_indicators(i), "|").alias("key_indicators"))
 
 
 TOTALS_SQL = _BASE.rstrip() + "," + _IOC_LISTS + "\nselect doc_id, processed_at, cast(" + " + ".join(f"len({k})" for k in indicators.KINDS) + """ as int) total_iocs_found,
@@ -111,11 +112,11 @@ ARTIFACT_SQL = _BASE + " union all ".join(
 
 
 def ext_threat(spark: SparkSession, d: str) -> DataFrame:
-    t = _reports(spark, d).withColumn("s", indicators.threat_summary(F.col("t")))
-    j = lambda c: F.array_join(c, "|")
-    return t.select(
-        *KEYS, j("s.threat_actors").alias("threat_actors"), j("s.affected_systems").alias("affected_systems"), j("s.severity_keywords").alias("severity_keywords"),
-        F.get("s.cvss_scores", F.lit(0)).alias("top_cvss"), F.size("s.cvss_scores").alias("n_cvss"), j("s.timelines").alias("timelines"),
+    rows = indicators.with_terms(_reports(spark, d).select(*KEYS, "t"), "t")
+    j = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select(
+        *KEYS, j("threat_actors"), j("affected_systems"), j("severity_keywords"), F.get("cvss_scores", F.lit(0)).alias("top_cvss"),
+        F.size("cvss_scores").alias("n_cvss"), j("timelines"),
     )
 
 
@@ -206,24 +207,29 @@ select doc_id, processed_at, cast(row_number() over (partition by doc_id, proces
 def grounding_headers(spark: SparkSession, d: str) -> DataFrame:
     """The whole text path: statistics, indicators, terms, tables and the header made of them."""
     t = F.col("t")
-    rows = _reports(spark, d).select(
-        *KEYS, "file_name", "file_type", "sha256_checksum", "t", indicators.indicators(t).alias("i"), tables.text_tables(t).alias("tb"),
-    )
-    rows = rows.withColumn("s", indicators.threat_summary(t, tables.column_scores(F.col("tb"))))
+    rows = _reports(spark, d).select(*KEYS, "file_name", "file_type", "sha256_checksum", "t", tables.text_tables(t).alias("tb"))
+    rows = indicators.with_terms(indicators.with_indicators(rows, "t"), "t", tables.column_scores(F.col("tb")))
     meta = {
         "file_name": F.col("file_name"), "file_type": F.col("file_type"), "sha256": F.col("sha256_checksum"),
         "word_count": T.word_count(t), "estimated_tokens": T.token_estimate(t),
     }
-    return rows.select(*KEYS, chunking.grounding_header(meta, F.col("i"), F.col("s"), F.col("tb")).alias("header"))
+    i, s = indicators.columns(indicators.KINDS), indicators.columns(indicators.TERMS)
+    return rows.select(*KEYS, chunking.grounding_header(meta, i, s, F.col("tb")).alias("header"))
 
 
 def groundings(spark: SparkSession, d: str) -> DataFrame:
     """The deterministic grounding context of every report, as a document."""
     t = F.col("t")
-    rows = _reports(spark, d).select(*KEYS, "file_name", "t", indicators.indicators(t).alias("i"), indicators.threat_summary(t).alias("s"))
-    g = grounding.heuristic_grounding(F.col("file_name"), t, T.word_count(t), F.size(T.lines(t)), F.col("i"), F.col("s"))
-    rows = rows.select(*KEYS, g.alias("g"))
-    return rows.select(*KEYS, "g.title", "g.executive_overview", F.array_join("g.locked_numerical_facts", "|").alias("facts"), rendering.grounding_markdown(F.col("g"), F.col("processed_at")).alias("markdown"))
+    rows = indicators.with_terms(indicators.with_indicators(_reports(spark, d).select(*KEYS, "file_name", "t"), "t"), "t")
+    i, s = indicators.columns(indicators.KINDS), indicators.columns(indicators.TERMS)
+    g = grounding.heuristic_grounding(F.col("file_name"), t, T.word_count(t), F.size(T.lines(t)), i, s)
+    # an array of one: the optimizer doesn't write the fields of its struct out again at every use
+    rows = rows.select(*KEYS, F.array(g).alias("g")).withColumn("g", F.filter("g", lambda x: F.lit(True)))
+    one = F.get("g", F.lit(0))
+    return rows.select(
+        *KEYS, one["title"].alias("title"), one["executive_overview"].alias("executive_overview"), F.array_join(one["locked_numerical_facts"], "|").alias("facts"),
+        rendering.grounding_markdown(one, F.col("processed_at")).alias("markdown"),
+    )
 
 
 def overviews(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +248,7 @@ select doc_id, processed_at, case when len(ps) > 0 then {_STRIP.format(x="regexp
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reports(spark, d).select(*KEYS, indicators.indicators(F.col("t")).alias("iocs"))
-    return grounding.indicator_citations(rows, KEYS)
+    return grounding.indicator_citations(indicators.with_indicators(_reports(spark, d).select(*KEYS, "t"), "t"), KEYS)
 
 
 CITATION_SQL = _BASE.rstrip() + "," + _IOC_LISTS + """
@@ -355,7 +360,7 @@ DETECT_SQL = "with u as (" + " union all ".join(
 
 
 def sensitive_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redaction.redact_texts(table(spark, d, "final_deliverable"), ["row_id"], "final_content").select("row_id", "redacted_text", F.size("flags").alias("n_flags"))
+    return redaction.redact_texts(spread(table(spark, d, "final_deliverable")), ["row_id"], "final_content").select("row_id", "redacted_text", F.size("flags").alias("n_flags"))
 
 
 def salvaged_answers(spark: SparkSession, d: str) -> DataFrame:

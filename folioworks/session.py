@@ -47,3 +47,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The test table ``name`` in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files make tasks for less than half of them.
+
+    A small table is often one file with one row group, which one task would read and process alone. Tables
+    with more files stay as they are, so nothing is moved at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -35,16 +35,18 @@ def test_indicators(spark):
         "CVE-2024-38077 asCVE-2019-19781 T1190 t1059.001 198.51.100.42 0.0.0.0 127.0.0.9 999.1.1.1 2001:0db8:85a3:0000:0000:8a2e:0370:7334 "
         "malicious-c2[.]net https://bad-payload.org/drop.exe. https://github.com/x docs.microsoft.com printer.local " + "a" * 64 + " " + "b" * 40 + " " + "c" * 32
     )
-    got = one(spark, indicators.indicators(F.col("t")), t=text)
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    got, none = indicators.with_indicators(df, "t").collect()
     assert got.cves == ["CVE-2019-19781", "CVE-2024-38077"] and got.mitre_attack_ids == ["T1059.001", "T1190"]
     assert got.ipv4_addresses == ["198.51.100.42"] and got.ipv6_addresses == ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
     assert got.urls == ["https://bad-payload.org/drop.exe"] and got.domains == ["bad-payload.org", "malicious-c2.net"]
     assert got.sha256_hashes == ["a" * 64] and got.sha1_hashes == ["b" * 40] and got.md5_hashes == ["c" * 32]
-    assert all(v == [] for v in one(spark, indicators.indicators(F.col("t")), t=None))
+    assert all(none[k] == [] for k in indicators.KINDS)
 
 
 def test_threat_summary(spark):
-    got = one(spark, indicators.threat_summary(F.col("t")), t="LockBit  3.0 and APT29, high then CRITICAL; CVSS: 9.8 Base Score: 7.1; 2024-01-02T03:04Z on Windows Server 2019")
+    text = "LockBit  3.0 and APT29, high then CRITICAL; CVSS: 9.8 Base Score: 7.1; 2024-01-02T03:04Z on Windows Server 2019"
+    got = indicators.with_terms(spark.createDataFrame([(text,)], "t string"), "t").first()
     assert got.threat_actors == ["APT29", "LockBit 3.0"] and got.severity_keywords == ["CRITICAL", "HIGH"] and got.cvss_scores == [9.8, 7.1]
     assert got.affected_systems == ["Windows Server 2019"] and got.timelines == ["2024-01-02T03:04Z"]
 
