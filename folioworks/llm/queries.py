@@ -13,7 +13,7 @@ from folioworks.llm.packing import fill_report, pack_items
 from folioworks.llm.personal import find_personal, fit_model
 from folioworks.llm.splitting import split_documents
 from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
-from folioworks.session import table
+from folioworks.session import spread, table
 
 
 def capacity_of(spark: SparkSession, d: str, profile: str = "standard") -> int:
@@ -21,13 +21,13 @@ def capacity_of(spark: SparkSession, d: str, profile: str = "standard") -> int:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_documents(table(spark, d, "source_context"), table(spark, d, "split_profile"), with_text=False)
+    pieces = split_documents(spread(table(spark, d, "source_context")), table(spark, d, "split_profile"), with_text=False)
     return pieces.where("pieces > 1 and piece = 0").select("profile", "doc_id")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces with their texts."""
-    return split_documents(table(spark, d, "source_context"), table(spark, d, "split_profile"))
+    return split_documents(spread(table(spark, d, "source_context")), table(spark, d, "split_profile"))
 
 
 def _tracks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -60,7 +60,7 @@ def _personal(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     model = fit_model([(table(spark, d, t), "row_id", c) for t, c in PERSONAL], table(spark, d, "staff_roster"))
     out = None
     for t, c in PERSONAL:
-        one = find_personal(table(spark, d, t), "row_id", c, model, with_text).withColumn("field", F.lit(f"{t}.{c}"))
+        one = find_personal(spread(table(spark, d, t)), "row_id", c, model, with_text).withColumn("field", F.lit(f"{t}.{c}"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -75,31 +75,31 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = pack_items(table(spark, d, "documents"), capacity_of(spark, d))
+    packed = pack_items(spread(table(spark, d, "documents")), capacity_of(spark, d))
     return packed.where("pieces > 1 and piece = 0").select("doc_id").distinct()
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     n = capacity_of(spark, d)
-    return fill_report(pack_items(table(spark, d, "documents"), n), n)
+    return fill_report(pack_items(spread(table(spark, d, "documents")), n), n)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    mixture = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    mixture = mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_target"))
     return mixture.report.where("not reached").select("recipe", "source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).report
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_target")).report
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_pairs(look_classes(table(spark, d, "documents")))
+    return look_pairs(look_classes(spread(table(spark, d, "documents"))))
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every page with the class of its looks, without pairs."""
-    return look_classes(table(spark, d, "documents")).select("doc_id", F.hex("class_id").alias("class_id"), F.hex("text_id").alias("text_id"))
+    return look_classes(spread(table(spark, d, "documents"))).select("doc_id", F.hex("class_id").alias("class_id"), F.hex("text_id").alias("text_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
