@@ -182,3 +182,66 @@ def provenance_defaults(items: Column) -> Column:
             F.coalesce(x["citation_marker"], F.lit("")).alias("citation_marker"), F.coalesce(x["source_reference"], F.lit("")).alias("source_reference")
         ),
     )
+
+
+def entities_of(answer: Column) -> Column:
+    """The entities in a model's answer: ``struct<cves, actors, targets>``.
+
+    They may stand as an object of lists or as one list of strings (``CVE...`` or targets) and of objects with
+    ``cve``, ``actor`` or ``target``. A broken answer gives null, missing lists are empty.
+    """
+    v = F.try_parse_json(strip_fence(answer))
+    whole = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
+    items = F.coalesce(F.try_variant_get(whole, "$.entities_detected", "array<variant>"), F.array().cast("array<variant>"))
+    word = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    texts = F.filter(F.transform(items, word), lambda x: x.isNotNull())
+    named = lambda k: F.filter(F.transform(items, lambda x: F.try_variant_get(x, f"$.{k}", "string")), lambda x: x.isNotNull())
+    listed = lambda k: F.coalesce(F.try_variant_get(whole, f"$.entities_detected.{k}", "array<string>"), F.array().cast("array<string>"))
+    cve = lambda x: F.upper(x).startswith("CVE")
+    return F.when(
+        v.isNotNull(),
+        F.struct(
+            F.concat(listed("cves"), F.filter(texts, cve), named("cve")).alias("cves"), F.concat(listed("actors"), named("actor")).alias("actors"),
+            F.concat(listed("targets"), F.filter(texts, lambda x: ~cve(x)), named("target")).alias("targets"),
+        ),
+    )
+
+
+def recovered(answer: Column, fields: dict[str, tuple[str, Column]]) -> dict[str, Column]:
+    """The fields of a salvaged answer, each by its path, its type and what stands for it when it is missing.
+
+    ``fields`` maps a path such as ``minto_pyramid.situation`` to (type, default).
+    """
+    v = salvage_json(answer)
+    return {path: F.coalesce(F.try_variant_get(v, f"$.{path}", kind), default) for path, (kind, default) in fields.items()}
+
+
+def video_grounding(name: Column, seconds: Column, scenes: Column, iocs: dict[str, Column]) -> Column:
+    """A video's grounding context made from its scenes alone, as one struct.
+
+    ``scenes`` is ``array<struct<scene_id, timestamp_display, narrative>>`` in order; the first five make the timeline.
+    """
+    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    cves, n, s = joined(iocs["cves"], "Cyber Threats"), F.size(scenes).cast("string"), seconds.cast("string")
+    event = lambda x: cat("Scene ", x["scene_id"].cast("string"), " [", x["timestamp_display"], "]: ", x["narrative"])
+    return F.struct(
+        cat("Video Intelligence Briefing: ", cves, " (", name, ")").alias("title"),
+        cat("Multimodal intelligence analysis of ", name, " spanning ", s, " seconds across ", n, " scenes.").alias("executive_overview"),
+        F.struct(
+            F.lit("Enterprise infrastructure monitored during security briefing.").alias("situation"),
+            cat("Vulnerability demonstration involving ", cves, ".").alias("complication"),
+            F.lit("Apply patches and block identified indicators of compromise.").alias("solution"),
+            F.lit("Risk of lateral movement and operational downtime.").alias("business_impact_and_risk"),
+        ).alias("minto_pyramid"),
+        F.lit("Exploitation of vulnerabilities demonstrated in video session.").alias("technical_root_cause"),
+        F.transform(F.slice(scenes, 1, 5), event).alias("timeline_of_events"),
+        F.array(cat("Video duration: ", s, " seconds"), cat("Detected ", n, " distinct visual scenes")).alias("locked_numerical_facts"),
+        F.array(F.lit("Deploy vendor security updates"), F.lit("Monitor perimeter logs for identified C2 IPs")).alias("actionable_mitigations"),
+        F.lit("heuristic-video-anchor").alias("interpreted_by_model"),
+    )
+
+
+def snippet(text: Column, limit: int = 120, empty: str = "") -> Column:
+    """The beginning of a text on one line, as reports quote it."""
+    s = strip(text)
+    return F.when(s == "", F.lit(empty)).otherwise(F.concat(F.replace(F.left(s, F.lit(limit)), F.lit("\n"), F.lit(" ")), F.lit("...")))

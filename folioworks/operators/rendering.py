@@ -176,6 +176,37 @@ def grounding_markdown(g: Column, generated_at: Column) -> Column:
     )
 
 
+def video_markdown(g: Column, iocs: dict[str, Column], generated_at: Column) -> Column:
+    """A video's grounding context as a document; empty sections are left out."""
+    m = g["minto_pyramid"]
+    section = lambda title, items, row: F.when(F.size(items) > 0, cat(title, NL, block(items, row), NL))
+    line = lambda name, items: F.when(F.size(items) > 0, cat(f"- **{name}:** ", F.array_join(items, ", ")))
+    return doc(
+        cat("# 🎥 ", g["title"]), cat("\n*Interpreted by `", g["interpreted_by_model"], "` | Generated: ", generated_at, "*\n"),
+        "## 1. Executive Narrative", cat(g["executive_overview"], NL), "## 2. Minto Pyramid Briefing Structure",
+        cat("- **Situation:** ", m["situation"]), cat("- **Complication:** ", m["complication"]), cat("- **Solution:** ", m["solution"]),
+        cat("- **Business Impact:** ", m["business_impact_and_risk"], NL), "## 3. Technical Root Cause & Exploit Mechanics",
+        cat(g["technical_root_cause"], NL),
+        section("## 4. Canonical Grounding Facts (Locked Metrics)", g["locked_numerical_facts"], lambda x: cat("- 📌 **", x, "**")),
+        section("## 5. Timeline of Events", g["timeline_of_events"], lambda x: cat("- ", x)),
+        section("## 6. Actionable Mitigations", g["actionable_mitigations"], lambda x, i: cat((i + 1).cast("string"), ". ", x)),
+        "## 7. Indicators of Compromise", line("CVEs", iocs["cves"]), line("IP Addresses", iocs["ipv4_addresses"]),
+        line("SHA-256 Hashes", iocs["sha256_hashes"]), line("Domains / URLs", F.concat(iocs["domains"], iocs["urls"])), "",
+    )
+
+
+def video_head(name: Column, seconds: Column, resolution: Column, fps: Column, sha256: Column, n_scenes: Column, iocs: dict[str, Column]) -> Column:
+    """What stands above the scenes of a video report."""
+    line = lambda label, items: cat(f"- **{label}:** ", F.when(F.size(items) > 0, F.array_join(items, ", ")).otherwise("None detected"))
+    return doc(
+        cat("# 🎥 Multimodal Video Intelligence: ", name),
+        cat("\n*Duration: ", seconds.cast("string"), "s | Resolution: ", resolution, " @ ", fps.cast("string"), " FPS | SHA256: `", F.left(sha256, F.lit(16)), "...`*\n"),
+        "## 1. Technical Telemetry & Extracted Indicators", cat("- **Total Visual Scenes:** ", n_scenes.cast("string")),
+        line("Extracted CVEs", iocs["cves"]), line("IPv4 Addresses", iocs["ipv4_addresses"]), line("SHA256 Signatures", iocs["sha256_hashes"]),
+        cat(line("Malicious Domains / URLs", F.concat(iocs["domains"], iocs["urls"])), NL), "## 2. Temporally Aligned Multimodal Scene Timeline\n",
+    )
+
+
 def _cell(c: Column) -> Column:
     return strip(F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit(NL), F.lit(" ")))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
-from folioworks.operators import alignment, indicators, rendering
+from folioworks.operators import alignment, grounding, indicators, rendering
 from folioworks.operators.intervals import to_ms
 from folioworks.session import table
 
@@ -208,15 +208,61 @@ VIDEO_SQL = _BASE_SQL + f""", x as (
  select video_id, 'urls', unnest(regexp_extract_all(said, {_re(indicators.URL)})) from sg)
 select video_id, ioc_type, count(*) n from x group by all"""
 
+def video_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A video's indicators as one bundle: the listed kinds leave SHA-1 out, the total counts it."""
+    long = indicators.indicators_long(_segments(spark, d), ["video_id"], "text").distinct()
+    kept = F.col("ioc_type") != "sha1_hashes"
+    return long.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("total_iocs_found"), F.count(F.when(kept, 1)).alias("listed"), F.countDistinct("ioc_type").alias("kinds"),
+    )
+
+
+TOTALS_SQL = VIDEO_SQL.replace("select video_id, ioc_type, count(*) n from x group by all", "select video_id, count(*) total_iocs_found, count(case when ioc_type <> 'sha1_hashes' then 1 end) listed, count(distinct ioc_type) kinds from x group by all")
+
+
+def video_groundings(spark: SparkSession, d: str) -> DataFrame:
+    """The grounding context of every video, made of its first five scenes and the CVEs spoken of."""
+    rows = _aligned(spark, d)
+    first = Window.partitionBy("video_id").orderBy("start_ms", "scene_id")
+    # of a video's scenes only five leave the window, so a long recording gathers no more than a short one
+    five = rows.withColumn("n", F.row_number().over(first)).where("n <= 5")
+    item = F.struct("n", F.col("scene_id"), "timestamp_display", F.lit("scene").alias("narrative"))
+    five = five.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("scenes"))
+    size = rows.groupBy("video_id").agg(F.max("end_ms").alias("ms"))
+    cves = indicators.indicators_long(_segments(spark, d), ["video_id"], "text").where("ioc_type = 'cves'").distinct()
+    cves = cves.groupBy("video_id").agg(F.array_sort(F.collect_set("value")).alias("cves"))
+    none = F.array().cast("array<string>")
+    all_ = five.join(size, "video_id").join(cves, "video_id", "left").withColumn("cves", F.coalesce("cves", none))
+    iocs = {k: none for k in indicators.KINDS} | {"cves": F.col("cves")}
+    g = grounding.video_grounding(F.col("video_id"), F.floor(F.col("ms") / 1000), F.col("scenes"), iocs)
+    all_ = all_.select("video_id", "cves", F.filter(F.array(g), lambda x: F.lit(True)).alias("g"))
+    return all_.select("video_id", F.get("g", F.lit(0))["title"].alias("title"), rendering.video_markdown(F.get("g", F.lit(0)), iocs, F.lit("now")).alias("markdown"))
+
+
+VG_SQL = ALIGNED_SQL.replace("\nselect sc.video_id", ",\nal as (select sc.video_id") + f"""),
+nn as (select *, row_number() over (partition by video_id order by start_ms, scene_id) n from al),
+fv as (select video_id, count(*) k, string_agg('- Scene ' || scene_id || ' [' || timestamp_display || ']: scene', chr(10) order by n) tl from nn where n <= 5 group by all),
+sz as (select video_id, max(end_ms) // 1000 s from al group by all),
+cv as (select video_id, array_to_string(list_sort(list_distinct(list(v))), ', ') c from (select video_id, upper(unnest(regexp_extract_all(said, {_re(indicators.CVE)}))) v from sg) group by all)
+select video_id, 'Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats') || ' (' || video_id || ')' title,
+ concat_ws(chr(10), '# 🎥 Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats') || ' (' || video_id || ')', chr(10) || '*Interpreted by `heuristic-video-anchor` | Generated: now*' || chr(10),
+ '## 1. Executive Narrative', 'Multimodal intelligence analysis of ' || video_id || ' spanning ' || s || ' seconds across ' || k || ' scenes.' || chr(10), '## 2. Minto Pyramid Briefing Structure',
+ '- **Situation:** Enterprise infrastructure monitored during security briefing.', '- **Complication:** Vulnerability demonstration involving ' || coalesce(c, 'Cyber Threats') || '.',
+ '- **Solution:** Apply patches and block identified indicators of compromise.', '- **Business Impact:** Risk of lateral movement and operational downtime.' || chr(10),
+ '## 3. Technical Root Cause & Exploit Mechanics', 'Exploitation of vulnerabilities demonstrated in video session.' || chr(10), '## 4. Canonical Grounding Facts (Locked Metrics)',
+ '- 📌 **Video duration: ' || s || ' seconds**', '- 📌 **Detected ' || k || ' distinct visual scenes**' || chr(10), '## 5. Timeline of Events', tl || chr(10), '## 6. Actionable Mitigations',
+ '1. Deploy vendor security updates', '2. Monitor perimeter logs for identified C2 IPs' || chr(10), '## 7. Indicators of Compromise', '- **CVEs:** ' || c, '') markdown
+from fv join sz using (video_id) left join cv using (video_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         scene_bounds, aligned_scenes, scene_indicators, fallback_scenes, event_cuts, unlike_vectors, sample_points, histogram_shift, video_reports,
-        anchor_reports, video_indicators,
+        anchor_reports, video_indicators, video_totals, video_groundings,
     )
 }
 SQL = {
     "scene_bounds": _BASE_SQL + "select * from sc", "aligned_scenes": ALIGNED_SQL, "scene_indicators": SCENE_IOC_SQL, "fallback_scenes": FALLBACK_SQL,
     "event_cuts": CUTS_SQL, "unlike_vectors": UNLIKE_SQL, "sample_points": POINT_SQL, "histogram_shift": HIST_SQL, "anchor_reports": ANCHOR_SQL,
-    "video_indicators": VIDEO_SQL,
+    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL,
 }

@@ -370,16 +370,33 @@ def salvaged_answers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("context_id", kind("minto_pyramid"), kind("threat_metadata"), kind("downstream_directives"))
 
 
+def recovered_groundings(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of salvaged answers, each with what stands for it when it is missing."""
+    fields = {
+        "severity": ("string", F.lit("HIGH")), "threat_actor.name": ("string", F.lit("Unattributed")), "cve_ids": ("array<string>", F.array().cast("array<string>")),
+    }
+    got = grounding.recovered(F.col("threat_metadata"), fields)
+    return spread(table(spark, d, "enriched_grounding")).select("context_id", got["severity"].alias("severity"), got["threat_actor.name"].alias("actor"), F.size(got["cve_ids"]).alias("n_cves"))
+
+
+def deliverable_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "final_deliverable").select("row_id", grounding.snippet(F.coalesce("final_content", F.lit(""))).alias("snippet"))
+
+
+SNIPPET_SQL = r"""with a as (select row_id, regexp_replace(coalesce(final_content, ''), '^\s+|\s+$', '', 'g') s from final_deliverable)
+select row_id, case when s = '' then '' else replace(left(s, 120), chr(10), ' ') || '...' end snippet from a"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         ext_indicators, ext_totals, ext_by_kind, ext_artifacts, ext_threat, doc_stats, text_tables, aligned_tables, text_chunks, grounding_headers,
         groundings, overviews, citations, normalized_reports, ocr_cleanup, keyframe_types, file_formats, sensitive_detect, sensitive_redacted, salvaged_answers,
+        recovered_groundings, deliverable_snippets,
     )
 }
 SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL,
+    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL,
 }

@@ -140,3 +140,13 @@ def test_render_defaults(spark):
     assert one(spark, rendering.exec_summary(p)).endswith("Required\n1. one\n2. two")
     assert one(spark, rendering.mermaid(F.col("t")), t="Web Server\nDB!\nFirewall") == '```mermaid\nflowchart LR\n    N0["Web Server"]\n    N1["Firewall"]\n    N0 --> N1\n```'
     assert one(spark, rendering.slide_content(F.col("t")), t=" \n") == "*(Empty slide)*"
+
+
+def test_entities_and_recovery(spark):
+    get = lambda t: one(spark, grounding.entities_of(F.col("t")), t=t)
+    assert tuple(get('{"entities_detected": {"cves": ["CVE-1"], "actors": null}}')) == (["CVE-1"], [], [])
+    assert tuple(get('{"entities_detected": ["cve-2", "host", {"actor": "A", "target": "T"}]}')) == (["cve-2"], ["A"], ["host", "T"])
+    assert get("broken") is None and tuple(get("{}")) == ([], [], [])
+    got = grounding.recovered(F.col("t"), {"a.b": ("string", F.lit("d")), "n": ("int", F.lit(7))})
+    assert one(spark, got["a.b"], t='x {"a": {"b": "v"}}') == "v" and one(spark, got["n"], t="nothing") == 7
+    assert one(spark, grounding.snippet(F.col("t")), t=" a\nb ") == "a b..." and one(spark, grounding.snippet(F.col("t")), t=" ") == ""
