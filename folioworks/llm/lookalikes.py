@@ -12,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.session import checkpoint
+
 #: Letters of other scripts with the shape of a Latin letter (as in the public Unicode
 #: confusables data), written as pairs of strings of equal length.
 CYRILLIC = "АВЕКМНОРСТХУЅІЈԌԚԜҮаеорсухѕіјһԛԝԁүҽӏ", "ABEKMHOPCTXYSIJGQWYaeopcyxsijhqwdyel"
@@ -319,7 +321,7 @@ def look_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
     occurs twice with one text counts once. The full list of pairs is what the result asks for; use
     ``look_classes`` where membership is enough.
     """
-    rows = classes.distinct()
+    rows = checkpoint(classes.distinct())  # hashes only; the texts are read once
     mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi")
     left = rows.join(mixed.select("class_id"), "class_id", "left_semi")
     a = left.select("class_id", F.col(key).alias("doc_a"), F.col("text_id").alias("ta"))
