@@ -19,7 +19,7 @@ def to_ms(seconds: Column) -> Column:
 
 def coverage(
     df: DataFrame,
-    key: str,
+    key: str | list[str],
     start_seconds: str = "start_seconds",
     end_seconds: str = "end_seconds",
     off_air_ms: int = OFF_AIR_MS,
@@ -27,7 +27,7 @@ def coverage(
 ) -> DataFrame:
     """Continuous covered periods of every ``key`` and the gaps between them.
 
-    Returns ``(<key>, kind, start_ms, end_ms)`` with ``kind`` ``period`` or ``gap``.
+    Returns ``(<key>, kind, start_ms, end_ms)`` with ``kind`` ``period`` or ``gap``; ``key`` names one column or several.
 
     Method: spans are sorted by start per key, each start is compared with the running maximum of the
     earlier ends, islands are labelled cumulatively and aggregated; a gap lies between that running
@@ -40,25 +40,27 @@ def coverage(
     of its own; an empty table gives an empty result; other columns are ignored, whatever their names.
     Gaps of ``off_air_ms`` or more are left out.
     """
+    names = [key] if isinstance(key, str) else list(key)
+    ks = [f"k{i}" for i in range(len(names))]
     spans = (
         df.select(
-            F.col(key).alias("k"), to_ms(F.col(start_seconds)).alias("s"), to_ms(F.col(end_seconds)).alias("e")
+            *[F.col(n).alias(k) for n, k in zip(names, ks, strict=True)], to_ms(F.col(start_seconds)).alias("s"), to_ms(F.col(end_seconds)).alias("e")
         )
         .where("s is not null and e is not null and e > s")
-        .groupBy("k", "s")
+        .groupBy(*ks, "s")
         .agg(F.max("e").alias("e"))
         .withColumn("b", bucket_of(F.col("s"), bucket_ms))
     )
     # islands within a bucket
-    here = Window.partitionBy("k", "b").orderBy("s")
+    here = Window.partitionBy(*ks, "b").orderBy("s")
     local = (
         spans.withColumn("run", F.max("e").over(here.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("label", F.sum(F.when(F.col("s") <= F.col("run"), 0).otherwise(1)).over(here))
-        .groupBy("k", "b", "label")
+        .groupBy(*ks, "b", "label")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
     )
     # the running maximum of all earlier buckets decides which of them begin a period
-    local = carry_forward(local, ["k"], "b", {"be": F.max("e")}, {"before": F.max("be")})
+    local = carry_forward(local, ks, "b", {"be": F.max("e")}, {"before": F.max("be")})
     marked = (
         local.withColumn("run", F.max("e").over(here.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("prev", F.greatest("run", "before"))
@@ -66,12 +68,12 @@ def coverage(
         .withColumn("island", F.sum(F.col("begins").cast("long")).over(here))
     )
     marked = carry_forward(
-        marked.select("k", "b", "s", "e", "prev", "begins", "island"),
-        ["k"], "b", {"n": F.max("island")}, {"earlier": F.sum("n")},
+        marked.select(*ks, "b", "s", "e", "prev", "begins", "island"),
+        ks, "b", {"n": F.max("island")}, {"earlier": F.sum("n")},
     )
     periods = (
         marked.withColumn("island", F.col("island") + F.coalesce("earlier", F.lit(0)))
-        .groupBy("k", "island")
+        .groupBy(*ks, "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("begins"), F.col("prev"))).alias("prev"))
     )
     rows = F.array(
@@ -79,7 +81,7 @@ def coverage(
         F.struct(F.lit("gap").alias("kind"), F.col("prev").alias("start_ms"), F.col("s").alias("end_ms")),
     )
     return (
-        periods.select(F.col("k").alias(key), F.explode(rows).alias("r"))
-        .select(key, "r.*")
+        periods.select(*[F.col(k).alias(n) for n, k in zip(names, ks, strict=True)], F.explode(rows).alias("r"))
+        .select(*names, "r.*")
         .where(f"kind = 'period' or (start_ms is not null and end_ms - start_ms < {int(off_air_ms)})")
     )

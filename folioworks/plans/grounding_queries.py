@@ -11,11 +11,8 @@ from folioworks.session import checkpoint, spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        coverage(table(spark, d, t), "video_id").select(F.lit(t).alias("track"), "video_id", "kind", "start_ms", "end_ms")
-        for t in ("audio_segment", "aligned_scene")
-    ]
-    return parts[0].unionByName(parts[1])
+    spans = [table(spark, d, t).select(F.lit(t).alias("track"), "video_id", "start_seconds", "end_seconds") for t in ("audio_segment", "aligned_scene")]
+    return coverage(spans[0].unionByName(spans[1]), ["track", "video_id"])
 
 
 _P1 = """
