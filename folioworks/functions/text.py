@@ -102,7 +102,7 @@ def truncate_utf8(c: Column, limit: int) -> Column:
     raw = F.encode(c, "UTF-8")
     cuts = [F.substring(raw, 1, limit - k) for k in range(4) if limit - k > 0]
     best = F.coalesce(*[F.when(F.is_valid_utf8(x.cast("string")), x.cast("string")) for x in cuts], F.lit(""))
-    return F.when(F.octet_length(c) <= limit, c).otherwise(best)
+    return F.when(F.octet_length(c) <= limit, c).when(c.isNotNull(), best)
 
 
 def clean_ocr(c: Column) -> Column:

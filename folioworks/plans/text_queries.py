@@ -10,6 +10,8 @@ from folioworks.operators import chunking, classify, grounding, indicators, reda
 from folioworks.session import spread, table
 
 KEYS = ["doc_id", "processed_at"]
+#: Bytes of a normalized text at most: the reference's upload limit.
+NORMALIZED_BYTES = 25 * 1024 * 1024
 #: Threat terms that the reports lack are written below each text, the same here and in SQL.
 TAIL = (
     "\n\nActor APT29 and LockBit 3.0 hit Windows Server 2019. CVSS v3.1 Base Score: 9.8 HIGH on January 5, 2026"
@@ -256,18 +258,18 @@ CITATION_SQL = _BASE.rstrip() + "," + _IOC_LISTS + """
 select doc_id, processed_at, p || v id, 'file' kind, v as label from c"""
 
 
-def normalized_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Normal form within 4,000 bytes, with the shapes of records that have no text."""
+def normalized_reports(spark: SparkSession, d: str, limit: int = NORMALIZED_BYTES) -> DataFrame:
+    """Normal form within ``limit`` bytes, with the shapes of records that have no text."""
     raw = table(spark, d, "source_context").withColumn("raw", F.concat(F.lit("A\u0301\x00\r\n"), "clean_markdown", F.lit("  \r\n\n")))
     ok = F.lower("file_type") != "pdf"
     n = T.normalize_text(F.col("raw"))
-    cut = T.truncate_utf8(F.col("n"), 4000)
+    cut = T.truncate_utf8(F.col("n"), limit)
     return (
         raw.select(*KEYS, ok.alias("supported"), n.alias("n"))
         .withColumn("normalized_text", F.when(F.col("supported"), cut))
         .select(
             *KEYS, "supported", "normalized_text", F.length("normalized_text").alias("normalized_char_count"),
-            F.coalesce(F.col("supported") & (F.octet_length("n") > 4000), F.lit(False)).alias("truncated"),
+            F.coalesce(F.col("supported") & (F.octet_length("n") > limit), F.lit(False)).alias("truncated"),
             F.when(~F.col("supported"), "no inspector registered for media category").when(F.col("n").isNull(), "no extractable text").alias("reason"),
         )
     )
