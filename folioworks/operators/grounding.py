@@ -216,13 +216,14 @@ def recovered(answer: Column, fields: dict[str, tuple[str, Column]]) -> dict[str
     return {path: F.coalesce(F.try_variant_get(v, f"$.{path}", kind), default) for path, (kind, default) in fields.items()}
 
 
-def video_grounding(name: Column, seconds: Column, scenes: Column, iocs: dict[str, Column]) -> Column:
+def video_grounding(name: Column, seconds: Column, scenes: Column, n_scenes: Column, iocs: dict[str, Column]) -> Column:
     """A video's grounding context made from its scenes alone, as one struct.
 
     ``scenes`` is ``array<struct<scene_id, timestamp_display, narrative>>`` in order; the first five make the timeline.
+    ``n_scenes`` is the number of all scenes, as ``scenes`` may hold the first five only.
     """
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    cves, n, s = joined(iocs["cves"], "Cyber Threats"), F.size(scenes).cast("string"), seconds.cast("string")
+    cves, n, s = joined(iocs["cves"], "Cyber Threats"), n_scenes.cast("string"), seconds.cast("string")
     event = lambda x: cat("Scene ", x["scene_id"].cast("string"), " [", x["timestamp_display"], "]: ", x["narrative"])
     return F.struct(
         cat("Video Intelligence Briefing: ", cves, " (", name, ")").alias("title"),

@@ -313,6 +313,18 @@ def visual_content(kind: Column, text: Column) -> Column:
     return F.when(kind == "SLIDE", slide_content(text)).when(kind == "TERMINAL", terminal_content(text)).when(kind == "DIAGRAM", diagram).otherwise(other)
 
 
+def visual_narrative(kind: Column, text: Column) -> Column:
+    """What a keyframe shows, in a sentence; nothing for an empty slide."""
+    rows = F.filter(F.transform(lines(text), strip), lambda x: x != "")
+    slide = F.when(F.size(rows) > 0, cat("Presentation slide covering: ", F.get(rows, F.lit(0)))).otherwise("")
+    return (
+        F.when(kind == "SLIDE", slide)
+        .when(kind == "TERMINAL", "Active command-line console session displaying terminal execution logs.")
+        .when(kind == "DIAGRAM", "System architecture diagram illustrating network topology and threat pathways.")
+        .otherwise("Visual scene displaying presenter briefing or transition slide.")
+    )
+
+
 def scene_section(scene: Column) -> Column:
     """One scene of a video report; ``scene`` has ``scene_id, timestamp_display, visual_type, spoken_transcript, content, iocs``."""
     return doc(

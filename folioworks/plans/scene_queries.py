@@ -221,21 +221,26 @@ TOTALS_SQL = VIDEO_SQL.replace("select video_id, ioc_type, count(*) n from x gro
 
 
 def video_groundings(spark: SparkSession, d: str) -> DataFrame:
-    """The grounding context of every video, made of its first five scenes and the CVEs spoken of."""
+    """The grounding context of every video, made of all its scenes and every indicator spoken of or shown."""
     rows = _aligned(spark, d)
     first = Window.partitionBy("video_id").orderBy("start_ms", "scene_id")
     # of a video's scenes only five leave the window, so a long recording gathers no more than a short one
     five = rows.withColumn("n", F.row_number().over(first)).where("n <= 5")
-    item = F.struct("n", F.col("scene_id"), "timestamp_display", F.lit("scene").alias("narrative"))
-    five = five.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("scenes"))
-    size = rows.groupBy("video_id").agg(F.max("end_ms").alias("ms"))
-    cves = indicators.indicators_long(_segments(spark, d), ["video_id"], "text").where("ioc_type = 'cves'").distinct()
-    cves = cves.groupBy("video_id").agg(F.array_sort(F.collect_set("value")).alias("cves"))
+    listed = table(spark, d, "aligned_scene")
+    kinds = listed.groupBy("video_id", "scene_id").agg(F.max("visual_type").alias("visual_type"))
+    narrative = rendering.visual_narrative(F.coalesce("visual_type", F.lit("OTHER")), F.lit("")).alias("narrative")  # the tables have no text of frames
+    item = F.struct("n", F.col("scene_id"), "timestamp_display", narrative)
+    five = five.join(kinds, ["video_id", "scene_id"], "left").groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("scenes"))
+    size = rows.groupBy("video_id").agg(F.max("end_ms").alias("ms"), F.count(F.lit(1)).alias("n_scenes"))
+    texts = _segments(spark, d).select("video_id", "text").unionByName(listed.select("video_id", F.array_join("scene_iocs", " ").alias("text")))
+    long = indicators.indicators_long(texts, ["video_id"], "text").distinct()
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("ioc_type") == k, F.col("value")))).alias(k)
+    found = long.groupBy("video_id").agg(*[of(k) for k in indicators.KINDS])
     none = F.array().cast("array<string>")
-    all_ = five.join(size, "video_id").join(cves, "video_id", "left").withColumn("cves", F.coalesce("cves", none))
-    iocs = {k: none for k in indicators.KINDS} | {"cves": F.col("cves")}
-    g = grounding.video_grounding(F.col("video_id"), F.floor(F.col("ms") / 1000), F.col("scenes"), iocs)
-    all_ = all_.select("video_id", "cves", F.filter(F.array(g), lambda x: F.lit(True)).alias("g"))
+    all_ = five.join(size, "video_id").join(found, "video_id", "left").withColumns({k: F.coalesce(k, none) for k in indicators.KINDS})
+    iocs = indicators.columns(indicators.KINDS)
+    g = grounding.video_grounding(F.col("video_id"), F.floor(F.col("ms") / 1000), F.col("scenes"), F.col("n_scenes"), iocs)
+    all_ = all_.select("video_id", *indicators.KINDS, F.filter(F.array(g), lambda x: F.lit(True)).alias("g"))
     return all_.select("video_id", F.get("g", F.lit(0))["title"].alias("title"), rendering.video_markdown(F.get("g", F.lit(0)), iocs, F.lit("now")).alias("markdown"))
 
 

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from folioworks.plans import text_queries
+from folioworks.plans import scene_queries, text_queries
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -24,3 +24,29 @@ def test_normalized_reports_are_whole(spark, tmp_path):
     assert cut[0].normalized_text == "Á\nshort\n" and not cut[0].truncated  # 9 bytes
     assert cut[1].normalized_text == "Á\n" + "é" * 3 and cut[1].normalized_char_count == 5 and cut[1].truncated
     assert not cut[2].truncated and not cut[3].truncated
+
+
+SCENES = "video_id string, scene_id int, start_seconds double, end_seconds double, visual_type string, scene_iocs array<string>"
+SPEECH = "video_id string, segment_id int, start_seconds double, end_seconds double, text string"
+
+
+def test_video_groundings_count_all_scenes(spark, tmp_path):
+    kinds = ["SLIDE", "TERMINAL", "DIAGRAM", "OTHER", None, "OTHER", "OTHER"]
+    scenes = [("v", i + 1, 10.0 * i, 10.0 * i + 10, k, ["CVE-2020-0001"] if i == 6 else []) for i, k in enumerate(kinds)]
+    save(spark, tmp_path, "aligned_scene", scenes + [("w", 1, 0.0, 5.0, "OTHER", [])], SCENES)
+    said = [("v", 1, 0.0, 1.0, "CVE-2024-1234 from 198.51.100.42 and " + "a" * 64), ("v", 2, 65.0, 66.0, "evil-site.com and https://bad-payload.org/drop.exe")]
+    save(spark, tmp_path, "audio_segment", said, SPEECH)
+    got = {r.video_id: r for r in scene_queries.video_groundings(spark, str(tmp_path)).collect()}
+    md = got["v"].markdown
+    assert "across 7 scenes." in md and "**Detected 7 distinct visual scenes**" in md and md.count("- Scene ") == 5 and "- Scene 6 " not in md
+    assert got["v"].title == "Video Intelligence Briefing: CVE-2020-0001, CVE-2024-1234 (v)"
+    for line in (
+        "- **CVEs:** CVE-2020-0001, CVE-2024-1234", "- **IP Addresses:** 198.51.100.42", "- **SHA-256 Hashes:** " + "a" * 64,
+        "- **Domains / URLs:** bad-payload.org, evil-site.com, https://bad-payload.org/drop.exe",
+    ):
+        assert line in md.split("\n")
+    assert [x.split("]: ")[1] for x in md.split("\n") if x.startswith("- Scene ")] == [
+        "", "Active command-line console session displaying terminal execution logs.", "System architecture diagram illustrating network topology and threat pathways.",
+        *["Visual scene displaying presenter briefing or transition slide."] * 2,
+    ]
+    assert "across 1 scenes." in got["w"].markdown and "Indicators of Compromise\n" in got["w"].markdown and "**CVEs:**" not in got["w"].markdown
