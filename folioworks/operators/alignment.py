@@ -109,9 +109,10 @@ def fallback_segments(durations: DataFrame, seconds: int = 10) -> DataFrame:
     return rows.select("video_id", "scene_no", start.alias("start_ms"), F.least(F.col("duration_ms"), start + step).alias("end_ms"))
 
 
-def cut_fold(samples: Column, min_gap: float = 1.5, threshold: float = 0.65) -> Column:
+def cut_fold(samples: Column, min_gap: float = 1.5, threshold: float = 0.65, duration: Column | None = None) -> Column:
     """Cuts among time-ordered samples ``struct<at, corr>``: where ``corr`` is below the threshold and the last cut
-    lies at least ``min_gap`` back. Returns ``array<struct<start_at, end_at>>``.
+    lies at least ``min_gap`` back. Returns ``array<struct<start_at, end_at>>``; with ``duration``, what lies
+    between the last cut and it is the last interval.
 
     A fold, as each cut depends on the last one; the array is one video's samples.
     """
@@ -123,7 +124,13 @@ def cut_fold(samples: Column, min_gap: float = 1.5, threshold: float = 0.65) ->
         this = F.array(F.struct(acc["last"].alias("start_at"), x["at"].alias("end_at")).cast(span))
         return F.struct(F.when(cut, F.concat(acc["cuts"], this)).otherwise(acc["cuts"]).alias("cuts"), F.when(cut, x["at"]).otherwise(acc["last"]).alias("last"))
 
-    return F.aggregate(samples, start, step, lambda acc: acc["cuts"])
+    def finish(acc: Column) -> Column:
+        if duration is None:
+            return acc["cuts"]
+        tail = F.array(F.struct(acc["last"].alias("start_at"), duration.alias("end_at")).cast(span))
+        return F.when(duration > acc["last"], F.concat(acc["cuts"], tail)).otherwise(acc["cuts"])
+
+    return F.aggregate(samples, start, step, finish)
 
 
 def sample_point(start: Column, end: Column, share: float = 0.8) -> Column:

@@ -94,11 +94,12 @@ select video_id, cast(k as int) scene_no, k * 10000 start_ms, least(duration_ms,
 
 
 def event_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """Cuts among a user's events, where the value is low and the last cut long enough ago."""
+    """Intervals between cuts among a user's events, where the value is low and the last cut long enough ago; the last ends with the last event."""
     e = table(spark, d, "events").where("user_id is not null and ts is not null and value is not null")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
     samples = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), (F.col("value") / 100).alias("corr")))).alias("s"))
-    return samples.select("user_id", F.inline(alignment.cut_fold(F.col("s"), min_gap=3600.0, threshold=0.25))).select(
+    cuts = alignment.cut_fold(F.col("s"), min_gap=3600.0, threshold=0.25, duration=F.element_at("s", -1)["at"])
+    return samples.select("user_id", F.inline(cuts)).select(
         "user_id", F.round("start_at", 3).alias("start_at"), F.round("end_at", 3).alias("end_at")
     )
 

@@ -40,7 +40,10 @@ _STATE = StructType([StructField("last", DoubleType())])
 
 
 def stream_cuts(stream: DataFrame, key: str, at: str, corr: str, min_gap: float = 1.5, threshold: float = 0.65) -> DataFrame:
-    """The cuts of ``alignment.cut_fold`` over samples that arrive in order: the last cut of each key is its state."""
+    """The cuts of ``alignment.cut_fold`` over samples that arrive in order: the last cut of each key is its state.
+
+    A stream has no duration, so the interval after the last cut is not among them.
+    """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0.0

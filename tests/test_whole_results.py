@@ -50,3 +50,11 @@ def test_video_groundings_count_all_scenes(spark, tmp_path):
         *["Visual scene displaying presenter briefing or transition slide."] * 2,
     ]
     assert "across 1 scenes." in got["w"].markdown and "Indicators of Compromise\n" in got["w"].markdown and "**CVEs:**" not in got["w"].markdown
+
+
+def test_event_cuts_have_their_tail(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, 4000, 10.0), (1, 5000, 10.0), (1, 9000, 90.0), (2, 100, 90.0), (2, 7200, 80.0), (3, 100, 90.0), (3, 3600, 1.0)]
+    save(spark, tmp_path, "events", [(u, at(s), v) for u, s, v in rows], "user_id long, ts timestamp, value double")
+    got = sorted(tuple(r) for r in scene_queries.event_cuts(spark, str(tmp_path)).collect())
+    assert got == [(1, 0.0, 4000.0), (1, 4000.0, 9000.0), (2, 0.0, 7200.0), (3, 0.0, 3600.0)]
