@@ -167,6 +167,17 @@ def indicator_citations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(each))
 
 
+def media_citations(df: DataFrame, key: str, prefix: str, number: str, anchor: str, text: str, limit: int) -> DataFrame:
+    """Citation rows ``(source, id, kind, label)`` of what was found in media, one for each row."""
+    label = anchor_label(F.col(anchor), F.col(text), limit)
+    return df.select(F.col(key).alias("source"), F.concat(F.lit(prefix), F.col(number).cast("string")).alias("id"), F.lit("file").alias("kind"), label.alias("label"))
+
+
+def placeholder_citations(df: DataFrame, name: str) -> DataFrame:
+    """Citation rows ``(source, id, kind, label)`` that stand for files of which nothing was extracted."""
+    return df.select(F.col(name).alias("source"), F.concat(F.lit("src-"), name).alias("id"), F.lit("file").alias("kind"), F.col(name).alias("label"))
+
+
 def numbered_facts(facts: Column, existing: Column) -> Column:
     """Fact citations numbered after those that exist."""
     return F.transform(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -260,11 +262,32 @@ select video_id, 'Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats')
  '1. Deploy vendor security updates', '2. Monitor perimeter logs for identified C2 IPs' || chr(10), '## 7. Indicators of Compromise', '- **CVEs:** ' || c, '') markdown
 from fv join sz using (video_id) left join cv using (video_id)"""
 
+def media_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of every call's anchors and every video's first five scenes; files that gave nothing have one that stands for them."""
+    a = table(spark, d, "grounding_anchor").where("source is not null")
+    said = a.where("id is not null and extracted_verbatim is not null").groupBy("source", "id")
+    said = said.agg(F.min_by(F.struct(F.coalesce("temporal_anchor", F.lit("00:00")).alias("anchor"), "extracted_verbatim"), "row_id").alias("r")).select("source", "id", "r.*")
+    first = Window.partitionBy("video_id").orderBy("start_ms", "scene_id")
+    scenes = _aligned(spark, d).withColumn("n", F.row_number().over(first)).where("n <= 5")
+    usable = lambda c: F.max(F.expr(c)).alias("usable")
+    files = [
+        a.groupBy(F.col("source").alias("name")).agg(usable("id is not null and extracted_verbatim is not null")),
+        table(spark, d, "aligned_scene").where("video_id is not null").groupBy(F.col("video_id").alias("name")).agg(usable("start_seconds is not null and end_seconds is not null")),
+        table(spark, d, "source_context").where("file_name is not null").groupBy(F.col("file_name").alias("name")).agg(usable("clean_markdown is not null")),
+    ]
+    rows = [
+        grounding.media_citations(said, "source", "", "id", "anchor", "extracted_verbatim", 100),
+        grounding.media_citations(scenes, "video_id", "vid-", "scene_id", "timestamp_display", "spoken_transcript", 80),
+        *[grounding.placeholder_citations(f.where("not usable"), "name") for f in files],
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scene_bounds, aligned_scenes, scene_indicators, fallback_scenes, event_cuts, unlike_vectors, sample_points, histogram_shift, video_reports,
-        anchor_reports, video_indicators, video_totals, video_groundings,
+        anchor_reports, video_indicators, video_totals, video_groundings, media_citations,
     )
 }
 SQL = {

@@ -258,6 +258,14 @@ CITATION_SQL = _BASE.rstrip() + "," + _IOC_LISTS + """
 select doc_id, processed_at, p || v id, 'file' kind, v as label from c"""
 
 
+def fact_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of every report, numbered after its citations of ``citations``."""
+    t = F.col("t")
+    facts = grounding.locked_facts(t, T.word_count(t), F.size(T.lines(t)), F.array().cast("array<double>"))
+    rows = indicators.with_indicators(_reports(spark, d).where("t is not null").select(*KEYS, "t", facts.alias("facts")), "t")
+    return rows.select(*KEYS, F.inline(grounding.numbered_facts(F.col("facts"), F.size("cves") + F.size("ipv4_addresses"))))
+
+
 def normalized_reports(spark: SparkSession, d: str, limit: int = NORMALIZED_BYTES) -> DataFrame:
     """Normal form within ``limit`` bytes, with the shapes of records that have no text."""
     raw = table(spark, d, "source_context").withColumn("raw", F.concat(F.lit("A\u0301\x00\r\n"), "clean_markdown", F.lit("  \r\n\n")))
@@ -392,7 +400,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ext_indicators, ext_totals, ext_by_kind, ext_artifacts, ext_threat, doc_stats, text_tables, aligned_tables, text_chunks, grounding_headers,
-        groundings, overviews, citations, normalized_reports, ocr_cleanup, keyframe_types, file_formats, sensitive_detect, sensitive_redacted, salvaged_answers,
+        groundings, overviews, citations, fact_citations, normalized_reports, ocr_cleanup, keyframe_types, file_formats, sensitive_detect, sensitive_redacted, salvaged_answers,
         recovered_groundings, deliverable_snippets,
     )
 }

@@ -58,3 +58,21 @@ def test_event_cuts_have_their_tail(spark, tmp_path):
     save(spark, tmp_path, "events", [(u, at(s), v) for u, s, v in rows], "user_id long, ts timestamp, value double")
     got = sorted(tuple(r) for r in scene_queries.event_cuts(spark, str(tmp_path)).collect())
     assert got == [(1, 0.0, 4000.0), (1, 4000.0, 9000.0), (2, 0.0, 7200.0), (3, 0.0, 3600.0)]
+
+
+def test_media_and_fact_citations(spark, tmp_path):
+    anchors = [(1, "a.mp3", "aud-1", "00:15 - 00:42", "x" * 150), (2, "a.mp3", "aud-2", None, "short"), (3, "b.wav", "aud-1", "00:00", None)]
+    save(spark, tmp_path, "grounding_anchor", anchors, "row_id long, source string, id string, temporal_anchor string, extracted_verbatim string")
+    save(spark, tmp_path, "aligned_scene", [("v", i, 10.0 * i, 10.0 * i + 10, None, []) for i in range(1, 8)] + [("w", 1, None, 5.0, None, [])], SCENES)
+    save(spark, tmp_path, "audio_segment", [("v", 1, 0.0, 1.0, "y" * 120)], SPEECH)
+    reports = [(1, DAY, "r.md", "s", "CVE-2024-1234 hit 40 servers and 12 hosts"), (2, DAY, "none.md", "s", None)]
+    save(spark, tmp_path, "source_context", reports, "doc_id long, processed_at timestamp, file_name string, sha256_checksum string, clean_markdown string")
+    rows = [tuple(r) for r in scene_queries.media_citations(spark, str(tmp_path)).collect()]
+    got = {(r[0], r[1]): r[3] for r in rows}
+    assert len(rows) == 10 and {r[2] for r in rows} == {"file"}
+    assert got["a.mp3", "aud-1"] == "[00:15 - 00:42] " + "x" * 100 and got["a.mp3", "aud-2"] == "[00:00] short"
+    assert got["v", "vid-1"].split("] ")[1] == "y" * 80 and sorted(i for s, i in got if s == "v") == [f"vid-{i}" for i in range(1, 6)]
+    assert [got[n, f"src-{n}"] for n in ("b.wav", "w", "none.md")] == ["b.wav", "w", "none.md"]
+    n = len([r for r in text_queries.citations(spark, str(tmp_path)).collect() if r.doc_id == 1])
+    facts = sorted((r.id, r.kind, r.label) for r in text_queries.fact_citations(spark, str(tmp_path)).collect())
+    assert [f[:2] for f in facts] == [(f"fact-{n + 1}", "text"), (f"fact-{n + 2}", "text")] and ["servers" in facts[0][2], "hosts" in facts[1][2]] == [True, True]
