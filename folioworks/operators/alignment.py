@@ -133,6 +133,13 @@ def cut_fold(samples: Column, min_gap: float = 1.5, threshold: float = 0.65, dur
     return F.aggregate(samples, start, step, finish)
 
 
+def sampled_scenes(df: DataFrame, key: str, number: str, start: str, end: str, least: int = 1500) -> DataFrame:
+    """The scenes of which a frame is taken: a video's first, which is always kept, and all of at least ``least`` after it."""
+    first = df.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(start, number, end)).alias("__first"))
+    is_first = F.struct(start, number, end) == F.col("__first")
+    return df.join(first, F.col(key).eqNullSafe(F.col("__key"))).where(is_first | (F.col(end) - F.col(start) >= least)).drop("__key", "__first")
+
+
 def sample_point(start: Column, end: Column, share: float = 0.8) -> Column:
     """Where a scene's frame is taken: when four fifths of it are over."""
     return start + (end - start) * share

@@ -132,8 +132,10 @@ select label, vec_id, keep kept, kept_at from k"""
 
 
 def sample_points(spark: SparkSession, d: str) -> DataFrame:
-    """Where each scene's frame is taken and what its picture is called."""
+    """Where each scene's frame is taken and what its picture is called; short scenes after the first have none."""
     s = table(spark, d, "aligned_scene").where("end_seconds > start_seconds").select("video_id", "scene_id", "start_seconds", "end_seconds").distinct()
+    s = s.withColumns({"a": to_ms(F.col("start_seconds")), "b": to_ms(F.col("end_seconds"))})
+    s = alignment.sampled_scenes(s, "video_id", "scene_id", "a", "b")
     at = F.floor(to_ms(F.col("start_seconds")) + (to_ms(F.col("end_seconds")) - to_ms(F.col("start_seconds"))) * 8 / 10)
     return s.select("video_id", "scene_id", at.alias("at_ms"), F.format_string("keyframe_%03d_%ss.png", "scene_id", F.floor(at / 1000).cast("string")).alias("picture"))
 

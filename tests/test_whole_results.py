@@ -76,3 +76,10 @@ def test_media_and_fact_citations(spark, tmp_path):
     n = len([r for r in text_queries.citations(spark, str(tmp_path)).collect() if r.doc_id == 1])
     facts = sorted((r.id, r.kind, r.label) for r in text_queries.fact_citations(spark, str(tmp_path)).collect())
     assert [f[:2] for f in facts] == [(f"fact-{n + 1}", "text"), (f"fact-{n + 2}", "text")] and ["servers" in facts[0][2], "hosts" in facts[1][2]] == [True, True]
+
+
+def test_sample_points_skip_short_scenes(spark, tmp_path):
+    scenes = [("v", 1, 0.0, 1.0), ("v", 2, 1.0, 2.0), ("v", 3, 2.0, 3.5), ("v", 4, 3.5, 20.0), ("w", 1, 0.0, 9.0), ("w", 2, 9.0, 9.5), (None, 1, 0.0, 1.0)]
+    save(spark, tmp_path, "aligned_scene", [(*s, "OTHER", []) for s in scenes], SCENES)
+    got = {(r.video_id, r.scene_id): r.at_ms for r in scene_queries.sample_points(spark, str(tmp_path)).collect()}
+    assert got == {("v", 1): 800, ("v", 3): 3200, ("v", 4): 16700, ("w", 1): 7200, (None, 1): 800}
