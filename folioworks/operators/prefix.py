@@ -30,8 +30,9 @@ def carry_forward(
     small = df.groupBy(*ks).agg(*[c.alias(n) for n, c in summary.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     small = small.select(*[F.col(k).alias(f"__{k}") for k in ks], *[c.over(before).alias(n) for n, c in carried.items()])
+    nullable = {f.name for f in df.schema if f.nullable}
     on = None
-    for k in ks:
-        eq = F.col(k).eqNullSafe(F.col(f"__{k}"))
+    for k in ks:  # plain equality keeps the distribution of the windows before it
+        eq = F.col(k).eqNullSafe(F.col(f"__{k}")) if k in nullable else F.col(k) == F.col(f"__{k}")
         on = eq if on is None else on & eq
     return df.join(small, on, "left").drop(*[f"__{k}" for k in ks])
