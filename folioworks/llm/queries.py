@@ -30,26 +30,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(spread(table(spark, d, "source_context")), table(spark, d, "split_profile"))
 
 
-def _tracks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _speech(spark: SparkSession, d: str, with_words: bool) -> DataFrame:
     roster = Roster(table(spark, d, "speaker_roster"))
-    return {
-        "audio_segment": segment_rows(table(spark, d, "audio_segment"), roster),
-        "grounding_anchor": anchor_rows(table(spark, d, "grounding_anchor"), roster),
-    }
+    segments = segment_rows(spread(table(spark, d, "audio_segment")), roster, with_words)
+    return segments.unionByName(anchor_rows(spread(table(spark, d, "grounding_anchor")), roster, with_words))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [
-        speaker_turns(rows).select(F.lit(track).alias("track"), "recording", "start_ms", "speaker").distinct()
-        for track, rows in _tracks(spark, d).items()
-    ]
-    return found[0].unionByName(found[1])
+    return speaker_turns(_speech(spark, d, False)).select("track", "recording", "start_ms", "speaker").distinct()
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     """The clean words of every turn."""
-    found = [turn_texts(rows).withColumn("track", F.lit(track)) for track, rows in _tracks(spark, d).items()]
-    return found[0].unionByName(found[1])
+    return turn_texts(_speech(spark, d, True))
 
 
 #: The columns searched for personal information: (table, text column).

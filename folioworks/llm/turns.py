@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +17,64 @@ BUCKET_MS = 3_600_000
 #: Fillers of one word and fillers of several words that stand before a comma.
 FILLERS = ("um", "uh", "uhm", "er", "erm", "ah", "hmm", "mm-hmm", "mhm", "mm", "eh")
 PHRASES = ("you know", "I mean", "well")
+#: Words that tell a sound or a remark of the transcriber; in round brackets or stars, where speech may stand too.
+SOUNDS = (
+    "laugh", "chuckl", "applau", "clap", "cough", "sneez", "sigh", "breath", "gasp", "sniff", "cry", "sob", "groan", "whisper", "shout", "music", "sing", "tone",
+    "beep", "buzz", "ring", "click", "clatter", "slam", "knock", "noise", "static", "feedback", "echo", "alarm", "siren", "typing", "footstep", "silence", "pause",
+    "crosstalk", "overlap", "inaudible", "unintelligible", "indistinct", "foreign language", "background",
+)
 
 _SPACE = r"[\s ]"
-_CLOCK = rf"[\[(]?\d{{1,3}}(?::\d{{2}}){{1,2}}(?:[.,]\d+)?[\])]?(?=$|{_SPACE})"
-_ROUND = r"\((?!(?:at|dot|@|\.|\d+)\))[^()\n]{0,80}\)"
-_SQUARE = r"\[{1,2}(?!(?:at|dot|@|\.|\d+)\])[^\[\]\n]{0,80}\]{1,2}"
+_TIME = r"\d{1,9}(?::\d{2}){1,2}(?:[.,]\d+)?"
+_SPAN = rf"{_TIME}(?:{_SPACE}*(?:-->|[-–—]|to){_SPACE}*{_TIME})?"
+_CLOCK = rf"(?:\[{_SPACE}*{_SPAN}{_SPACE}*\]|\({_SPACE}*{_SPAN}{_SPACE}*\)|[\[(]?{_SPAN}[\])]?(?=$|{_SPACE}))(?:{_SPACE}*[-–—|]+(?={_SPACE}))?"
+_REWRITTEN = r"(?:at|dot|@|\.|\d+)"
+_SHORT = r"[^\s()*]+(?:\s+[^\s()*]+)?"
+_SOUND = rf"(?i:(?=[^()*\n]*(?:{'|'.join(SOUNDS)}))[^()*\n]{{0,80}})"
+_ROUND = rf"\((?!{_REWRITTEN}\))\s*(?:(?:{_SHORT})?|{_SOUND})\s*\)"
+_STAR = rf"\*\s*(?:{_SHORT}|{_SOUND})\s*\*"
+_SQUARE = rf"\[{{1,2}}(?!{_REWRITTEN}\])[^\[\]\n]{{0,80}}\]{{1,2}}"
 _ANGLE = r"<(?![^<>]*(?:@|[ (\[](?:at|dot)[ )\]]))[^<>\n]{1,60}>"
-_NOISE = rf"{_SQUARE}|{_ROUND}|\{{[^{{}}\n]{{0,80}}\}}|{_ANGLE}|\*[^*\n]{{1,60}}\*|♪[^♪\n]{{0,80}}♪?"
+_NOISE = rf"{_SQUARE}|{_ROUND}|\{{[^{{}}\n]{{0,80}}\}}|{_ANGLE}|{_STAR}|♪[^♪\n]{{0,80}}♪?"
 _PHRASE = rf"(?i)(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(PHRASES)}),"
 #: Marks that may stand around a word.
-_MARKS = " .,;:!?…-–—\"'“”‘’()[]{}<>*♪|\u00a0"
-#: The ways a label can stand before its words: [label], <v label>, label: and label --
-_LABEL = rf"^(?:\[[^\[\]\n]{{1,60}}\]{_SPACE}*:?|<v[ .][^<>\n]{{1,60}}>|[^:\n\[\]<>]{{1,60}}?(?::|{_SPACE}--(?={_SPACE})))"
+_MARKS = " .,;:!?…-–—\"'“”‘’()[]{}<>*♪| "
+#: The ways a label can stand before its words: [label], (label), <v label>, label: and label --, each also with a clock after the name.
+_LABEL = (
+    rf"^(?:\[[^\[\]\n]{{1,60}}\]{_SPACE}*[:：]?|\([^()\n]{{1,60}}\){_SPACE}*[:：]?|<v[ .][^<>\n]{{1,60}}>"
+    rf"|[^:：\n\[\]<>]{{1,60}}?(?:{_SPACE}*[\[(]{_SPAN}[\])])?{_SPACE}*(?:[:：]|(?<={_SPACE})(?:--|[-–—])(?={_SPACE})))"
+)
 _LEAD = rf"^(?:{_SPACE}|{_CLOCK})+"
+_NOTES = rf"^(?:{_SPACE}|{_CLOCK}|{_NOISE}|(?i:{'|'.join(sorted(FILLERS, key=len, reverse=True))})[,.…]*{_SPACE})+"
+#: Where a part ends: at >>, before <v, at a line's end, and after a sentence that something with a colon follows.
+_PARTS = r">>|(?=<v[ .])|\R|(?<=[.?!…])\s+(?=[^\s.?!:：][^.?!:：\n]{0,59}[:：](?:\s|$))"
+_NEXT = r"[.?!…]\s+[^\s.?!:：][^.?!:：\n]{0,59}[:：](?:\s|$)"
 
 
 def _literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, where ``value`` is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _strip(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, "")
+
+
+def _dashed(text: Column) -> Column:
+    return F.contains(text, F.lit("-- ")) | F.contains(text, F.lit(" - ")) | F.contains(text, F.lit("– ")) | F.contains(text, F.lit("— "))
+
+
 def label_key(label: Column) -> Column:
-    """A label in one spelling: without case, separators, brackets and remarks such as ``(remote)``."""
-    return F.lower(F.regexp_replace(F.regexp_replace(label, r"\([^()]*\)", ""), r"[^\p{L}\p{N}]", ""))
+    """A label in one spelling: without case, separators, clocks, brackets and remarks such as ``(remote)``.
+
+    A label that stands in round brackets itself is what is between them.
+    """
+    bare = F.regexp_replace(label, rf"^\(([^()]*)\)", "$1")
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, rf"\([^()]*\)|\[{_SPAN}\]", ""), r"[^\p{L}\p{N}]", ""))
 
 
 class Roster:
@@ -57,83 +95,99 @@ class Roster:
                     self.names.setdefault(plain(k), r[0])
         self.keys = [k for k in self.names if len(k) >= 5]
 
-    def resolve(self, df: DataFrame, written: str, out: str = "label") -> DataFrame:
-        """Adds the proper name of the label in column ``written``, or null, as ``out``.
+    def resolve(self, written: Column) -> Column:
+        """The proper name of a written label, or null.
 
         A label is found by its key, as ``Speaker N``, or within one slip of the pen: a letter too many,
-        too few or wrong, or two neighbours exchanged; a slip counts only when it leads to one name. Each
-        step is a column of its own, so nothing is evaluated twice.
+        too few or wrong, or two neighbours exchanged; a slip counts only when it leads to one name.
         """
         names = F.map_from_arrays(_literals([*self.names]), _literals([*self.names.values()]))
-        key = F.col("__key")
-        alike = F.array_sort(F.split(key, ""))
-
-        def close(k: Column) -> Column:
-            swapped = (F.length(k) == F.length(key)) & (F.levenshtein(k, key, 2) == 2) & (F.array_sort(F.split(k, "")) == alike)
-            return (F.abs(F.length(k) - F.length(key)) <= 1) & ((F.levenshtein(k, key, 1) >= 0) | swapped)
-
-        near = F.array_distinct(F.transform(F.filter(_literals(self.keys), close), lambda k: F.element_at(names, k)))
-        exact = F.try_element_at(names, key) if self.names else F.lit(None).cast("string")
-        return (
-            df.withColumn("__key", label_key(F.col(written)))
-            .withColumn("__number", F.regexp_extract(F.coalesce("__key", F.lit("")), r"^(?:speaker|spkr|spk)0*(\d+)$", 1))
-            .withColumn("__exact", F.when(F.col("__number") != "", F.concat(F.lit("Speaker "), "__number")).otherwise(exact))
-            .withColumn("__near", F.when(F.col("__exact").isNull() & (F.length("__key") >= 5), near) if self.keys else F.lit(None).cast("array<string>"))
-            .withColumn(out, F.coalesce("__exact", F.when(F.size("__near") == 1, F.get("__near", F.lit(0)))))
-            .drop("__key", "__number", "__exact", "__near")
-        )
-
-
-def clean_words(df: DataFrame, text: str, out: str = "words") -> DataFrame:
-    """Adds the words of ``text`` in order, without marked noise and fillers, as an array; null text has none.
-
-    Each step is a column of its own, so nothing is evaluated twice, and a step that needs a regular
-    expression runs only where a cheap test finds what it would replace.
-    """
-    raw, low = F.col("__t"), F.col("__low")
-    marked, phrased = F.lit(False), F.lit(False)
-    for c in "[({<*♪":
-        marked = marked | F.contains(raw, F.lit(c))
-    for p in PHRASES:
-        phrased = phrased | F.contains(low, F.lit(p.lower() + ","))
-
-    def wanted(w: Column) -> Column:
-        return ~F.btrim(w, F.lit(_MARKS)).isin("", *FILLERS)
-
-    return (
-        df.withColumn("__t", F.coalesce(text, F.lit("")))
-        .withColumn("__t", F.when(marked, F.regexp_replace(raw, _NOISE, " ")).otherwise(raw))
-        .withColumn("__low", F.lower("__t"))
-        .withColumn("__t", F.when(phrased, F.regexp_replace(raw, _PHRASE, " ")).otherwise(raw))
-        .withColumn("__t", F.split(raw, rf"{_SPACE}+"))
-        .withColumn(out, F.filter("__t", lambda w: wanted(F.lower(w))))
-        .drop("__t", "__low")
-    )
 
+        def slips(key: Column) -> Column:
+            alike = F.array_sort(F.split(key, ""))
 
-def parts_of(rows: DataFrame, roster: Roster, text: str = "text") -> DataFrame:
-    """One row per part of a segment's text, with ``part``, ``label`` and ``words``; a part begins at ``>>`` or ``<v``.
+            def close(k: Column) -> Column:
+                swapped = (F.length(k) == F.length(key)) & (F.levenshtein(k, key, 2) == 2) & (F.array_sort(F.split(k, "")) == alike)
+                return (F.abs(F.length(k) - F.length(key)) <= 1) & ((F.levenshtein(k, key, 1) >= 0) | swapped)
 
-    ``words`` is an array; parts without words are still there. (A filter on it would be moved below the
-    steps that make it, and so repeat them.)
+            near = F.array_distinct(F.transform(F.filter(_literals(self.keys), close), lambda k: F.element_at(names, k)))
+            return F.when(F.length(key) >= 5, _let(near, lambda n: F.when(F.size(n) == 1, F.get(n, F.lit(0)))))
+
+        def name(key: Column) -> Column:
+            number = F.regexp_extract(key, r"^(?:speaker|spkr|spk)0*(\d+)$", 1)
+            exact = F.try_element_at(names, key) if self.names else F.lit(None).cast("string")
+            found = F.coalesce(exact, slips(key)) if self.keys else exact
+            return F.when(key.startswith("sp") & key.rlike(r"^(?:speaker|spkr|spk)\d+$"), F.concat(F.lit("Speaker "), number)).otherwise(found)
+
+        return _let(label_key(written), name)
+
+
+def clean_words(text: Column, with_words: bool = True) -> Column:
+    """The words of ``text`` in order, without marked noise and fillers, as text (or, without ``with_words``, their number).
+
+    A step that needs a regular expression runs only where a cheap test finds what it would replace.
     """
-    several = F.contains(F.col(text), F.lit(">>")) | F.contains(F.col(text), F.lit("<v"))
-    pieces = F.when(several, F.split(F.col(text), r">>|(?=<v[ .])")).otherwise(F.array(text))
-    parts = rows.select("*", F.posexplode(pieces).alias("part", "__raw")).drop(text)
-    parts = parts.withColumn("__s", F.regexp_replace("__raw", _LEAD, ""))
-    raw = F.col("__s")
-    maybe = F.contains(raw, F.lit(":")) | F.contains(raw, F.lit("--")) | raw.startswith("[") | raw.startswith("<v")
-    parts = parts.withColumn("__label", F.nullif(F.when(maybe, F.regexp_extract("__s", _LABEL, 0)), F.lit("")))
-    parts = roster.resolve(parts.withColumn("__name", F.regexp_replace("__label", r"^<v", "")), "__name")
-    rest = F.when(F.col("label").isNotNull(), F.expr("substring(__s, length(__label) + 1)")).otherwise(F.col("__s"))
-    parts = clean_words(parts.withColumn("__rest", F.regexp_replace(rest, _LEAD, "")), "__rest")
-    return parts.drop("__raw", "__s", "__label", "__name", "__rest")
+
+    def has(t: Column, marks: list[str]) -> Column:
+        any_of = F.lit(False)
+        for m in marks:
+            any_of = any_of | F.contains(t, F.lit(m))
+        return any_of
+
+    def unphrased(t: Column) -> Column:
+        return F.when(has(F.lower(t), [p.lower() + "," for p in PHRASES]), F.regexp_replace(t, _PHRASE, " ")).otherwise(t)
+
+    def noiseless(t: Column) -> Column:
+        return F.when(has(t, list("[({<*♪")), F.regexp_replace(t, _NOISE, " ")).otherwise(t)
+
+    said = _let(_let(text, noiseless), unphrased)
+    words = F.filter(F.split(said, rf"{_SPACE}+"), lambda w: ~F.btrim(F.lower(w), F.lit(_MARKS)).isin("", *FILLERS))
+    return F.array_join(words, " ") if with_words else F.size(words)
+
+
+def _part(raw: Column, roster: Roster, with_words: bool) -> Column:
+    """``struct(label, words)`` of one part: its label is the first thing in it but for clocks, noise and fillers."""
+
+    def labelled(s: Column) -> Column:
+        maybe = F.instr(s, ":").between(2, 90) | F.instr(s, "：").between(2, 90) | s.startswith("[") | s.startswith("(") | s.startswith("<") | _dashed(s)
+        label = F.when(maybe, F.regexp_extract(s, _LABEL, 0)).otherwise(F.lit(""))
+
+        def split(lab: Column) -> Column:
+            name = F.when(lab != "", roster.resolve(F.regexp_replace(lab, r"^<v", "")))
+            return _let(name, lambda n: F.struct(n.alias("label"), F.when(n.isNotNull(), F.substr(s, F.length(lab) + 1)).otherwise(s).alias("rest")))
+
+        return _let(label, split)
+
+    def behind_notes(s: Column, plain: Column) -> Column:
+        def look(notes: Column) -> Column:
+            def choose(b: Column) -> Column:
+                said = F.filter(F.transform(F.regexp_extract_all(notes, F.lit(r"(\[[^\[\]\n]{1,60}\])"), 1), roster.resolve), lambda n: n.isNotNull())
+                return F.struct(F.coalesce(b["label"], F.get(said, F.lit(0))).alias("label"), b["rest"].alias("rest"))
+
+            return F.when(notes == "", plain).otherwise(_let(labelled(F.substr(s, F.length(notes) + 1)), choose))
+
+        return _let(F.regexp_extract(s, _NOTES, 0), look)
+
+    def parse(s: Column) -> Column:
+        first = rf"^(?:[\[({{<*♪]|(?i:{'|'.join(FILLERS)})\b)"
+        worth = (F.contains(s, F.lit(":")) | F.contains(s, F.lit("：")) | F.contains(s, F.lit("]")) | _dashed(s)) & s.rlike(first)
+        return _let(labelled(s), lambda a: F.when(a["label"].isNull() & worth, behind_notes(s, a)).otherwise(a))
+
+    found = _let(_strip(raw, _LEAD), parse)
+    return _let(found, lambda f: F.struct(f["label"].alias("label"), clean_words(_strip(f["rest"], _LEAD), with_words).alias("words")))
+
+
+def parts_of(text: Column, roster: Roster, with_words: bool = True) -> Column:
+    """The parts of a segment's text as an array of ``struct(label, words)``; null for null text."""
+    several = F.contains(text, F.lit(">>")) | F.contains(text, F.lit("<v")) | F.contains(text, F.lit("\n")) | (F.contains(text, F.lit(":")) & text.rlike(_NEXT))
+    pieces = F.when(several, F.split(text, _PARTS)).otherwise(F.array(text))
+    return F.when(text.isNotNull(), F.transform(pieces, lambda p: _part(p, roster, with_words)))
 
 
 def anchor_start_ms(anchor: Column) -> Column:
     """The start of a written time range (``mm:ss``, ``hh:mm:ss``, ``12s``, ``3m07s``, ``1h02m03s``); null if unreadable."""
-    clock = r"^[\s \[(]*(?:(\d{1,4}):)?(\d{1,4}):(\d{2})(?!\d)(?:[.,](\d{1,3}))?"
-    units = r"^[\s \[(]*(?=\d)(?:(\d{1,4})h)?(?:(\d{1,5})m)?(?:(\d{1,9})(?:\.(\d{1,3}))?s)?(?![\p{L}\p{N}:])"
+    clock = r"^[\s \[(]*(?:(\d{1,9}):)?(\d{1,9}):(\d{2})(?!\d)(?:[.,](\d{1,3}))?"
+    units = r"^[\s \[(]*(?=\d)(?:(\d{1,9})h)?(?:(\d{1,9})m)?(?:(\d{1,9})(?:\.(\d{1,3}))?s)?(?![\p{L}\p{N}:])"
 
     def ms(pattern: str) -> Column:
         g = [F.regexp_extract(anchor, pattern, k) for k in (1, 2, 3, 4)]
@@ -144,102 +198,110 @@ def anchor_start_ms(anchor: Column) -> Column:
     return F.when(anchor.rlike(clock), ms(clock)).when(has_unit, ms(units))
 
 
-def segment_rows(segments: DataFrame, roster: Roster) -> DataFrame:
-    """Parts ``(recording, start_ms, ord, part, label, words)`` of ``audio_segment``, each (video_id, segment_id) once.
+def _first_of(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Of the rows of one (track, recording, name) the first by ``order``, as ``(track, recording, start_ms, ord, parts)``.
+
+    Texts are taken apart before, so labels and words (or only their number) are shuffled, combined within
+    each task first.
+    """
+    first = rows.groupBy("track", "recording", "name").agg(F.min(F.struct(*order, *(c for c in ("start_ms", "ord", "parts") if c not in order))).alias("r"))
+    return first.select("track", "recording", "r.start_ms", "r.ord", "r.parts")
+
+
+def segment_rows(segments: DataFrame, roster: Roster, with_words: bool = True) -> DataFrame:
+    """Rows ``(track, recording, start_ms, ord, parts)`` of ``audio_segment``, each (video_id, segment_id) once.
 
     Of re-delivered rows the first ingested counts.
     """
-    rows = (
-        segments.select("video_id", "segment_id", to_ms(F.col("start_seconds")).alias("start_ms"), "text", "ingested_at")
-        .where("start_ms is not null and text is not null")
-        .groupBy("video_id", "segment_id")
-        .agg(F.min(F.struct("ingested_at", "start_ms", "text")).alias("r"))
-        .select(F.col("video_id").alias("recording"), "r.start_ms", F.col("segment_id").cast("long").alias("ord"), "r.text")
-    )
-    return parts_of(rows, roster)
-
-
-def anchor_rows(anchors: DataFrame, roster: Roster) -> DataFrame:
-    """Parts ``(recording, start_ms, ord, part, label, words)`` of ``grounding_anchor``; of each (source, id) the smallest ``row_id``."""
-    rows = (
-        anchors.groupBy("source", "id")
-        .agg(F.min_by(F.struct("row_id", "temporal_anchor", "speaker", "extracted_verbatim"), "row_id").alias("r"))
-        .select(
-            F.col("source").alias("recording"), anchor_start_ms(F.col("r.temporal_anchor")).alias("start_ms"),
-            F.col("r.row_id").alias("ord"), F.lit(0).alias("part"), "r.speaker", "r.extracted_verbatim",
-        )
-        .where("start_ms is not null")
+    rows = segments.select(
+        F.lit("audio_segment").alias("track"), F.col("video_id").alias("recording"), F.col("segment_id").cast("string").alias("name"),
+        to_ms(F.col("start_seconds")).alias("start_ms"), F.col("segment_id").cast("long").alias("ord"), parts_of(F.col("text"), roster, with_words).alias("parts"),
+        F.col("ingested_at").isNull().alias("late"), "ingested_at", F.xxhash64("start_seconds", "text").alias("tie"),
     )
-    rows = clean_words(rows, "extracted_verbatim").drop("extracted_verbatim")
-    return roster.resolve(rows, "speaker").drop("speaker")
+    return _first_of(rows, ["late", "ingested_at", "tie"])
 
 
-def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS, with_words: bool = True) -> DataFrame:
-    """Every part with words, its speaker and its turn: ``(recording, start_ms, ord, part, words, speaker, turn)``.
+def anchor_rows(anchors: DataFrame, roster: Roster, with_words: bool = True) -> DataFrame:
+    """Rows ``(track, recording, start_ms, ord, parts)`` of ``grounding_anchor``; of each (source, id) the smallest ``row_id``."""
+    said = F.array(F.struct(roster.resolve(F.col("speaker")).alias("label"), clean_words(F.coalesce("extracted_verbatim", F.lit("")), with_words).alias("words")))
+    rows = anchors.select(
+        F.lit("grounding_anchor").alias("track"), F.col("source").alias("recording"), F.col("id").cast("string").alias("name"),
+        anchor_start_ms(F.col("temporal_anchor")).alias("start_ms"), F.col("row_id").cast("long").alias("ord"), said.alias("parts"),
+        F.xxhash64("temporal_anchor", "speaker", "extracted_verbatim").alias("tie"),
+    )
+    return _first_of(rows, ["ord", "tie"])
 
-    Without ``with_words``, ``words`` is their number.
 
-    ``turn`` numbers a recording's turns from 1. Speakers are filled forward and turns are islands of one
-    speaker, both in windows over (recording, hour): a recording of any length is spread over as many
-    tasks as it has hours, and only one row per hour (its last start and last label, its number of new
-    turns) is carried on. A break of ``break_ms`` or more, which must be at least an hour, lies between
-    two hours and so is found on those rows alone.
+def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS, with_words: bool = True) -> DataFrame:
+    """Every part with words, its speaker and its turn: ``(track, recording, start_ms, ord, part, words, speaker, turn)``.
+
+    Without ``with_words``, ``words`` is their number. ``turn`` numbers a recording's turns from 1. Speakers
+    are filled forward and turns are islands of one speaker, both in windows over (recording, hour): a
+    recording of any length is spread over as many tasks as it has hours, and only one row per hour (its
+    last start and last label, its number of new turns) is carried on. A break of ``break_ms`` or more,
+    which must be at least an hour, lies between two hours and so is found on those rows alone.
     """
     if break_ms < bucket_ms:
         raise ValueError("a break must be at least as long as a bucket")
-    said_what = F.array_join("words", " ") if with_words else F.size("words")
-    parts = rows.select("recording", "start_ms", "ord", "part", "label", said_what.alias("words"), bucket_of(F.col("start_ms"), bucket_ms).alias("b"))
-    parts = checkpoint(parts)  # the texts are taken apart once, not again for each summary
-    parts = parts.where("words <> ''" if with_words else "words > 0")  # only now, or the steps above would run again for it
+    counted = dict(rows.select(F.inline("parts")).dtypes)["words"] == "int"
+    if with_words and counted:
+        raise ValueError("these rows hold numbers of words only")
+    words = F.col("p.words") if with_words or counted else F.when(F.col("p.words") == "", 0).otherwise(F.size(F.split("p.words", " ")))
+    # null keys would make every join below compare two columns more than the windows are distributed by
+    keys = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(f"k_{c}") for c in ("track", "recording")]
+    parts = rows.where("start_ms is not null").select(*keys, "start_ms", "ord", F.posexplode("parts").alias("part", "p"))
+    parts = parts.select("k_track", "k_recording", "start_ms", "ord", "part", "p.label", words.alias("words"), bucket_of(F.col("start_ms"), bucket_ms).alias("b"))
+    parts = checkpoint(parts.where("words <> ''" if with_words else "words > 0"))  # the texts are taken apart once, not again for each summary
+    ks = ["k_track", "k_recording"]
     place = F.struct("start_ms", "ord", "part")
-    hours = parts.groupBy("recording", "b").agg(
+    hours = parts.groupBy(*ks, "b").agg(
         F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"),
         F.max_by("label", F.when(F.col("label").isNotNull(), place)).alias("last_label"),
     )
-    by_hour = Window.partitionBy("recording").orderBy("b")
+    by_hour = Window.partitionBy(*ks).orderBy("b")
     gap = F.col("lo") - F.lag("hi").over(by_hour)
     hours = hours.withColumn("fresh", F.coalesce(gap >= break_ms, F.lit(True)))
     hours = hours.withColumn("session", F.sum(F.col("fresh").cast("long")).over(by_hour))
-    in_session = Window.partitionBy("recording", "session").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select(
-        F.col("recording").alias("r2"), F.col("b").alias("b2"), "fresh",
-        F.coalesce(F.last("last_label", ignorenulls=True).over(in_session), F.lit(UNKNOWN)).alias("carried"),
-    )
-    here = Window.partitionBy("recording", "b").orderBy("start_ms", "ord", "part")
+    in_session = Window.partitionBy(*ks, "session").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.coalesce(F.last("last_label", ignorenulls=True).over(in_session), F.lit(UNKNOWN))
+    hours = hours.select(*ks, "b", "fresh", carried.alias("carried"))
+    here = Window.partitionBy(*ks, "b").orderBy("start_ms", "ord", "part")
     said = (
-        parts.join(hours, parts.recording.eqNullSafe(hours.r2) & (parts.b == hours.b2))
+        parts.join(hours, [*ks, "b"])
         .withColumn("speaker", F.coalesce(F.last("label", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
         .withColumn("previous", F.coalesce(F.lag("speaker").over(here), F.when(~F.col("fresh"), F.col("carried"))))
         .withColumn("begins", F.coalesce(F.col("speaker") != F.col("previous"), F.lit(True)))
         .withColumn("island", F.sum(F.col("begins").cast("long")).over(here))
-        .select("recording", "b", "start_ms", "ord", "part", "words", "speaker", "island")
+        .select(*ks, "b", "start_ms", "ord", "part", "words", "speaker", "island")
     )
-    said = carry_forward(said, ["recording"], "b", {"n": F.max("island")}, {"earlier": F.sum("n")})
-    return said.select("recording", "start_ms", "ord", "part", "words", "speaker", (F.col("island") + F.coalesce("earlier", F.lit(0))).alias("turn"))
+    said = carry_forward(said, ks, "b", {"n": F.max("island")}, {"earlier": F.sum("n")})
+    named = [F.when(F.col(k) != "", F.expr(f"substring({k}, 2)")).alias(k[2:]) for k in ks]
+    return said.select(*named, "start_ms", "ord", "part", "words", "speaker", (F.col("island") + F.coalesce("earlier", F.lit(0))).alias("turn"))
 
 
 def speaker_turns(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS) -> DataFrame:
-    """One row per turn: ``(recording, turn, start_ms, last_ms, speaker, parts, word_count)``.
+    """One row per turn: ``(track, recording, turn, start_ms, last_ms, speaker, parts, word_count)``.
 
-    ``rows`` has ``(recording, start_ms, ord, part, label, words)``, as ``segment_rows`` and ``anchor_rows`` make them.
+    ``rows`` has ``(track, recording, start_ms, ord, parts)``, as ``segment_rows`` and ``anchor_rows`` make
+    them, of one track or of several.
     Defined cases: rows without a start, without text or with nothing left after cleaning don't count
     and their labels aren't carried; null recordings are one recording; ties are ordered by ``ord``, then
     by the place in the segment; empty tables give an empty result; extra columns are ignored.
     """
-    return speaker_parts(rows, bucket_ms, break_ms, with_words=False).groupBy("recording", "turn").agg(
+    return speaker_parts(rows, bucket_ms, break_ms, with_words=False).groupBy("track", "recording", "turn").agg(
         F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("last_ms"), F.first("speaker").alias("speaker"),
         F.count(F.lit(1)).alias("parts"), F.sum("words").cast("long").alias("word_count"),
     )
 
 
 def turn_texts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS) -> DataFrame:
-    """The words of each turn in order, in one piece per hour: ``(recording, turn, piece, speaker, text)``.
+    """The words of each turn in order, in one piece per hour: ``(track, recording, turn, piece, speaker, text)``.
 
     A turn without any change of speaker may run through a whole recording, so its text isn't gathered
     into one row; ``piece`` is the hour, and pieces in order make the turn.
     """
     hour = bucket_of(F.col("start_ms"), bucket_ms)
-    pieces = speaker_parts(rows, bucket_ms, break_ms).groupBy("recording", "turn", hour.alias("piece")).agg(
+    pieces = speaker_parts(rows, bucket_ms, break_ms).groupBy("track", "recording", "turn", hour.alias("piece")).agg(
         F.first("speaker").alias("speaker"), F.sort_array(F.collect_list(F.struct("start_ms", "ord", "part", "words"))).alias("w")
     )
-    return pieces.select("recording", "turn", "piece", "speaker", F.array_join(F.col("w.words"), " ").alias("text"))
+    return pieces.select("track", "recording", "turn", "piece", "speaker", F.array_join(F.col("w.words"), " ").alias("text"))

@@ -33,6 +33,30 @@ def test_labels_in_all_their_forms(spark, roster):
         assert turns(spark, roster, [(0, f)]) == [(0, name or "Unknown Speaker")], f
 
 
+def test_labels_behind_clocks_notes_and_fillers(spark, roster):
+    """Clocks of any number of hours, notes and fillers may stand before a label, a clock behind its name; lines and sentences may end before one."""
+    forms = [
+        "[1639:58:54] Night Analyst: hi", "(123456:00:01) >> Night Analyst: hi", "1000:00:00 Night Analyst -- hi", "[00:12]Night Analyst: hi", "00:12 - 00:15 Night Analyst: hi",
+        "[noise] Night Analyst: hi", "[00:12] [laughs] Night Analyst: hi", "um Night Analyst: hi", "(door slams) um, Night Analyst: hi", "[noise] [Night Analyst] hi", "[noise] [NightAn] um, [static] hi",
+        "Night Analyst [00:12]: hi", "Night Analyst (00:12): hi", "(Night Analyst) hi", "Night Analyst - hi", "Night Analyst – hi", "Night Analyst：hi",
+    ]
+    got = segment_rows(spark.createDataFrame([(f, 1, 1.0, None, f, None, "", "", 0) for f in forms], SEG), roster).collect()
+    for r in got:
+        assert [(p.label, p.words) for p in r.parts if p.words] == [("Night Analyst", "hi")], r
+    for f in ("one\nNight Analyst: two", "one. Night Analyst: two", "one? um, Night Analyst: two >> three"):
+        assert turns(spark, roster, [(0, f)]) == [(0, "Unknown Speaker"), (0, "Night Analyst")], f
+    for f in ("it is 12:30 now", "the night analyst: gone", "we saw it - the counsel did", "[noise] so: this", "see (the counsel) there"):
+        assert turns(spark, roster, [(0, f)]) == [(0, "Unknown Speaker")], f
+
+
+def test_notes_go_and_speech_in_brackets_stays(spark, roster):
+    notes = ["(laughs)", "*coughs*", "(door slams)", "(pause 20s)", "{beep}", "♪ tone ♪", "<unk>", "[[SILENCE]]", "(a phone is ringing somewhere)", "*keyboard clatter*"]
+    for n in notes:
+        assert turns(spark, roster, [(0, n)]) == [], n
+    rows = segment_rows(spark.createDataFrame([("v", i, 1.0, None, x, None, "", "", 0) for i, x in enumerate(["(the budget is closed)", "*this is vital*"])], SEG), roster)
+    assert {r.text for r in turn_texts(rows).collect()} == {"(the budget is closed) *this is vital*"}
+
+
 def test_two_speakers_noise_and_carry(spark, roster):
     got = turns(
         spark, roster,
@@ -56,7 +80,7 @@ def test_ties_repeats_and_null_starts(spark, roster):
         ("v", 3, None, 9.0, "Call Moderator: x", t1, "", "", 0), ("v", 4, float("nan"), 9.0, "Call Moderator: x", t1, "", "", 0), (None, 1, 1.0, 2.0, "y", t1, "", "", 0),
     ]
     df = spark.createDataFrame(rows, SEG)
-    got = {(r.recording, r.turn, r.start_ms, r.speaker, r.parts) for r in speaker_turns(segment_rows(df, roster)).collect()}
+    got = {(r.recording, r.turn, r.start_ms, r.speaker, r.parts) for r in speaker_turns(segment_rows(df, roster, with_words=False)).collect()}
     assert got == {("v", 1, 5000, "Night Analyst", 1), ("v", 2, 5000, "Legal Counsel", 1), (None, 1, 1000, "Unknown Speaker", 1)}
     assert speaker_turns(segment_rows(df.limit(0), roster)).count() == 0
 
