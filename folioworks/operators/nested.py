@@ -39,8 +39,11 @@ GROUNDING_SHAPE: dict = {
 }
 
 _DECODER = json.JSONDecoder(strict=False)
+_ENCODE = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+_QUOTE = json.encoder.encode_basestring
 _NOT_WORD = re.compile(r"[\W_]+")
 _INDEX = re.compile(r"\d{1,9}\Z")
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 
 def _plain(name: str) -> str:
@@ -48,90 +51,130 @@ def _plain(name: str) -> str:
     return _NOT_WORD.sub("", name).lower()
 
 
-def compile_shape(shape: dict) -> dict:
-    """The shape with every level's fields by their plain spelling: plain -> (name, kind, fields)."""
-    out = {}
-    for name, sub in shape.items():
-        if sub is None:
-            out[_plain(name)] = (name, "value", None)
-        elif isinstance(sub, dict):
-            out[_plain(name)] = (name, "object", compile_shape(sub))
-        else:
-            out[_plain(name)] = (name, "list", compile_shape(sub[0]) if sub else None)
-    return out
+class Level:
+    """The fields of one level of a shape, found by any spelling."""
+
+    def __init__(self, shape: dict, path: str = ""):
+        self.path = path
+        self.fields: dict[str, tuple[str, str, Level | None]] = {}
+        for name, sub in shape.items():
+            at = f"{path}.{name}" if path else name
+            if sub is None:
+                self.fields[_plain(name)] = (name, "value", None)
+            elif isinstance(sub, dict):
+                self.fields[_plain(name)] = (name, "object", Level(sub, at))
+            else:
+                self.fields[_plain(name)] = (name, "list", Level(sub[0], at) if sub else None)
+        self._spelled: dict[str, tuple | None] = {}
+
+    def get(self, name: str) -> tuple[str, str, Level | None] | None:
+        """(proper name, kind, level below) of a field, or null for one outside the shape."""
+        try:
+            return self._spelled[name]
+        except KeyError:
+            if len(self._spelled) > 10_000:  # spellings seen before are only looked up faster
+                self._spelled.clear()
+            known = self._spelled[name] = self.fields.get(_plain(name))
+            return known
+
+    def known(self, record: dict) -> int:
+        return sum(self.get(k) is not None for k in record)
+
+
+def _objects(text: str) -> Iterator[tuple[dict, int]]:
+    """The complete JSON objects in ``text`` that stand in no other, each with its length, in one pass.
+
+    An object that breaks off in the middle isn't one, but complete objects within it are. One that runs
+    to the end of the text is cut off, and what it holds doesn't count.
+    """
+    i = text.find("{")
+    end_of_text = len(text.rstrip()) - 1
+    while i >= 0:
+        try:
+            value, end = _DECODER.raw_decode(text, i)
+            yield value, end - i
+        except ValueError as error:
+            end = max(getattr(error, "pos", i), i + 1)
+            if end >= end_of_text or "Unterminated" in str(error):
+                return
+            # up to the mistake the text is JSON, so its braces pair; the outermost pairs are objects
+            opened: list[int] = []
+            spans: list[tuple[int, int]] = []
+            for m in _TOKEN.finditer(text, i, end):
+                if m[0] == "{":
+                    opened.append(m.start())
+                elif m[0] == "}" and opened:
+                    begin = opened.pop()
+                    while spans and spans[-1][0] > begin:
+                        spans.pop()
+                    spans.append((begin, m.end()))
+            for begin, stop in spans:
+                try:
+                    yield _DECODER.raw_decode(text, begin)[0], stop - begin
+                except ValueError:
+                    continue
+        i = text.find("{", end)
 
 
-def find_record(text: str | None, fields: dict) -> dict | None:
+def find_record(text: str | None, level: Level) -> dict | None:
     """The complete JSON object in ``text``, whatever surrounds it; null if there is none.
 
-    Text that is itself a JSON string, or a list, is opened. Where several complete objects stand in the
-    text, the one with most fields of the shape is taken, of equals the longest, then the first.
+    Text that is itself a JSON string, or a list, is opened, however often. Where several complete objects
+    stand in the text, the one with most fields of the shape is taken, of equals the longest, then the
+    first. JSON nested deeper than Python's parser reaches (thousands of levels) counts as broken.
     """
-    if not text:
-        return None
     try:
-        value = json.loads(text, strict=False)
-    except ValueError:
-        value = None
-        ok = False
-    else:
-        ok = True
-    for _ in range(8):
-        if not (ok and isinstance(value, str)):
-            break
+        return _find(text, level)
+    except RecursionError:
+        return None
+
+
+def _find(text: str | None, level: Level) -> dict | None:
+    while text:
         try:
-            value = json.loads(value, strict=False)
+            value = json.loads(text, strict=False)
         except ValueError:
-            text, ok = value, False
-    if ok:
+            break
         if isinstance(value, dict):
             return value
-        if not isinstance(value, list):
+        if isinstance(value, list):
+            return max((x for x in value if isinstance(x, dict)), key=level.known, default=None)
+        if not isinstance(value, str):
             return None
-        found = [x for x in value if isinstance(x, dict)]
-        return max(found, key=lambda x: sum(_plain(k) in fields for k in x), default=None)
-    best, best_score, i, tries = None, (0, -1), text.find("{"), 0
-    while i >= 0 and tries < 10_000:
-        tries += 1
-        try:
-            value, end = _DECODER.raw_decode(text, i)
-        except ValueError as error:
-            # an object that runs to the end of the text is cut off; what it holds isn't a record
-            if getattr(error, "pos", 0) >= len(text.rstrip()) - 1 or "Unterminated" in str(error):
-                break
-            i = text.find("{", i + 1)
-            continue
-        if isinstance(value, dict):
-            score = (sum(_plain(k) in fields for k in value), end - i)
-            if score > best_score:
-                best, best_score = value, score
-        i = text.find("{", end)
+        text = value  # shorter than before, so this ends
+    if not text:
+        return None
+    best, best_score = None, (0, -1)
+    for value, size in _objects(text):
+        score = (level.known(value), size)
+        if score > best_score:
+            best, best_score = value, score
     if best is None and '\\"' in text:
         # a record inside a JSON string inside other text
         j = text.find('"')
         while j >= 0:
             try:
                 value, end = _DECODER.raw_decode(text, j)
-            except ValueError:
+            except ValueError as error:
+                if "Unterminated" in str(error):
+                    break
                 j = text.find('"', j + 1)
                 continue
             if isinstance(value, str) and "{" in value:
-                return find_record(value, fields)
+                return _find(value, level)
             j = text.find('"', end)
     return best if best_score[0] > 0 else None
 
 
 def _opened(value):
     """``value``, or what it holds when it is JSON text of a list or an object."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):
         s = value.strip()
         if not s or s[0] not in "[{\"" or s[-1] not in "]}\"":
             break
         try:
             inner = json.loads(s, strict=False)
-        except ValueError:
+        except (ValueError, RecursionError):
             break
         if not isinstance(inner, list | dict | str):
             break
@@ -139,141 +182,137 @@ def _opened(value):
     return value
 
 
-def as_list(value, fields: dict | None) -> list:
+def as_list(value) -> list:
     """What stands where the shape has a list, as that list."""
-    value = _opened(value)
+    if isinstance(value, str):
+        value = _opened(value)
     if value is None:
         return []
     if isinstance(value, list):
         return value
-    if isinstance(value, dict) and value and all(_INDEX.match(k) for k in value):
+    if isinstance(value, dict) and value and all(map(_INDEX.match, value)):
         at = {int(k): v for k, v in value.items()}
         if sorted(at) in ([*range(len(at))], [*range(1, len(at) + 1)]):
             return [at[k] for k in sorted(at)]
     return [value]
 
 
-def _canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _text(value) -> str:
+    """Canonical JSON of a plain value."""
+    return _QUOTE(value) if type(value) is str else _ENCODE(value)
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def walk(value, fields: dict, path: str, positions: str, rows: list) -> tuple[str, str]:
-    """Hashes ``value`` bottom-up; appends a row for each list element below it.
+#: Columns of an occurrence; the key comes before them.
+_COLUMNS = {
+    "kind": "string", "array_path": "string", "ordinal": "int", "positions": "string", "parent_positions": "string",
+    "parent_id": "string", "child_id": "string", "fields": "string",
+}
+_KIND, _PATH, _ORDINAL, _POSITIONS, _UP, _PARENT, _CHILD, _FIELDS = range(8)
+
 
-    A row is (array_path, ordinal, positions, parent_positions, child id, child's own fields). The id
-    of an object is the hash of its own fields and of its children's ids; equal subtrees have equal ids.
+def walk(value, level: Level, positions: str, rows: list[list]) -> tuple[str, str]:
+    """Hashes ``value`` bottom-up; appends a row (in the order of ``_COLUMNS``) for each object and list element below it.
+
+    The id of an object is the hash of its own fields and of its children's ids; equal subtrees have equal
+    ids. Returns the id and the own fields as canonical JSON.
     """
-    value = _opened(value)
+    if isinstance(value, str):
+        value = _opened(value)
     if isinstance(value, list):  # an object wrapped in a list of one
         value = next((x for x in value if x is not None), None)
-    own: dict = {}
-    links: list = []
+    own: dict[str, str] = {}
+    links: dict[str, list[str]] = {}
+    mine: list[list] = []
     if isinstance(value, dict):
         for key, sub in value.items():
-            known = fields.get(_plain(key))
+            known = level.get(key)
             if known is None:
                 continue
             name, kind, below = known
-            at = f"{path}.{name}"
             if kind == "value":
-                own[name] = sub
+                own[name] = _text(sub)
             elif kind == "object":
-                ident, text = walk(sub, below, at, positions, rows)
-                links.append((name, ident))
-                if text != "{}":
-                    own[name] = json.loads(text)
+                if sub is None:
+                    continue
+                ident, text = walk(sub, below, positions, rows)
+                links.setdefault(name, []).append(ident)
+                mine.append(["object", below.path, None, positions, positions, None, ident, text])
             else:
-                ids = []
-                for k, x in enumerate(as_list(sub, below)):
+                at = f"{level.path}.{name}"
+                ids = links.setdefault(name, [])
+                first = len(ids)  # a second spelling of the list goes on where the first ended
+                for k, x in enumerate(as_list(sub), first):
                     if x is None:
-                        ids.append(None)
-                        rows.append((at, k, None, positions, None, None))
+                        ids.append("")
+                        mine.append(["element", at, k, None, positions, None, None, None])
                         continue
                     here = f"{positions}.{k}" if positions else str(k)
                     if below is None:
-                        text = _canonical(x)
+                        text = '{"value":' + _text(x) + "}"
                         ident = _digest(f"{at}\0{text}")
                     else:
-                        ident, text = walk(x, below, at, here, rows)
+                        ident, text = walk(x, below, here, rows)
                     ids.append(ident)
-                    rows.append((at, k, here, positions, ident, text))
-                links.append((name, ids))
+                    mine.append(["element", at, k, here, positions, None, ident, text])
     elif value is not None:
-        own["value"] = value
-    text = _canonical(own)
-    links.sort(key=lambda x: x[0])
-    return _digest(f"{path}\0{text}\0{_canonical(links)}"), text
-
-
-_BRIDGE = pa.struct(
-    [
-        ("array_path", pa.string()), ("ordinal", pa.int32()), ("positions", pa.string()), ("parent_positions", pa.string()),
-        ("parent_id", pa.string()), ("child_id", pa.string()), ("fields", pa.string()),
-    ]
-)
-_BRIDGE_DDL = "array_path string, ordinal int, positions string, parent_positions string, parent_id string, child_id string, fields string"
-
-
-def occurrences(df: DataFrame, key: str = "context_id", shape: dict | None = None) -> DataFrame:
-    """Every list element of the nested columns of ``df``, with its place and its parent's.
-
-    Returns ``(<key>, array_path, ordinal, positions, parent_positions, parent_id, child_id, fields)``.
-    ``array_path`` names the list, ``positions`` the 0-based places of the element and of the elements
-    around it; ``child_id`` and ``parent_id`` are Merkle identities of the element and of the element
-    (or record) around it; ``fields`` holds the element's own fields as canonical JSON. The columns of
-    the shape hold JSON text. Parsing runs in Arrow batches, without a shuffle.
-
-    Defined cases: null, empty, broken or truncated text gives no rows; null elements keep their place
-    and appear as a row with null ``child_id`` and ``positions``; a single value is a list of one,
-    objects with the keys 0..n-1 are lists, JSON text inside a field is opened; unknown fields don't
-    count; of two spellings of a field in one object both count, in their order; repeated input rows
-    give repeated output rows; extra columns are ignored.
+        own["value"] = _text(value)
+    text = "{" + ",".join([f'"{n}":{own[n]}' for n in sorted(own)]) + "}"
+    ident = _digest(f"{level.path}\0{text}\0" + "\0".join([f"{n}:{','.join(links[n])}" for n in sorted(links)]))
+    for row in mine:
+        row[_PARENT] = ident
+    rows += mine
+    return ident, text
+
+
+def occurrences(df: DataFrame, key: str = "context_id", shape: dict | None = None, columns: tuple[str, ...] = tuple(_COLUMNS)) -> DataFrame:
+    """Every record, object and list element of the nested columns of ``df``, with its place and its parent's.
+
+    Returns ``(<key>, kind, array_path, ordinal, positions, parent_positions, parent_id, child_id, fields)``,
+    or the key and those of ``columns``. ``kind`` is ``record`` for a whole field value, ``object`` for an
+    object that stands in no list and ``element`` for an element of a list. ``array_path`` names the list
+    or object, ``positions`` the 0-based places of the element and of the elements around it; ``child_id``
+    and ``parent_id`` are Merkle identities of the row itself and of what is around it (null for a
+    record); ``fields`` holds the row's own fields as canonical JSON, of a plain value ``{"value": ...}``.
+    So every ``parent_id`` is the ``child_id`` of a row. The columns of the shape hold JSON text. Parsing
+    runs in Arrow batches, without a shuffle.
+
+    Defined cases: null, empty, broken or truncated text gives no rows; a record without lists has its own
+    row; null elements keep their place and appear as a row with null ``child_id`` and ``positions``; a
+    single value is a list of one, objects with the keys 0..n-1 are lists, JSON text inside a field is
+    opened; unknown fields don't count; of two spellings of a list in one object the second goes on where
+    the first ends, of two spellings of a plain field the last counts; repeated input rows give repeated
+    output rows; extra columns are ignored.
     """
     shape = shape or GROUNDING_SHAPE
-    columns = list(shape)
-    compiled = {c: compile_shape(shape[c]) for c in columns}
+    levels = {c: Level(s, c) for c, s in shape.items()}
     types = dict(df.select(key).dtypes)
+    places = [list(_COLUMNS).index(c) for c in columns]
+    arrow = [pa.int32() if c == "ordinal" else pa.string() for c in columns]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take: list[int] = []
-            out: list[tuple] = []
-            for c in columns:
+            rows: list[list] = []
+            for c, level in levels.items():
                 for i, text in enumerate(batch.column(c).to_pylist()):
-                    record = find_record(text, compiled[c])
+                    record = find_record(text, level)
                     if record is None:
                         continue
-                    rows: list = []
-                    root, _ = walk(record, compiled[c], c, "", rows)
-                    ids = {"": root} | {r[2]: r[4] for r in rows if r[2] is not None}
-                    # the same positions may stand for elements of different lists; the parent is the list's own
-                    by_path = {(r[0], r[2]): r[4] for r in rows if r[2] is not None}
-                    lists = {r[0] for r in rows}
-                    for at, k, here, up, ident, own in rows:
-                        parent = root
-                        if up:
-                            above = at
-                            while above:
-                                above = above.rpartition(".")[0]
-                                if above in lists and (above, up) in by_path:
-                                    parent = by_path[above, up]
-                                    break
-                            else:
-                                parent = ids[up]
-                        out.append((at, k, here, up, parent, ident, own))
-                    take.extend([i] * len(rows))
+                    before = len(rows)
+                    ident, own = walk(record, level, "", rows)
+                    rows.append(["record", c, None, None, None, None, ident, own])
+                    take.extend([i] * (len(rows) - before))
             if not take:
                 continue
             keys = batch.column(key).take(pa.array(take, pa.int64()))
-            cols = list(zip(*out, strict=True))
-            arrays = [pa.array(col, f.type) for col, f in zip(cols, _BRIDGE, strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, *arrays], names=[key, *(f.name for f in _BRIDGE)])
+            arrays = [pa.array([r[p] for r in rows], t) for p, t in zip(places, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, *arrays], names=[key, *columns])
 
-    return df.select(key, *columns).mapInArrow(parse, f"`{key}` {types[key]}, {_BRIDGE_DDL}")
+    return df.select(key, *levels).mapInArrow(parse, ", ".join([f"`{key}` {types[key]}", *(f"{c} {_COLUMNS[c]}" for c in columns)]))
 
 
 def object_store(rows: DataFrame) -> DataFrame:
@@ -282,24 +321,34 @@ def object_store(rows: DataFrame) -> DataFrame:
     Counts are combined before the shuffle, so an object that stands in a third of all records costs one
     row per task.
     """
-    return (
-        rows.where("child_id is not null")
-        .groupBy("child_id", "array_path")
-        .agg(F.first("fields").alias("fields"), F.count(F.lit(1)).alias("uses"))
-    )
+    return rows.where("child_id is not null").groupBy("child_id", "array_path", "fields").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def bridge(rows: DataFrame, key: str = "context_id") -> DataFrame:
-    """Parent-child links of every occurrence: ``(<key>, array_path, ordinal, positions, parent_positions, parent_id, child_id)``."""
-    return rows.select(key, "array_path", "ordinal", "positions", "parent_positions", "parent_id", "child_id")
+    """Parent-child links of every occurrence; a record links to nothing above it."""
+    return rows.select(key, "kind", "array_path", "ordinal", "positions", "parent_positions", "parent_id", "child_id")
+
+
+def list_paths(shape: dict | None = None, path: str = "") -> dict[str, list[str]]:
+    """The lists of a shape by path, each with the plain fields of its elements (``value`` for plain ones)."""
+    out: dict[str, list[str]] = {}
+    for name, sub in (shape or GROUNDING_SHAPE).items():
+        at = f"{path}.{name}" if path else name
+        if isinstance(sub, list):
+            out[at] = [n for n, x in sub[0].items() if x is None] if sub else ["value"]
+            sub = sub[0] if sub else None
+        if isinstance(sub, dict):
+            out |= list_paths(sub, at)
+    return out
 
 
-def flat_table(store: DataFrame, links: DataFrame, array_path: str, fields_ddl: str) -> DataFrame:
-    """The flat table of one list: its links with the stored objects' fields as columns.
+def flat_table(rows: DataFrame, array_path: str, fields: list[str], key: str = "context_id") -> DataFrame:
+    """The flat table of one list: ``(<key>, ordinal, positions, parent_positions, parent_id, child_id, *fields)``.
 
-    ``fields_ddl`` types the fields; a field of another type comes out null.
+    Fields are text, as written in the record (lists and objects as JSON). Made of the rows of
+    ``occurrences`` without a join, so an object that stands everywhere is no hot key; joining ``bridge``
+    with ``object_store`` on ``child_id`` gives the same rows.
     """
-    objects = store.where(F.col("array_path") == array_path).select("child_id", F.from_json("fields", fields_ddl).alias("f"))
-    return links.where((F.col("array_path") == array_path) & F.col("child_id").isNotNull()).join(objects, "child_id").select(
-        *[c for c in links.columns if c not in ("array_path",)], "f.*"
-    )
+    own = F.from_json("fields", ", ".join(f"`{f}` string" for f in fields))
+    named = rows.where((F.col("array_path") == array_path) & F.col("child_id").isNotNull() & (F.col("kind") == "element")).withColumn("f", own)
+    return named.select(key, "ordinal", "positions", "parent_positions", "parent_id", "child_id", *[F.col("f")[f].alias(f) for f in fields])

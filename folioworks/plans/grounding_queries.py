@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.operators.intervals import coverage
-from folioworks.operators.nested import bridge, flat_table, object_store, occurrences
-from folioworks.session import checkpoint, spread, table
+from folioworks.operators.nested import bridge, flat_table, list_paths, object_store, occurrences
+from folioworks.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,21 +37,31 @@ select track, video_id, 'gap', before, s from ordered where before is not null a
 """
 
 
+def _occurrences(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return occurrences(spread(table(spark, d, "enriched_grounding")), **kw)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    links = bridge(occurrences(spread(table(spark, d, "enriched_grounding"))))
-    return links.where("child_id is not null").select("context_id", "array_path", "positions")
+    rows = _occurrences(spark, d, columns=("kind", "array_path", "positions", "child_id"))
+    return rows.where("kind = 'element' and child_id is not null").select("context_id", "array_path", "positions")
 
 
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Identical objects, stored once."""
-    return object_store(occurrences(spread(table(spark, d, "enriched_grounding"))))
+    """Identical records, objects and elements, stored once."""
+    return object_store(_occurrences(spark, d))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """The bridge: every occurrence with its parent's id."""
+    return bridge(_occurrences(spark, d))
+
 
+def _flat(path: str, fields: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: flat_table(_occurrences(spark, d), path, fields)
 
-def p3_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """One of the flat tables: the hosts of affected systems, each with its place and its parent's."""
-    rows = checkpoint(occurrences(spread(table(spark, d, "enriched_grounding"))))
-    return flat_table(object_store(rows), bridge(rows), "threat_metadata.affected_systems.hosts", "host string")
 
+#: The flat table of each list, by query name: p3_iocs_sightings for threat_metadata.iocs.sightings.
+FLAT = {f"p3_{path.partition('.')[2].replace('.', '_')}": _flat(path, fields) for path, fields in list_paths().items()}
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_objects, p3_hosts)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_objects, p3_links)} | FLAT
 SQL = {"p1_found": P1_SQL}
