@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.lookalikes import look_classes, look_pairs
 from folioworks.llm.mixing import mix_sources
-from folioworks.llm.packing import fill_report, pack_items
+from folioworks.llm.packing import fill_report, pack_items, window_shares
 from folioworks.llm.personal import find_personal, fit_model
 from folioworks.llm.splitting import split_documents
 from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
@@ -67,14 +67,27 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, True).select("field", "row_id", "redacted")
 
 
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    n = capacity_of(spark, d)
+    return pack_items(spread(table(spark, d, "documents")), n), n
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = pack_items(spread(table(spark, d, "documents")), capacity_of(spark, d))
-    return packed.where("pieces > 1 and piece = 0").select("doc_id").distinct()
+    return _packed(spark, d)[0].where("pieces > 1 and piece = 0").select("doc_id").distinct()
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    n = capacity_of(spark, d)
-    return fill_report(pack_items(spread(table(spark, d, "documents")), n), n)
+    return fill_report(*_packed(spark, d))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """What lies in which container."""
+    return _packed(spark, d)[0].drop("target_share")
+
+
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source in every container."""
+    return window_shares(_packed(spark, d)[0])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +99,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_target")).report
 
 
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a page with the slot of its block."""
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_target")).selection
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(look_classes(spread(table(spark, d, "documents"))))
 
@@ -96,4 +114,8 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_texts, p5_found, p5_redacted, p6_found, p6_fill, p7_found, p7_report, p8_found, p8_classes)}
+    every = (
+        p2_found, p2_pieces, p4_found, p4_texts, p5_found, p5_redacted, p6_found, p6_fill, p6_containers, p6_windows, p7_found, p7_report, p7_selection,
+        p8_found, p8_classes,
+    )
+    return {f.__name__: f for f in every}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ TOKENIZER = os.environ.get("FOLIOWORKS_TOKENIZER", "/opt/tokenizers/byte_bpe_50k
 #: Fixed value: the public split pattern that belongs to the byte-level vocabularies.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
 
 @functools.cache
 def encoder(path: str = TOKENIZER):
@@ -31,21 +34,20 @@ def encoder(path: str = TOKENIZER):
 def count_tokens(text: str | None, path: str = TOKENIZER, chunk: int = 20_000) -> int:
     """Tokens of ``text``; null and empty texts have 0.
 
-    Texts beyond ``chunk`` characters are counted in pieces cut before a space that follows a letter,
-    where the split pattern always begins a new piece, so the count is that of the whole text.
+    Long texts are counted in pieces of about ``chunk`` characters, cut only at a single space between two
+    ASCII letters: there the split pattern always begins a new piece, so the count is that of the whole
+    text. Where no such place follows, the rest is counted as one.
     """
     if not text:
         return 0
     enc = encoder(path)
     n = start = 0
     while len(text) - start > chunk:
-        cut = start + chunk
-        while cut > start + 1 and not (text[cut] == " " and text[cut - 1].isalpha() and cut + 1 < len(text) and text[cut + 1].isalpha()):
-            cut -= 1
-        if cut == start + 1:
-            cut = start + chunk
-        n += len(enc.encode_ordinary(text[start:cut]))
-        start = cut
+        cut = _CUT.search(text, start + chunk)
+        if cut is None:
+            break
+        n += len(enc.encode_ordinary(text[start : cut.start()]))
+        start = cut.start()
     return n + len(enc.encode_ordinary(text[start:]))
 
 
