@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -36,8 +37,12 @@ _T, _S, _P, _U, _C = (frozenset(x.split()) for x in (TITLES, STREETS, PREPOSED_S
 _DIGITS = DIGIT_WORDS.replace(" ", "|")
 _AT = r"(?:[ \xa0]?@[ \xa0]?|[ \xa0]?\[(?:at|@)\][ \xa0]?|[ \xa0]?\((?:at|@)\)[ \xa0]?)"
 _DOT = r"(?:\.|[ \xa0]?\[(?:dot|\.)\][ \xa0]?|[ \xa0]?\((?:dot|\.)\)[ \xa0]?)"
+#: What can only be plain words: small ASCII letters and single spaces, up to a word that an address or number may begin with.
+_PLAIN = rf"(?-i:(?!(?:{_DIGITS})\b)(?:[a-z]{{2,}}[ ](?![@\[(]|(?:at|dot|underscore|dash|plus|{_DIGITS})\b))+)"
+#: Marks and capitalised words that no longer token begins with.
+_FAST = rf"[.,;:!?|*\"'/=<>{{}}\#-]|(?-i:[A-Z][a-z]+(?=[ ,;!?|*\n](?![@\[(]|(?:at|dot|underscore|dash|plus)\b)))(?<!\b(?:Zero|Four|Five|Nine))(?<!\b(?:One|Two|Six))(?<!\b(?:Three|Seven|Eight))(?<!\bOh)(?<!\bDouble)(?<!\bTriple)"
 _TOKEN = re.compile(
-    rf"""(?P<uri>[A-Za-z][A-Za-z+]{{1,9}}://\S+)
+    rf"""(?P<plain>{_PLAIN})|(?P<fast>{_FAST})|(?P<uri>[A-Za-z][A-Za-z+]{{1,9}}://\S+)
     |(?P<email>\w[\w.+-]*{_AT}\w[\w-]*(?:{_DOT}\w[\w-]*)*{_DOT}[^\W\d_]{{2,}}(?![\w@])
       |\w+(?:[ ](?:dot|underscore|dash|plus)[ ]\w+)*[ ]at[ ]\w+(?:[ ]dot[ ]\w+)*[ ]dot[ ][^\W\d_]{{2,}}(?!\w))
     |(?P<package>[\w.+-]+@[\d.]*\d)
@@ -69,16 +74,31 @@ class Tokens:
 
 def tokenize(text: str) -> Tokens:
     t = Tokens()
+    start, end, kinds, texts, lows = t.start, t.end, t.kind, t.text, t.low
     for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m.group()
+        kind, s = m.lastgroup, m[0]
+        a = m.start()
+        if kind == "plain":
+            words = s.split()
+            texts += words
+            lows += words
+            kinds += ["word"] * len(words)
+            for w in words:
+                start.append(a)
+                a += len(w)
+                end.append(a)
+                a += 1
+            continue
+        if kind == "fast":
+            kind = "word" if len(s) > 1 else "mark"
         low = s.lower()
         if kind == "word" and low.endswith(("'s", "’s")):
             low = low[:-2]
-        t.start.append(m.start())
-        t.end.append(m.end())
-        t.kind.append(kind)
-        t.text.append(s)
-        t.low.append(low)
+        start.append(a)
+        end.append(a + len(s))
+        kinds.append(kind)
+        texts.append(s)
+        lows.append(low)
     return t
 
 
@@ -104,6 +124,9 @@ class Model:
     words: dict = field(default_factory=dict)
     phone_left: dict = field(default_factory=dict)
     phone_right: dict = field(default_factory=dict)
+    known: frozenset | None = None
+    chain_table: np.ndarray = field(default_factory=lambda: _CHAIN)
+    link_table: np.ndarray = field(default_factory=lambda: _LINK)
 
 
 #: A context counts as one of mentions when at least this share of what stands in it is certain; the rest of
@@ -130,16 +153,19 @@ def _namelike(t: Tokens, i: int, m: Model) -> bool:
 
 def _runs(t: Tokens, m: Model) -> Iterator[tuple[int, int]]:
     """Maximal runs of capitalised words that aren't usually small, with initials between or before them."""
-    n, i = len(t.kind), 0
-    while i < n:
-        if _namelike(t, i, m) or t.kind[i] == "initial" and i + 1 < n and _namelike(t, i + 1, m):
-            j = i + 1
-            while j < n and (_namelike(t, j, m) or t.kind[j] == "initial" and j + 1 < n and _namelike(t, j + 1, m)):
-                j += 1
-            yield i, j
-            i = j
-        else:
-            i += 1
+    small = m.lower
+    big = [i for i, (k, s) in enumerate(zip(t.kind, t.text, strict=True)) if k == "word" and s[0].isupper() and len(s) > 1]
+    names = {i for i in big if t.low[i] not in small and len(t.low[i]) > 1 and t.low[i] not in _T}
+    if not names:
+        return
+    inside = sorted(names | {i - 1 for i in names if i and t.kind[i - 1] == "initial"})
+    a = b = inside[0]
+    for i in inside:
+        if i > b + 1:
+            yield a, b + 1
+            a = i
+        b = i
+    yield a, b + 1
 
 
 def _around(t: Tokens, a: int, b: int) -> tuple[str, str]:
@@ -189,6 +215,14 @@ def _phone_shape(s: str) -> float:
 
 
 def fit(texts: Iterable[str], given: Iterable[str], family: Iterable[str]) -> Model:
+    """The model of a sample of texts: scores of contexts and words (``fit_scores``), then edge potentials (``fit_potentials``)."""
+    texts = [x for x in texts if x]
+    m = fit_scores(texts, given, family)
+    fit_potentials(texts, m)
+    return m
+
+
+def fit_scores(texts: Iterable[str], given: Iterable[str], family: Iterable[str]) -> Model:
     """Fits the context and word scores from texts whose certain mentions are the labels.
 
     Certain names are known full names and capitalised words after a title; certain phone numbers are
@@ -236,7 +270,7 @@ def fit(texts: Iterable[str], given: Iterable[str], family: Iterable[str]) -> Mo
         for i, k in enumerate(t.kind):
             if k == "email":
                 local = re.split(r"[ \xa0]?(?:@|[\[(](?:at|@)[\])])| at ", t.low[i])[0]
-                parts.update({p for p in re.split(r"[\d._+\- ]+", local) if len(p) > 2} - {"dot", "plus", "alerts"})
+                parts.update({p for p in re.split(r"[\d._+\- ]+", local) if len(p) > 2} - {"dot", "plus"})
     # contexts are scored by the mentions in them and words by their contexts, twice: the second time runs of
     # words that were found to be names count as mentions too
     for _ in range(2):
@@ -269,19 +303,17 @@ def _evidence(t: Tokens, m: Model) -> dict[int, np.ndarray]:
             v = out[i] = np.array([0.0, -3.0, -3.0, -3.0, -3.0, -3.0])
         return v
 
-    for i in range(n):
-        k = t.kind[i]
-        if k in _SHARP:
-            _sharp_evidence(t, i, k, m, at)
-        elif k == "word":
-            w = t.low[i]
-            if w in m.given or w in m.family:
-                e = _pair(t, i, m)
-                if e:
-                    for j in range(i, e):
-                        at(j)[NAME] += 8.0
-            if w.endswith(("strasse", "straße")) and i + 1 < n and t.kind[i + 1] == "house":
-                _address_evidence(t, i, i + 2, m, at)
+    known = m.given | m.family if m.known is None else m.known
+    m.known = known
+    sharp = [i for i, k in enumerate(t.kind) if k in _SHARP]
+    for i in sharp:
+        _sharp_evidence(t, i, t.kind[i], m, at)
+        if i and t.kind[i] == "house" and t.kind[i - 1] == "word" and t.low[i - 1].endswith(("strasse", "straße")):
+            _address_evidence(t, i - 1, i + 1, m, at)
+    for i in [i for i, w in enumerate(t.low) if w in known]:
+        if t.kind[i] == "word":
+            for j in range(i, _pair(t, i, m)):
+                at(j)[NAME] += 8.0
     for a, b in _runs(t, m):
         l, r = _around(t, a, b)
         titled = _title(t, a - 1)
@@ -401,7 +433,7 @@ def _sharp_evidence(t: Tokens, i: int, k: str, m: Model, at) -> None:
                     return
 
 
-#: Log-potentials of neighbouring labels.
+#: Log-potentials of neighbouring labels and of the labels of linked distant tokens, before they are estimated.
 _CHAIN = np.full((6, 6), -3.0)
 np.fill_diagonal(_CHAIN, 1.0)
 _CHAIN[O, :] = -1.0
@@ -412,7 +444,9 @@ np.fill_diagonal(_LINK, SKIP)
 _LINK[O, O] = 0.0
 
 
-def infer(unary: np.ndarray, chain: np.ndarray, links: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def infer(
+    unary: np.ndarray, chain: np.ndarray, links: np.ndarray, rounds: int = ROUNDS, chain_table: np.ndarray = _CHAIN, link_table: np.ndarray = _LINK
+) -> np.ndarray:
     """The labels of all nodes by loopy max-product message passing, all edges at once.
 
     ``chain`` and ``links`` hold pairs of node numbers: neighbours, and distant repeated or similar tokens.
@@ -424,7 +458,7 @@ def infer(unary: np.ndarray, chain: np.ndarray, links: np.ndarray, rounds: int =
     edges = np.concatenate([chain, links]).reshape(-1, 2)
     if not len(edges):
         return unary.argmax(1).astype(np.int8)
-    tables = np.concatenate([np.repeat(_CHAIN[None], len(chain), 0), np.repeat(_LINK[None], len(links), 0)])
+    tables = np.concatenate([np.repeat(chain_table[None], len(chain), 0), np.repeat(link_table[None], len(links), 0)])
     src = np.concatenate([edges[:, 0], edges[:, 1]])
     dst = np.concatenate([edges[:, 1], edges[:, 0]])
     potential = np.concatenate([tables, tables.transpose(0, 2, 1)])
@@ -440,45 +474,123 @@ def infer(unary: np.ndarray, chain: np.ndarray, links: np.ndarray, rounds: int =
     return belief.argmax(1).astype(np.int8)
 
 
-def mentions(texts: list[str | None], m: Model, rounds: int = ROUNDS) -> list[list[tuple[str, int, int]]]:
-    """The mentions of every text as (type, start, end), in order; starts and ends are 0-based code points."""
-    unary, chain, links, where = [], [], [], []
-    tokens: list[Tokens | None] = []
+def _folded(word: str) -> str:
+    """A word without accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+@dataclass
+class Graph:
+    """The nodes of a batch of texts, their evidence, and the two kinds of edges."""
+
+    tokens: list[Tokens | None] = field(default_factory=list)
+    unary: list[np.ndarray] = field(default_factory=list)
+    where: list[tuple[int, int]] = field(default_factory=list)
+    first: list[int] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+    chain: list[tuple[int, int]] = field(default_factory=list)
+    links: list[tuple[int, int]] = field(default_factory=list)
+
+    def labels(self, m: Model, rounds: int = ROUNDS, with_links: bool = True) -> np.ndarray:
+        links = np.array(self.links if with_links else [], np.int64).reshape(-1, 2)
+        return infer(np.array(self.unary).reshape(-1, 6), np.array(self.chain, np.int64).reshape(-1, 2), links, rounds, m.chain_table, m.link_table)
+
+
+def graph(texts: list[str | None], m: Model) -> Graph:
+    """The field over all texts of a batch: a node for each token that may belong to a mention.
+
+    Neighbouring nodes are chained. A node is linked to the last earlier node of its text that is the same
+    word (without case, accents or possessive), the same number (its last nine letters and digits, however
+    grouped), or the given name an initial before the same family name stands for.
+    """
+    g = Graph()
+    outside_before, outside_after = m.chain_table[O], m.chain_table[:, O]
     for row, text in enumerate(texts):
         if not text:
-            tokens.append(None)
+            g.tokens.append(None)
             continue
         t = tokenize(text)
         t.source = text
-        tokens.append(t)
-        seen: dict[str, int] = {}
+        g.tokens.append(t)
+        seen: dict = {}
         number: dict[int, int] = {}
         found = _evidence(t, m)
         for i in sorted(found):
-            k = number[i] = len(unary)
+            k = number[i] = len(g.unary)
             v = found[i]
             # the neighbours that are outside for certain
             if i - 1 not in found:
-                v = v + _CHAIN[O]
+                v = v + outside_before
+                g.first.append(k)
             if i + 1 not in found:
-                v = v + _CHAIN[:, O]
-            unary.append(v)
-            where.append((row, i))
+                v = v + outside_after
+                g.last.append(k)
+            g.unary.append(v)
+            g.where.append((row, i))
             if i - 1 in number:
-                chain.append((number[i - 1], k))
-            same = None
-            if t.kind[i] == "word" and len(t.low[i]) > 3:
-                same = t.low[i]
-            elif t.kind[i] in ("number", "tag", "house") and len(t.text[i]) > 6:
-                same = "".join(c for c in t.low[i] if c.isalnum())[-10:]
+                g.chain.append((number[i - 1], k))
+            same, kind, low = None, t.kind[i], t.low[i]
+            if kind == "word":
+                if len(low) > 3:
+                    same = _folded(low)
+                if i + 1 in found and t.kind[i + 1] == "word":
+                    seen[low[0], t.low[i + 1]] = k
+            elif kind == "initial":
+                same = (low[0], t.low[i + 1]) if i + 1 in found else None
+            elif kind in ("number", "tag", "house") and len(low) > 6:
+                same = "".join(c for c in low if c.isalnum())[-9:]
             if same:
                 if same in seen and number.get(i - 1) != seen[same]:
-                    links.append((seen[same], k))
+                    g.links.append((seen[same], k))
                 seen[same] = k
+    return g
+
+
+def fit_potentials(texts: list[str], m: Model, rounds: int = 2) -> None:
+    """Estimates the edge potentials from the sample, by labels inferred with the potentials so far.
+
+    A potential is the log-odds of two labels on an edge against independent labels, with the stated
+    potentials as 50 observations a label pair, between -3 and 3. Labels of unlinked, unchained tokens don't
+    matter, so the estimate is that of a pseudo-likelihood's first step, repeated ``rounds`` times.
+    """
+    g = graph(texts, m)
+    if not g.unary:
+        return
+    prior_chain, prior_link = m.chain_table, m.link_table
+    for _ in range(rounds):
+        labels = g.labels(m)
+
+        # nodes beside tokens that are outside for certain
+        begins = np.bincount(labels[g.first], minlength=6)
+        ends = np.bincount(labels[g.last], minlength=6)
+
+        def table(pairs: list[tuple[int, int]], prior: np.ndarray, both: bool) -> np.ndarray:
+            n = np.zeros((6, 6))
+            if not both:
+                n[O, :] += begins
+                n[:, O] += ends
+            if pairs:
+                e = np.array(pairs)
+                np.add.at(n, (labels[e[:, 0]], labels[e[:, 1]]), 1)
+            if both:
+                n = n + n.T
+            rows, cols = n.sum(1, keepdims=True), n.sum(0, keepdims=True)
+            expected = rows * cols / max(n.sum(), 1)
+            # what was seen weighs as often as it could have been seen, the stated potential 50 times
+            weight = expected / (expected + 50)
+            return weight * np.clip(np.log((n + 0.5) / (expected + 0.5)), -3, 3) + (1 - weight) * prior
+
+        m.chain_table, m.link_table = table(g.chain, prior_chain, False), table(g.links, prior_link, True)
+
+
+def mentions(texts: list[str | None], m: Model, rounds: int = ROUNDS, with_links: bool = True) -> list[list[tuple[str, int, int]]]:
+    """The mentions of every text as (type, start, end), in order; starts and ends are 0-based code points."""
+    g = graph(texts, m)
+    tokens, where = g.tokens, g.where
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not unary:
+    if not g.unary:
         return out
-    labels = infer(np.array(unary), np.array(chain, np.int64).reshape(-1, 2), np.array(links, np.int64).reshape(-1, 2), rounds)
+    labels = g.labels(m, rounds, with_links)
     run: list[tuple[int, int]] = []
 
     def close() -> None:
@@ -487,7 +599,7 @@ def mentions(texts: list[str | None], m: Model, rounds: int = ROUNDS) -> list[li
             out[row].extend(_checked(tokens[row], [i for _, i in run], int(labels_of[0]), m))
 
     labels_of = [0]
-    for (row, i), y in zip(where, labels, strict=True):
+    for (row, i), y in zip(where, labels.tolist(), strict=True):
         if run and (run[-1] != (row, i - 1) or y != labels_of[0]):
             close()
             run = []

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from folioworks.llm.personal import SKIP, find_personal, fit, infer, mentions, redact
+from folioworks.llm.personal import SKIP, find_personal, fit, graph, infer, mentions, redact
 
 GIVEN, FAMILY = ["Abrin", "Corsa", "Haldis"], ["Aldermoss", "Varbeck", "Wexholm"]
 SEEN = ["signed, Abrin Varbeck", "reported by Corsa Wexholm", "my contact is Haldis Aldermoss", "interview with Ms. Corsa Varbeck is planned", "Mr. Aldermoss opened the attachment"]
@@ -69,6 +69,33 @@ def test_linked_tokens_agree():
     assert list(infer(np.array([sure, weak]), none, np.array([[0, 1]]))) == [5, 5]
 
 
+def test_similar_tokens_are_linked(model):
+    def pairs(text):
+        g = graph([text], model)
+        return {(g.tokens[0].text[g.where[a][1]], g.tokens[0].text[g.where[b][1]]) for a, b in g.links}
+
+    assert ("Varbeck", "VARBECK") in pairs("Dr. Varbeck spoke. Later Mr. VARBECK left.")
+    assert ("Corsa", "C.") in pairs("signed, Corsa Wexholm. With C. Wexholm now.")
+    assert ("(415) 555-0199", "415.555.0199") in pairs("ring (415) 555-0199 or 415.555.0199 now")
+    assert ("Jórun", "Jorun") in pairs("Dr. Jórun Hale and Dr. Jorun Hale")
+
+
+def test_estimated_potentials(model):
+    """Neighbours of one mention attract each other, labels of different kinds repel each other."""
+    names = model.chain_table[1:, 1:]
+    assert model.chain_table[5, 5] > 0 and (names[~np.eye(5, dtype=bool)] < 0).all()
+    assert np.isfinite(model.chain_table).all() and np.isfinite(model.link_table).all() and (np.diag(model.link_table)[1:] > 0).all()
+
+
+def test_links_decide_a_weak_mention():
+    """A word too weak by itself is a name because the same word elsewhere in the text surely is one; without links it isn't."""
+    sure, weak = np.array([0.0, -9, -9, -9, -9, 6]), np.array([0.0, -9, -9, -9, -9, -1])
+    chain = np.array([[0, 1], [2, 3]])
+    args = (np.array([sure, sure, weak, weak]), chain)
+    assert list(infer(*args, np.array([[1, 3], [0, 2]]))) == [5, 5, 5, 5]
+    assert list(infer(*args, np.zeros((0, 2), np.int64))) == [5, 5, 0, 0]
+
+
 def test_rows(spark, model):
     ddl = "row_id long, match string, pii_type string, redacted string, extra int"
     rows = [(1, "x@y.test", "a", "b", 1), (1, "x@y.test", "a", "b", 1), (2, None, "", "", 1), (3, "", "", "", 1), (None, "Dr. Varbeck", "", "", 1), (4, "word " * 200_000 + "x@y.test", "", "", 1)]
