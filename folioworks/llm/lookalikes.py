@@ -12,10 +12,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.llm.confusables import letter_shapes
 from folioworks.session import checkpoint
 
-#: Letters of other scripts with the shape of a Latin letter (as in the public Unicode
-#: confusables data), written as pairs of strings of equal length.
+#: Cyrillic and Greek letters with exactly the shape of a Latin letter, written as pairs of
+#: strings of equal length. They hold without the confusables data and before it, and the way back to
+#: Cyrillic goes by them.
 CYRILLIC = "АВЕКМНОРСТХУЅІЈԌԚԜҮаеорсухѕіјһԛԝԁүҽӏ", "ABEKMHOPCTXYSIJGQWYaeopcyxsijhqwdyel"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
 #: Symbols with the shape of a letter that Unicode does not map to it canonically.
@@ -47,15 +49,15 @@ def _spelled(c: int) -> str:
     if tag == "<compat>":
         whole = "".join(chr(int(x, 16)) for x in rest.split())
         letters = all(unicodedata.category(x)[0] == "L" for x in whole)
-        # ligatures, digraph letters and Roman numerals; spaced accents and the like look different
-        if letters and (len(whole) > 1 or 0x2160 <= c <= 0x217F):
+        # ligatures, digraph letters, Roman numerals and the micro sign; spaced accents and the like look different
+        if letters and (len(whole) > 1 or 0x2160 <= c <= 0x217F or c == 0xB5):
             return whole
     return ch
 
 
 @functools.cache
-def tables() -> dict[str, np.ndarray]:
-    """The lookup tables, built from rules over the Unicode data of this Python.
+def tables(shapes: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
+    """The lookup tables, built from rules over the Unicode data of this Python and the pairs of equal shape.
 
     ``to`` maps a code point to the one that stands for it, or, where ``length`` isn't 1, to the start of
     its expansion in ``pool``; ``ccc`` holds the combining classes, ``flag`` bit 1 where an expansion is
@@ -63,7 +65,7 @@ def tables() -> dict[str, np.ndarray]:
     canonical decompositions in ``pool``; ``pair``/``composed`` the sorted base-mark pairs and what they
     compose to; ``script`` is the script evidence and ``cyrillic`` the way back to a Cyrillic letter.
     """
-    shape = {ord(a): ord(b) for pair in (CYRILLIC, GREEK, SYMBOLS) for a, b in zip(*pair, strict=True)}
+    shape = dict(shapes) | {ord(a): ord(b) for pair in (CYRILLIC, GREEK, SYMBOLS) for a, b in zip(*pair, strict=True)}
     to = np.arange(_SIZE, dtype=np.int32)
     length = np.ones(_SIZE, np.int8)
     full = np.zeros(_SIZE, np.int32)
@@ -235,14 +237,15 @@ def _respell(cp: np.ndarray, bounds: np.ndarray, t: dict[str, np.ndarray]) -> np
     return cp
 
 
-def one_form(texts: pa.Array) -> pa.Array:
+def one_form(texts: pa.Array, shapes: tuple[tuple[int, int], ...] | None = None) -> pa.Array:
     """The consistent form of every text of an Arrow string array; null stays null.
 
     The whole array is decoded into one code-point array; lookup tables give each code point's
     replacement or expansion, marks are composed by a search in the sorted pairs, and the offsets of the
-    rows are moved along. There is no call per row.
+    rows are moved along. There is no call per row. ``shapes`` are pairs of code points of equal shape, by
+    default those of the public confusables data (``confusables.letter_shapes``).
     """
-    t = tables()
+    t = tables(letter_shapes() if shapes is None else shapes)
     n = len(texts)
     if n == 0:
         return pa.array([], pa.large_string())
@@ -280,12 +283,13 @@ def with_one_form(df: DataFrame, text: str = "text", out: str = "form", max_char
     kept = [f for f in df.schema.fields if f.name != out]
     schema = StructType([*kept, StructField(out, StringType())])
     names = [f.name for f in kept]
+    shapes = letter_shapes()  # read once, here, so that all executors use the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut_batches(batch, text, max_chars):
                 col = part.column(part.schema.get_field_index(text))
-                form = one_form(col).cast(pa.string())
+                form = one_form(col, shapes).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), form], names=[*names, out])
 
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])]).mapInArrow(run, schema)
@@ -314,16 +318,24 @@ def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def look_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
+def look_pairs(classes: DataFrame, key: str = "doc_id", salt_texts: int = 4096) -> DataFrame:
     """Pairs ``(doc_a, doc_b)`` of one class whose texts differ, ``doc_a`` < ``doc_b``.
 
-    Classes with one text only are dropped after a partial aggregation, before any pairing. A key that
+    Classes with one text only are dropped after a partial aggregation, before any pairing. Different texts
+    of a class are paired first, each once, however many rows hold it; a class with more than ``salt_texts``
+    texts is spread over salts. Only then rows come in, so nothing but pairs of the result is made, and one
+    text that a third of all rows hold is a skewed join key that adaptive execution splits. A key that
     occurs twice with one text counts once. The full list of pairs is what the result asks for; use
     ``look_classes`` where membership is enough.
     """
     rows = checkpoint(classes.distinct())  # hashes only; the texts are read once
-    mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi")
-    left = rows.join(mixed.select("class_id"), "class_id", "left_semi")
-    a = left.select("class_id", F.col(key).alias("doc_a"), F.col("text_id").alias("ta"))
-    b = left.select("class_id", F.col(key).alias("doc_b"), F.col("text_id").alias("tb"))
-    return a.join(b, "class_id").where("doc_a < doc_b and ta <> tb").select("doc_a", "doc_b").distinct()
+    texts = rows.select("class_id", "text_id").distinct()
+    mixed = texts.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mixed = mixed.withColumn("salts", F.ceil(F.col("n") / salt_texts).cast("int")).drop("n")
+    texts = texts.join(mixed, "class_id")
+    one = texts.select("class_id", F.col("text_id").alias("ta"), F.pmod(F.xxhash64("text_id"), F.col("salts")).cast("int").alias("salt"))
+    two = texts.select("class_id", F.col("text_id").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    differing = one.join(two, ["class_id", "salt"]).where("ta <> tb").select("ta", "tb")
+    a = rows.select(F.col(key).alias("doc_a"), F.col("text_id").alias("ta"))
+    b = rows.select(F.col(key).alias("doc_b"), F.col("text_id").alias("tb"))
+    return differing.join(a, "ta").join(b, "tb").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()

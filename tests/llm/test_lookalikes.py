@@ -34,19 +34,40 @@ def test_any_text(texts):
 def test_what_looks_the_same():
     for a, b in [
         ("ＡＢＣ １２，", "ABC 12,"), ("\u041d\u043e\u0442\u0435", "Ho\u0442e"), ("Αθ", "Aθ"), ("a\u00a0b\u2009c", "a b c"), ("so­ft​​", "soft"), ("\u212aelvin", "Kelvin"), ("ﬁn", "fin"), ("e\u0301", "\u00e9"),
-        ("‎x⁠﻿", "x"), ("ѕіх", "six"),
+        ("‎x⁠﻿", "x"), ("ѕіх", "six"), ("µ", "μ"), ("\u03bd", "v"), ("\u0585", "o"), ("\u2c9f", "o"), ("\u13aa", "A"), ("\ua4ee", "A"), ("\U0001d400\U0001d41b", "Ab"), ("\u2160X", "IX"),
     ]:
         x, y = form(a, b)
         assert x == y, (a, b, x, y)
 
 
 def test_what_does_not():
-    pairs = [("a", "A"), ("e", "é"), ("2", "²"), ("a b", "a  b"), ("a\nb", "a b"), ("1", "l"), ("“x”", '"x"'), ("й", "и")]
+    pairs = [("a", "A"), ("e", "é"), ("2", "²"), ("a b", "a  b"), ("a\nb", "a b"), ("1", "l"), ("“x”", '"x"'), ("й", "и"), ("ı", "i"), ("г", "r"), ("x²", "x2"), ("3 × 4", "3 x 4"), ("0", "O"), ("ª", "a")]
     for a, b in pairs:
         x, y = form(a, b)
         assert x != y, (a, b)
 
 
+def test_confusables_data_in_all_its_files(tmp_path):
+    from folioworks.llm.confusables import default_path, letter_shapes, skeletons
+
+    pairs = letter_shapes()
+    data = skeletons(default_path())
+    assert len(pairs) > 500 and all(data.get(a, chr(a)) == data.get(b, chr(b)) for a, b in pairs)
+    plain = tmp_path / "confusables.txt"
+    plain.write_text("# c\n" + "".join(f"{c:04X} ;\t{' '.join(f'{ord(x):04X}' for x in s)} ;\tMA # x\n" for c, s in data.items()), encoding="utf-8")
+    assert letter_shapes(str(plain)) == pairs
+
+
+def test_a_class_of_many_copies_and_texts(spark):
+    """Copies of one text make no pairs among themselves; a class of many texts is spread over salts."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "c", "t0") for i in range(300)] + [(1000 + i, "c", f"t{i + 1}") for i in range(40)] + [(5000, "d", "t0x")]
+    df = spark.createDataFrame(rows, "doc_id long, class_id string, text_id string").select("doc_id", F.col("class_id"), F.col("text_id"))
+    got = [tuple(r) for r in look_pairs(df, salt_texts=7).collect()]
+    assert len(got) == len(set(got)) == 300 * 40 + 40 * 39 // 2 and all(a < b for a, b in got)
+
+
 def test_russian_stays_russian():
     text = "Он сказал: а вот и море"
     assert form(text) == [text] and form(text.replace("о", "o").replace("а", "a").replace("с", "c")) == [text]
