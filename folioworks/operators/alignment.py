@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,26 +57,44 @@ def scene_bounds(frames: DataFrame, durations: DataFrame, bucket_ms: int = 3_600
     )
 
 
+#: Each level of buckets is this many times as wide as the one before; the widest holds any time in milliseconds.
+LEVEL, LEVELS = 8, 16
+
+
 def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
     """Pairs of spans of one ``key`` that overlap or touch.
 
-    Both sides have ``key`` and ``<l|r>_start``, ``<l|r>_end`` in whole numbers. Spans are spread over the time
-    buckets of ``width`` they meet, joined on (key, bucket), and a pair is kept in the first bucket they share,
-    so a long recording is spread over many tasks and no pair is found twice. A span costs a row per bucket it
-    meets. Rows without both bounds or with an end before the start have no pairs.
+    Both sides have ``key`` and ``<l|r>_start``, ``<l|r>_end`` in whole numbers. A span belongs to the level
+    whose buckets (of ``width``, 8 x ``width``, ...) are as wide as it is long, so it meets two of them at
+    most, whatever its length. Two spans are joined on (key, level, bucket) at the wider one's level, in the
+    first bucket they share, so a long recording is spread over many tasks and no pair is found twice. A
+    span stands at its own level and at those wider ones that occur (they are looked up first; usually there
+    is one). Rows without both bounds or with an end before the start have no pairs.
     """
 
-    def spread(df: DataFrame, side: str) -> DataFrame:
+    def levelled(df: DataFrame, side: str) -> DataFrame:
         a, b = F.col(f"{side}_start"), F.col(f"{side}_end")
-        buckets = F.sequence(bucket_of(a, width), bucket_of(b, width))
-        return df.where(a.isNotNull() & b.isNotNull() & (b >= a)).withColumn("__bucket", F.explode(buckets))
+        length = (b - a).cast("double")
+        level = reduce(add, [(length > float(width) * LEVEL**k).cast("int") for k in range(LEVELS)])
+        return df.where(a.isNotNull() & b.isNotNull() & (b >= a)).withColumn("__own", level)
+
+    sides = {s: levelled(df, s) for s, df in (("l", left), ("r", right))}
+    there = sides["l"].select("__own").unionByName(sides["r"].select("__own")).distinct().collect()  # at most LEVELS + 1 rows
+    levels = sorted(r[0] for r in there)
+
+    def spread(side: str) -> DataFrame:
+        a, b = F.col(f"{side}_start"), F.col(f"{side}_end")
+        wide = F.lit(float(width)) * F.pow(F.lit(float(LEVEL)), F.col("__level"))
+        df = sides[side].withColumn("__level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("__own"))))
+        df = df.withColumns({"__from": F.floor(a / wide).cast("long"), "__to": F.floor(b / wide).cast("long")})
+        return df.withColumn("__bucket", F.explode(F.sequence("__from", "__to"))).drop("__to").withColumnsRenamed({"__own": f"__own_{side}", "__from": f"__from_{side}"})
 
-    first = F.greatest(bucket_of(F.col("l_start"), width), bucket_of(F.col("r_start"), width))
     return (
-        spread(left, "l")
-        .join(spread(right, "r"), [key, "__bucket"])
-        .where((F.col("r_end") >= F.col("l_start")) & (F.col("r_start") <= F.col("l_end")) & (F.col("__bucket") == first))
-        .drop("__bucket")
+        spread("l")
+        .join(spread("r"), [key, "__level", "__bucket"])
+        .where((F.col("r_end") >= F.col("l_start")) & (F.col("r_start") <= F.col("l_end")))
+        .where((F.col("__level") == F.greatest("__own_l", "__own_r")) & (F.col("__bucket") == F.greatest("__from_l", "__from_r")))
+        .drop("__level", "__bucket", "__own_l", "__own_r", "__from_l", "__from_r")
     )
 
 
@@ -100,15 +123,51 @@ def align_speech(scenes: DataFrame, segments: DataFrame, width_ms: int = BUCKET_
 def fallback_segments(durations: DataFrame, seconds: int = 10) -> DataFrame:
     """Scenes of ``seconds`` for a video without cuts; at least one, and none for a shorter rest.
 
-    ``durations`` has ``(video_id, duration_ms)``; returns ``(video_id, scene_no, start_ms, end_ms)``.
+    ``durations`` has ``(video_id, duration_ms)``; returns ``(video_id, scene_no, start_ms, end_ms)``. Scenes
+    are listed in two steps, so that no array grows with a video's length but by its hundred thousands.
     """
-    step = seconds * 1000
-    last = F.greatest(F.lit(1), F.floor(F.col("duration_ms") / step)).cast("int")
-    rows = durations.select("video_id", "duration_ms", F.explode(F.sequence(F.lit(0), last - 1)).alias("scene_no"))
-    start = F.col("scene_no").cast("long") * step
+    step, block = seconds * 1000, 100_000
+    last = F.greatest(F.lit(1), F.floor(F.col("duration_ms") / step)).cast("long") - 1
+    rows = durations.select("video_id", "duration_ms", last.alias("last"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / block).cast("long"))))
+    inner = F.sequence(F.col("block") * block, F.least(F.col("last"), F.col("block") * block + (block - 1)))
+    rows = rows.select("video_id", "duration_ms", F.explode(inner).alias("scene_no"))
+    start = F.col("scene_no") * step
     return rows.select("video_id", "scene_no", start.alias("start_ms"), F.least(F.col("duration_ms"), start + step).alias("end_ms"))
 
 
+def cut_intervals(df: DataFrame, key: str, at: str, corr: str, min_gap: float = 1.5, threshold: float = 0.65) -> DataFrame:
+    """The intervals between the cuts of every ``key``: ``(<key>, start_at, end_at)``, the last one up to its last sample.
+
+    A sample is a cut where ``corr`` is below the threshold and the last cut lies at least ``min_gap`` back.
+    Each cut depends on the last one, so a key is one task; but its sorted samples stream through it, and
+    only the last cut is held, so no key is ever gathered. Null keys and samples with a null don't count.
+    """
+    types = dict(df.dtypes)
+    rows = df.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(corr).isNotNull())
+    rows = rows.select(F.col(key), F.col(at).cast("double").alias("__at"), F.col(corr).cast("double").alias("__corr"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "__at", "__corr")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, latest = None, 0.0, 0.0
+        for frame in frames:
+            out = []
+            for k, t, c in zip(frame.iloc[:, 0].tolist(), frame["__at"].tolist(), frame["__corr"].tolist(), strict=True):
+                if k != now:
+                    if now is not None and latest > last:
+                        out.append((now, last, latest))
+                    now, last = k, 0.0
+                latest = t
+                if c < threshold and t - last >= min_gap:
+                    out.append((k, last, t))
+                    last = t
+            yield pd.DataFrame(out, columns=[key, "start_at", "end_at"])
+        if now is not None and latest > last:
+            yield pd.DataFrame([(now, last, latest)], columns=[key, "start_at", "end_at"])
+
+    return rows.mapInPandas(run, f"`{key}` {types[key]}, start_at double, end_at double")
+
+
 def cut_fold(samples: Column, min_gap: float = 1.5, threshold: float = 0.65, duration: Column | None = None) -> Column:
     """Cuts among time-ordered samples ``struct<at, corr>``: where ``corr`` is below the threshold and the last cut
     lies at least ``min_gap`` back. Returns ``array<struct<start_at, end_at>>``; with ``duration``, what lies
@@ -149,45 +208,71 @@ def unlike_frames(df: DataFrame, key: str, order: str, frame_hash: str, max_dist
     """Every frame with the kept frame it repeats: ``(<key>, <order>, <hash>, kept, kept_at)``.
 
     In order, a frame is kept unless its 64-bit hash is within ``max_distance`` bits of one kept before. The
-    decision depends on all earlier ones of its video, so a video is one task; kept hashes are looked up by the
-    parts that must agree (of d + 1 parts of a hash at least one does), not compared one by one.
+    decision depends on all earlier ones of its video, so a video is one task; its sorted frames stream
+    through it and only the kept hashes are held, 16 bytes each. With up to 7 bits they are looked up by the
+    parts of 8 bits and more that must agree (of d + 1 parts of a hash at least one does); with more, parts
+    would be too short to tell hashes apart, so they are compared as one array.
     """
     types = dict(df.dtypes)
     parts = max_distance + 1
     edges = [round(64 * k / parts) for k in range(parts + 1)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seen: list[dict[int, list[tuple[int, object]]]] = [{} for _ in range(parts)]
-        kept, at = [], []
-        for h, o in zip(pdf[frame_hash], pdf[order], strict=True):
-            bits = int(h) & (2**64 - 1)
-            keys = [(bits >> edges[k]) & ((1 << (edges[k + 1] - edges[k])) - 1) for k in range(parts)]
-            like = [x for k in range(parts) for x in seen[k].get(keys[k], ()) if (x[0] ^ bits).bit_count() <= max_distance]
-            if like:
-                kept.append(False)
-                at.append(min(x[1] for x in like))
-            else:
-                kept.append(True)
-                at.append(o)
-                for k in range(parts):
-                    seen[k].setdefault(keys[k], []).append((bits, o))
-        return pd.DataFrame({key: pdf[key], order: pdf[order], frame_hash: pdf[frame_hash], "kept": kept, "kept_at": at})
+    rows = df.where(F.col(frame_hash).isNotNull() & F.col(order).isNotNull()).select(key, order, frame_hash)
+    rows = rows.repartition(key).sortWithinPartitions(key, order)
+
+    class Kept:
+        def __init__(self):
+            self.hashes, self.orders = np.zeros(1024, np.uint64), []
+            self.at: list[dict[int, list[int]]] = [{} for _ in range(parts)]
+
+        def keys(self, bits: int) -> list[int]:
+            return [(bits >> edges[k]) & ((1 << (edges[k + 1] - edges[k])) - 1) for k in range(parts)]
+
+        def like(self, bits: int) -> int:
+            """The first kept frame that is alike, or -1."""
+            n = len(self.orders)
+            if max_distance > 7:
+                near = np.bitwise_count(self.hashes[:n] ^ np.uint64(bits)) <= max_distance
+                return int(near.argmax()) if near.any() else -1
+            found = {i for d, k in zip(self.at, self.keys(bits), strict=True) for i in d.get(k, ())}
+            return min((i for i in found if (int(self.hashes[i]) ^ bits).bit_count() <= max_distance), default=-1)
+
+        def add(self, bits: int, o) -> None:
+            n = len(self.orders)
+            if n == len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+            self.hashes[n] = bits
+            self.orders.append(o)
+            if max_distance <= 7:
+                for d, k in zip(self.at, self.keys(bits), strict=True):
+                    d.setdefault(k, []).append(n)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen, fresh = None, Kept(), True
+        for pdf in frames:
+            kept, at = [], []
+            for v, o, h in zip(pdf[key].tolist(), pdf[order].tolist(), pdf[frame_hash].tolist(), strict=True):
+                if fresh or v != now and not (v is None and now is None):
+                    now, seen, fresh = v, Kept(), False
+                bits = int(h) & (2**64 - 1)
+                i = seen.like(bits)
+                kept.append(i < 0)
+                at.append(o if i < 0 else seen.orders[i])
+                if i < 0:
+                    seen.add(bits, o)
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], frame_hash: pdf[frame_hash], "kept": kept, "kept_at": at})
 
     ddl = f"`{key}` {types[key]}, `{order}` {types[order]}, `{frame_hash}` {types[frame_hash]}, kept boolean, kept_at {types[order]}"
-    return df.where(F.col(frame_hash).isNotNull() & F.col(order).isNotNull()).select(key, order, frame_hash).groupBy(key).applyInPandas(run, ddl)
+    return rows.mapInPandas(run, ddl)
 
 
 def sign_hash(vector: Column) -> Column:
-    """A 64-bit hash of a vector: bit i is the sign of element i of its first 64 elements."""
-    bits = F.zip_with(F.slice(vector, 1, 64), F.sequence(F.lit(0), F.least(F.lit(64), F.size(vector)) - 1), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-
-def gray_histogram(df: DataFrame, key: str, value: str, bins: int = 256) -> DataFrame:
-    """Per key the number of values in each of ``bins`` whole-number classes: ``(<key>, bin, n)``."""
-    b = F.least(F.greatest(F.floor(F.col(value)).cast("int"), F.lit(0)), F.lit(bins - 1))
-    return df.where(F.col(value).isNotNull()).groupBy(key, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """A 64-bit hash of a whole vector: bit i is set where the elements i, i + 64, i + 128, ... sum up above 0."""
+    n = F.size(vector)
+    strides = F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int"))
+    total = lambda i: F.aggregate(strides, F.lit(0.0), lambda a, s: a + F.coalesce(F.get(vector, s * 64 + i).cast("double"), F.lit(0.0)))
+    bit = lambda i: F.when(total(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
+    return F.when(n > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
 def histogram_correlation(hist: DataFrame, key: str, frame: str, bins: int = 256) -> DataFrame:

@@ -7,48 +7,69 @@ from pyspark.sql import functions as F
 
 from folioworks.functions.text import lines, strip, word_count
 
-# File extensions and MIME types by category.
+# The category of every file extension and MIME type.
 EXTENSIONS = {
-    "text": "txt md markdown csv tsv json xml yaml yml log html htm rst tex ini cfg conf",
-    "document": "pdf doc docx odt rtf xls xlsx xlsm ods pages",
-    "presentation": "ppt pptx odp key",
-    "image": "png jpg jpeg gif webp bmp tif tiff svg heic heif avif ico",
-    "audio": "mp3 wav flac aac ogg oga opus m4a wma weba mid midi",
-    "video": "mp4 mkv mov avi webm wmv flv m4v mpeg mpg 3gp ts",
-}
+    "3gp": "video", "aac": "audio", "avi": "video", "avif": "image", "bmp": "image", "cfg": "text", "conf": "text", "csv": "text", "doc": "document",
+    "docx": "document", "flac": "audio", "flv": "video", "gif": "image", "heic": "image", "heif": "image", "htm": "text", "html": "text",
+    "ico": "image", "ini": "text", "jpeg": "image", "jpg": "image", "json": "text", "key": "presentation", "log": "text", "m4a": "audio",
+    "m4v": "video", "markdown": "text", "md": "text", "mid": "audio", "midi": "audio", "mkv": "video", "mov": "video", "mp3": "audio", "mp4": "video",
+    "mpeg": "video", "mpg": "video", "odp": "presentation", "ods": "document", "odt": "document", "oga": "audio", "ogg": "audio", "opus": "audio",
+    "pages": "document", "pdf": "document", "png": "image", "ppt": "presentation", "pptx": "presentation", "rst": "text", "rtf": "document",
+    "svg": "image", "tex": "text", "tif": "image", "tiff": "image", "ts": "video", "tsv": "text", "txt": "text", "wav": "audio", "weba": "audio",
+    "webm": "video", "webp": "image", "wma": "audio", "wmv": "video", "xls": "document", "xlsm": "document", "xlsx": "document", "xml": "text",
+    "yaml": "text", "yml": "text",
+}
 MIME_TYPES = {
-    "text": "text/plain text/markdown text/csv text/html text/xml application/json application/xml",
-    "document": "application/pdf application/msword application/vnd.openxmlformats-officedocument.wordprocessingml.document "
-    "application/vnd.oasis.opendocument.text application/rtf application/vnd.ms-excel "
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.oasis.opendocument.spreadsheet",
-    "presentation": "application/vnd.ms-powerpoint application/vnd.openxmlformats-officedocument.presentationml.presentation "
-    "application/vnd.oasis.opendocument.presentation",
-    "image": "image/png image/jpeg image/gif image/webp image/bmp image/tiff image/svg+xml image/heic image/heif image/avif "
-    "image/vnd.microsoft.icon",
-    "audio": "audio/mpeg audio/wav audio/x-wav audio/flac audio/aac audio/ogg audio/opus audio/mp4 audio/x-m4a audio/x-ms-wma audio/webm",
-    "video": "video/mp4 video/quicktime video/x-msvideo video/webm video/x-ms-wmv video/mpeg video/x-flv video/3gpp",
-}
+    "application/json": "text", "application/msword": "document", "application/pdf": "document", "application/rtf": "document",
+    "application/vnd.ms-excel": "document", "application/vnd.ms-powerpoint": "presentation",
+    "application/vnd.oasis.opendocument.presentation": "presentation", "application/vnd.oasis.opendocument.spreadsheet": "document",
+    "application/vnd.oasis.opendocument.text": "document",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "presentation",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "document",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "document", "application/xml": "text", "audio/aac": "audio",
+    "audio/flac": "audio", "audio/mp4": "audio", "audio/mpeg": "audio", "audio/ogg": "audio", "audio/opus": "audio", "audio/wav": "audio",
+    "audio/webm": "audio", "audio/x-m4a": "audio", "audio/x-ms-wma": "audio", "audio/x-wav": "audio", "image/avif": "image", "image/bmp": "image",
+    "image/gif": "image", "image/heic": "image", "image/heif": "image", "image/jpeg": "image", "image/png": "image", "image/svg+xml": "image",
+    "image/tiff": "image", "image/vnd.microsoft.icon": "image", "image/webp": "image", "text/csv": "text", "text/html": "text",
+    "text/markdown": "text", "text/plain": "text", "text/xml": "text", "video/3gpp": "video", "video/mp4": "video", "video/mpeg": "video",
+    "video/quicktime": "video", "video/webm": "video", "video/x-flv": "video", "video/x-ms-wmv": "video", "video/x-msvideo": "video",
+}
 UPLOAD_TYPES = {
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "pdf": "application/pdf",
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "txt": "text/plain",
 }
 #: Extensions that the text pipeline takes.
-ACCEPTED = ("pdf", "docx", "md", "markdown", "txt", "log", "csv", "tsv", "json")
+ACCEPTED = ("csv", "docx", "json", "log", "markdown", "md", "pdf", "tsv", "txt")
 #: Parsers by extension.
 PARSERS = {
-    "markdown": "md markdown", "delimited": "csv tsv", "json": "json", "yaml": "yaml yml", "markup": "xml html htm",
-    "email": "eml msg", "plain": "log txt ini conf cfg",
+    "cfg": "plain", "conf": "plain", "csv": "delimited", "eml": "email", "htm": "markup", "html": "markup", "ini": "plain", "json": "json",
+    "log": "plain", "markdown": "markdown", "md": "markdown", "msg": "email", "tsv": "delimited", "txt": "plain", "xml": "markup", "yaml": "yaml",
+    "yml": "yaml",
 }
 #: Kinds of uploads by extension; everything else is text.
-UPLOAD_KINDS = {"image": "png jpg jpeg webp", "audio": "wav mp3 m4a ogg flac", "video": "mp4 mkv avi mov webm flv"}
-OUTPUT_KEYS = {
-    "advisory": "advisory", "executive_summary": "exec_summary", "exec_summary": "exec_summary", "linkedin": "linkedin_post",
-    "linkedin_post": "linkedin_post", "twitter": "social_thread", "social_thread": "social_thread", "presentation": "slide_deck",
-    "slide_deck": "slide_deck", "video_package": "video_script", "video_script": "video_script", "infographic": "playbook",
-    "playbook": "playbook", "incident_report": "incident_report", "press_release": "press_release",
+UPLOAD_KINDS = {
+    "avi": "video", "flac": "audio", "flv": "video", "jpeg": "image", "jpg": "image", "m4a": "audio", "mkv": "video", "mov": "video", "mp3": "audio",
+    "mp4": "video", "ogg": "audio", "png": "image", "wav": "audio", "webm": "video", "webp": "image",
 }
+OUTPUT_KEYS = {
+    "advisory": "advisory",
+    "exec_summary": "exec_summary",
+    "executive_summary": "exec_summary",
+    "incident_report": "incident_report",
+    "infographic": "playbook",
+    "linkedin": "linkedin_post",
+    "linkedin_post": "linkedin_post",
+    "playbook": "playbook",
+    "presentation": "slide_deck",
+    "press_release": "press_release",
+    "slide_deck": "slide_deck",
+    "social_thread": "social_thread",
+    "twitter": "social_thread",
+    "video_package": "video_script",
+    "video_script": "video_script",
+}
 TERMINAL = (
     r"[$#]\s+[a-zA-Z0-9_\-]+",
     r"(?i)root@[a-zA-Z0-9_\-]+",
@@ -57,18 +78,45 @@ TERMINAL = (
     r"(?i)\b(?:STDIN|STDOUT|STDERR|bash|powershell|cmd\.exe|zsh)\b",
 )
 DIAGRAM_WORDS = (
-    "architecture", "topology", "firewall", "router", "dmz", "switch", "cloud", "vpc", "proxy", "c2", "attacker", "target",
-    "database", "gateway", "flowchart", "pipeline", "orchestrator", "ingress", "egress", "mitre",
-)
+    "architecture",
+    "attacker",
+    "c2",
+    "cloud",
+    "database",
+    "dmz",
+    "egress",
+    "firewall",
+    "flowchart",
+    "gateway",
+    "ingress",
+    "mitre",
+    "orchestrator",
+    "pipeline",
+    "proxy",
+    "router",
+    "switch",
+    "target",
+    "topology",
+    "vpc",
+)
 SLIDE_WORDS = (
-    "agenda", "overview", "summary", "key takeaways", "mitigation", "conclusion", "timeline", "recommendations", "impact",
-    "vulnerability details", "objective",
-)
+    "agenda",
+    "conclusion",
+    "impact",
+    "key takeaways",
+    "mitigation",
+    "objective",
+    "overview",
+    "recommendations",
+    "summary",
+    "timeline",
+    "vulnerability details",
+)
 
 
 def _lookup(table: dict[str, str]) -> Column:
-    """``table`` of category -> words as a literal map word -> category, folded once by the optimizer."""
-    return F.create_map(*[F.lit(x) for category, words in table.items() for w in words.split() for x in (w, category)])
+    """``table`` as a literal map, folded once by the optimizer."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
 def base_name(name: Column) -> Column:
@@ -97,7 +145,7 @@ def media_category(name: Column, content_type: Column) -> Column:
 def upload_check(name: Column, content_type: Column) -> Column:
     """``struct<content_type, extension, error>``: the extension decides; another allowed MIME type is an error."""
     ext, sent = extension(name), F.coalesce(mime_type(content_type), F.lit(""))
-    canonical = F.try_element_at(F.create_map(*[F.lit(x) for kv in UPLOAD_TYPES.items() for x in kv]), ext)
+    canonical = F.try_element_at(_lookup(UPLOAD_TYPES), ext)
     clash = sent.isin(*UPLOAD_TYPES.values()) & (sent != canonical)
     error = F.when(canonical.isNull(), "file type not supported").when(clash, "content type does not match file extension")
     return F.struct(F.when(error.isNull(), canonical).alias("content_type"), F.when(error.isNull(), ext).alias("extension"), error.alias("error"))
@@ -119,7 +167,7 @@ def upload_kind(name: Column) -> Column:
 
 def output_key(alias: Column) -> Column:
     """The key of an output type; unknown aliases stay as they are."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OUTPUT_KEYS.items() for x in kv]), alias), alias)
+    return F.coalesce(F.try_element_at(_lookup(OUTPUT_KEYS), alias), alias)
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:

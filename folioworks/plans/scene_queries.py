@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks.functions import text as T
 from folioworks.operators import alignment, grounding, indicators, rendering
 from folioworks.operators.intervals import to_ms
+from folioworks.plans.text_queries import _IGN_DOM, _IGN_URL, _refang
 from folioworks.session import table
 
 
@@ -92,25 +93,22 @@ def fallback_scenes(spark: SparkSession, d: str) -> DataFrame:
 
 
 FALLBACK_SQL = _BASE_SQL + """, n as (select *, unnest(range(0, greatest(1, duration_ms // 10000))) k from du)
-select video_id, cast(k as int) scene_no, k * 10000 start_ms, least(duration_ms, (k + 1) * 10000) end_ms from n"""
+select video_id, k scene_no, k * 10000 start_ms, least(duration_ms, (k + 1) * 10000) end_ms from n"""
 
 
 def event_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Intervals between cuts among a user's events, where the value is low and the last cut long enough ago; the last ends with the last event."""
     e = table(spark, d, "events").where("user_id is not null and ts is not null and value is not null")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
-    samples = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), (F.col("value") / 100).alias("corr")))).alias("s"))
-    cuts = alignment.cut_fold(F.col("s"), min_gap=3600.0, threshold=0.25, duration=F.element_at("s", -1)["at"])
-    return samples.select("user_id", F.inline(cuts)).select(
-        "user_id", F.round("start_at", 3).alias("start_at"), F.round("end_at", 3).alias("end_at")
-    )
+    cuts = alignment.cut_intervals(e.select("user_id", at.alias("at"), (F.col("value") / 100).alias("corr")), "user_id", "at", "corr", 3600.0, 0.25)
+    return cuts.select("user_id", F.round("start_at", 3).alias("start_at"), F.round("end_at", 3).alias("end_at"))
 
 
 CUTS_SQL = """
 with e as (select user_id, (epoch_us(ts) / 1e6) - 1704067200.0 t, value / 100 corr from events where user_id is not null and ts is not null and value is not null),
 s as (select user_id, list({'t': t, 'c': corr} order by t, corr) s from e group by all),
-c as (select user_id, list_reduce(s, lambda a, x: case when x.c < 0.25 and x.t - a.l >= 3600.0 then {'l': x.t, 'd': list_append(a.d, {'a': a.l, 'b': x.t})} else a end, {'l': 0.0::double, 'd': []::struct(a double, b double)[]}) r from s),
-u as (select user_id, unnest(r.d) x from c)
+c as (select user_id, list_reduce(s, lambda a, x: case when x.c < 0.25 and x.t - a.l >= 3600.0 then {'l': x.t, 'd': list_append(a.d, {'a': a.l, 'b': x.t})} else a end, {'l': 0.0::double, 'd': []::struct(a double, b double)[]}) r, s[-1].t lt from s),
+u as (select user_id, unnest(case when lt > r.l then list_append(r.d, {'a': r.l, 'b': lt}) else r.d end) x from c)
 select user_id, round(x.a, 3) start_at, round(x.b, 3) end_at from u"""
 
 
@@ -121,7 +119,7 @@ def unlike_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 UNLIKE_SQL = """
-with recursive v as (select label, vec_id, list_transform(embedding[1:64], lambda x: x > 0) b, row_number() over (partition by label order by vec_id) n from embeddings),
+with recursive v as (select label, vec_id, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, (len(embedding) + 63) // 64), lambda s: coalesce(embedding[s * 64 + i + 1], 0)::double)) > 0) b, row_number() over (partition by label order by vec_id) n from embeddings),
 h as (select *, (select sum(case when b[i] then cast(1 as hugeint) << (i - 1) else 0 end) from range(1, 65) t(i)) hb from v),
 k as (
  select label, n, [{'v': vec_id, 'h': hb}] kept, true keep, vec_id kept_at, vec_id from h where n = 1
@@ -140,7 +138,8 @@ def sample_points(spark: SparkSession, d: str) -> DataFrame:
     return s.select("video_id", "scene_id", at.alias("at_ms"), F.format_string("keyframe_%03d_%ss.png", "scene_id", F.floor(at / 1000).cast("string")).alias("picture"))
 
 
-POINT_SQL = f"""with s as (select distinct video_id, scene_id, start_seconds, end_seconds from aligned_scene where end_seconds > start_seconds),
+POINT_SQL = f"""with d as (select distinct video_id, scene_id, start_seconds, end_seconds, {_MS.format("start_seconds")} sa, {_MS.format("end_seconds")} sb from aligned_scene where end_seconds > start_seconds),
+s as (select * from d qualify sb - sa >= 1500 or rank() over (partition by video_id order by sa, scene_id, sb) = 1),
 p as (select video_id, scene_id, cast(floor({_MS.format("start_seconds")} + ({_MS.format("end_seconds")} - {_MS.format("start_seconds")}) * 8 / 10.0) as bigint) at_ms from s)
 select video_id, scene_id, at_ms, printf('keyframe_%03d_%ss.png', scene_id, cast(at_ms // 1000 as varchar)) picture from p"""
 
@@ -249,11 +248,26 @@ def video_groundings(spark: SparkSession, d: str) -> DataFrame:
     return all_.select("video_id", F.get("g", F.lit(0))["title"].alias("title"), rendering.video_markdown(F.get("g", F.lit(0)), iocs, F.lit("now")).alias("markdown"))
 
 
+_VALUES = {
+    "cves": f"list_transform(regexp_extract_all(t, {_re(indicators.CVE)}), lambda x: upper(x))",
+    "ipv4": f"list_filter(regexp_extract_all(t, {_re(indicators.IPV4)}), lambda x: regexp_matches(x, {_re(indicators.OCTETS)}) and x not in ('0.0.0.0','255.255.255.255') and not starts_with(x, '127.'))",
+    "sha256": f"list_transform(regexp_extract_all(t, {_re(indicators.SHA256)}), lambda x: lower(x))",
+    "domains": f"list_filter(list_transform(regexp_extract_all(t, {_re(indicators.DOMAIN)}), lambda x: lower({_refang('x')})), lambda x: not ends_with(x, '.local') and {_IGN_DOM})",
+    "urls": f"list_filter(list_transform(regexp_extract_all(t, {_re(indicators.URL)}), lambda x: {_refang('x')}), lambda x: length(x) > 10 and {_IGN_URL})",
+}
 VG_SQL = ALIGNED_SQL.replace("\nselect sc.video_id", ",\nal as (select sc.video_id") + f"""),
-nn as (select *, row_number() over (partition by video_id order by start_ms, scene_id) n from al),
-fv as (select video_id, count(*) k, string_agg('- Scene ' || scene_id || ' [' || timestamp_display || ']: scene', chr(10) order by n) tl from nn where n <= 5 group by all),
-sz as (select video_id, max(end_ms) // 1000 s from al group by all),
-cv as (select video_id, array_to_string(list_sort(list_distinct(list(v))), ', ') c from (select video_id, upper(unnest(regexp_extract_all(said, {_re(indicators.CVE)}))) v from sg) group by all)
+vt as (select video_id, scene_id, max(visual_type) visual_type from aligned_scene group by all),
+nn as (select al.*, coalesce(visual_type, 'OTHER') vt, row_number() over (partition by al.video_id order by start_ms, al.scene_id) n
+  from al left join vt on vt.video_id = al.video_id and vt.scene_id = al.scene_id),
+fv as (select video_id, string_agg('- Scene ' || scene_id || ' [' || timestamp_display || ']: ' || case vt when 'SLIDE' then ''
+   when 'TERMINAL' then 'Active command-line console session displaying terminal execution logs.'
+   when 'DIAGRAM' then 'System architecture diagram illustrating network topology and threat pathways.'
+   else 'Visual scene displaying presenter briefing or transition slide.' end, chr(10) order by n) tl from nn where n <= 5 group by all),
+sz as (select video_id, max(end_ms) // 1000 s, count(*) k from al group by all),
+tx as (select video_id, said t from sg union all select video_id, array_to_string(scene_iocs, ' ') from aligned_scene where scene_iocs is not null),
+iv as ({" union ".join(f"select video_id, '{k}' k, unnest({v}) v from tx" for k, v in _VALUES.items())}),
+li as (select video_id, string_agg(v, ', ' order by v) filter (k = 'cves') c, string_agg(v, ', ' order by v) filter (k = 'ipv4') ip, string_agg(v, ', ' order by v) filter (k = 'sha256') h,
+  string_agg(v, ', ' order by k, v) filter (k in ('domains', 'urls')) du from iv group by all)
 select video_id, 'Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats') || ' (' || video_id || ')' title,
  concat_ws(chr(10), '# 🎥 Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats') || ' (' || video_id || ')', chr(10) || '*Interpreted by `heuristic-video-anchor` | Generated: now*' || chr(10),
  '## 1. Executive Narrative', 'Multimodal intelligence analysis of ' || video_id || ' spanning ' || s || ' seconds across ' || k || ' scenes.' || chr(10), '## 2. Minto Pyramid Briefing Structure',
@@ -261,8 +275,10 @@ select video_id, 'Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats')
  '- **Solution:** Apply patches and block identified indicators of compromise.', '- **Business Impact:** Risk of lateral movement and operational downtime.' || chr(10),
  '## 3. Technical Root Cause & Exploit Mechanics', 'Exploitation of vulnerabilities demonstrated in video session.' || chr(10), '## 4. Canonical Grounding Facts (Locked Metrics)',
  '- 📌 **Video duration: ' || s || ' seconds**', '- 📌 **Detected ' || k || ' distinct visual scenes**' || chr(10), '## 5. Timeline of Events', tl || chr(10), '## 6. Actionable Mitigations',
- '1. Deploy vendor security updates', '2. Monitor perimeter logs for identified C2 IPs' || chr(10), '## 7. Indicators of Compromise', '- **CVEs:** ' || c, '') markdown
-from fv join sz using (video_id) left join cv using (video_id)"""
+ '1. Deploy vendor security updates', '2. Monitor perimeter logs for identified C2 IPs' || chr(10), '## 7. Indicators of Compromise', '- **CVEs:** ' || c, '- **IP Addresses:** ' || ip,
+ '- **SHA-256 Hashes:** ' || h, '- **Domains / URLs:** ' || du, '') markdown
+from fv join sz using (video_id) left join li using (video_id)"""
+
 
 def media_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations of every call's anchors and every video's first five scenes; files that gave nothing have one that stands for them."""

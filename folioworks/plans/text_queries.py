@@ -286,11 +286,10 @@ def normalized_reports(spark: SparkSession, d: str, limit: int = NORMALIZED_BYTE
 NORMAL_SQL = r"""
 with a as (select *, lower(file_type) <> 'pdf' supported, nfc_normalize('A' || chr(769) || chr(13) || chr(10) || clean_markdown || '  ' || chr(13) || chr(10) || chr(10)) x from source_context),
 b as (select *, regexp_replace(regexp_replace(replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '(?m)[ \t]+$', '', 'g') y from a),
-c as (select *, regexp_replace(y, '\n+$', '') || chr(10) n from b),
-k as (select *, (select max(i) from range(1, 4001) t(i) where octet_length(encode(left(n, i))) <= 4000) keep from c)
-select doc_id, processed_at, supported, case when supported then left(n, keep) end normalized_text, cast(length(case when supported then left(n, keep) end) as int) normalized_char_count,
- coalesce(supported and octet_length(encode(n)) > 4000, false) truncated,
- case when not supported then 'no inspector registered for media category' when n is null then 'no extractable text' end reason from k"""
+c as (select *, regexp_replace(y, '\n+$', '') || chr(10) n from b)
+select doc_id, processed_at, supported, case when supported then n end normalized_text, cast(length(case when supported then n end) as int) normalized_char_count,
+ coalesce(supported and octet_length(encode(n)) > 25 * 1024 * 1024, false) truncated,
+ case when not supported then 'no inspector registered for media category' when n is null then 'no extractable text' end reason from c"""
 
 
 def ocr_cleanup(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +343,7 @@ def file_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _case(x: str, t: dict[str, str], default: str) -> str:
-    return "case " + " ".join(f"when {x} in ({', '.join(repr(w) for w in ws.split())}) then '{k}'" for k, ws in t.items()) + f" else {default} end"
+    return f"case {x} " + " ".join(f"when '{k}' then '{v}'" for k, v in t.items()) + f" else {default} end"
 
 
 FORMAT_SQL = f"""

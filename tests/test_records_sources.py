@@ -128,3 +128,62 @@ def test_streams_equal_batch(spark, tmp_path):
     q = streams.each_batch(streams.stream_folder(spark, str(src), df.schema), lambda b: b.where("corr < 0.5"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.where("corr < 0.5").count()
+
+
+def test_spans_of_any_length_meet(spark):
+    """Spans up to a corrupt end far away are paired with all they touch, against brute force."""
+    import random
+
+    rng = random.Random(5)
+    span = lambda: (s := rng.randrange(-2000, 9000), s + rng.choice([0, 5, 80, 700, 9_000, 10**6]))
+    left = [("v", *span(), i) for i in range(60)] + [("v", 0, 8 * 10**15, 60), ("v", None, 5, 61), ("v", 9, 3, 62), (None, 1, 2, 63)]
+    right = [("v", *span(), i) for i in range(60)] + [("v", -(10**15), 10**15, 60)]
+    names = lambda s: f"v string, {s}_start long, {s}_end long, {s}i long"
+    got = [(r.li, r.ri) for r in alignment.overlapping_pairs(spark.createDataFrame(left, names("l")), spark.createDataFrame(right, names("r")), "v", 100).collect()]
+    want = [(a[3], b[3]) for a in left for b in right if a[0] == b[0] and None not in a[1:3] and a[1] <= a[2] and b[2] >= a[1] and b[1] <= a[2]]
+    assert sorted(got) == sorted(want)
+
+
+def test_cut_intervals_are_those_of_the_fold(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, round(rng.random() * 40, 3), rng.random(), "clash") for k in ("a", "b", None, "c") for _ in range(rng.choice([1, 50, 200]))] + [("d", None, 0.1, ""), ("e", 3.0, None, "")]
+    df = spark.createDataFrame(rows, "k string, t double, c double, start_at string")
+    got = sorted(tuple(r) for r in alignment.cut_intervals(df, "k", "t", "c").collect())
+    want = []
+    for k in ("a", "b", "c"):
+        last, own = 0.0, sorted((r[1], r[2]) for r in rows if r[0] == k)
+        for t, c in own:
+            if c < 0.65 and t - last >= 1.5:
+                want.append((k, last, t))
+                last = t
+        if own[-1][0] > last:
+            want.append((k, last, own[-1][0]))
+    assert got == sorted(want)
+    assert alignment.cut_intervals(df.limit(0), "k", "t", "c").count() == 0
+
+
+def test_kept_frames_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    rows = [(v, i, (h := flip(rng.choice(base), rng.randrange(0, 14))) - (1 << 64 if h >> 63 else 0)) for v in ("x", "y", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "v string, i long, h long")
+    for d in (0, 3, 7, 8, 22):
+        got = {(r.v, r.i): (r.kept, r.kept_at) for r in alignment.unlike_frames(df, "v", "i", "h", max_distance=d).collect()}
+        want, kept = {}, {}
+        for v, i, h in rows:
+            like = [j for j, g in kept.setdefault(v, []) if ((g ^ h) & (2**64 - 1)).bit_count() <= d]
+            want[v, i] = (not like, like[0] if like else i)
+            if not like:
+                kept[v].append((i, h))
+        assert got == want, d
+
+
+def test_sign_hash_reads_whole_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 64 + [-5.0]), (3, [-1.0, 2.0]), (4, []), (5, None)], "i int, v array<float>")
+    got = {r.i: r.h for r in df.select("i", alignment.sign_hash(F.col("v")).alias("h")).collect()}
+    assert got == {1: -1, 2: -2, 3: 2, 4: None, 5: None}

@@ -150,3 +150,21 @@ def test_entities_and_recovery(spark):
     got = grounding.recovered(F.col("t"), {"a.b": ("string", F.lit("d")), "n": ("int", F.lit(7))})
     assert one(spark, got["a.b"], t='x {"a": {"b": "v"}}') == "v" and one(spark, got["n"], t="nothing") == 7
     assert one(spark, grounding.snippet(F.col("t")), t=" a\nb ") == "a b..." and one(spark, grounding.snippet(F.col("t")), t=" ") == ""
+
+
+def test_wrapping_puts_texts_together():
+    from folioworks.operators.redaction import wrap_sensitive
+
+    wrap = lambda s, kind: f'<span style="color: red; font-weight: bold;">[SENSITIVE: {s} ({kind})]</span>'
+    text, flags = wrap_sensitive("at 10.0.0.5 by EMP-1234, 10.0.0.5 again")
+    assert text == f"at {wrap('10.0.0.5', 'Internal IP')} by {wrap('EMP-1234', 'Unredacted PII')}, 10.0.0.5 again"
+    assert [f["match"] for f in flags] == ["EMP-1234", "10.0.0.5"]
+    near = "[SENSITIVE: 10.0.0.5 (x)] and " + "y" * 60 + " 10.0.0.5"
+    assert wrap_sensitive(near)[0].endswith(wrap("10.0.0.5", "Internal IP")) and wrap_sensitive(near[:40]) == (near[:40], [])
+    # the host is part of the address: its wrapper goes in first, and the address covers the host's characters of it
+    text, flags = wrap_sensitive("to ann@dc.corp")
+    inner = wrap("ann@dc.corp", "Unredacted PII")
+    assert [f["match"] for f in flags] == ["dc.corp", "ann@dc.corp"] and text == "to " + inner + wrap("dc.corp", "Internal Host")[len("dc.corp") :]
+    assert wrap_sensitive("") == ("", []) and wrap_sensitive(None) == (None, []) and wrap_sensitive("plain")[1] == []
+    long, flags = wrap_sensitive(" ".join(f"10.0.{i // 250}.{i % 250}" for i in range(20_000)))
+    assert len(flags) == 20_000 and long.count("[SENSITIVE:") == 20_000
