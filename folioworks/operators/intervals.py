@@ -12,9 +12,9 @@ BUCKET_MS = 3_600_000
 
 
 def to_ms(seconds: Column) -> Column:
-    """Seconds as whole milliseconds; null for null, NaN, infinite or out-of-range values."""
+    """Seconds as whole milliseconds; null for null, NaN, infinite and whatever no bigint holds."""
     ms = F.round(seconds * 1000)
-    return F.when(F.abs(ms) < F.lit(9.0e15), ms.cast("long"))
+    return F.when(F.abs(ms) < F.lit(2.0**63), ms.cast("long"))
 
 
 def coverage(
@@ -35,8 +35,8 @@ def coverage(
     a (key, bucket) window holds at most ``bucket_ms`` rows whatever the size of the key; across
     buckets only one running maximum and one label per bucket are carried.
 
-    Defined cases: rows with a null, NaN, infinite, beyond 9e15 ms, zero-length or reversed span don't
-    count; touching spans are continuous; repeated rows and ties change nothing; a null key is a key
+    Defined cases: rows with a null, NaN, infinite, zero-length or reversed span, or one whose milliseconds
+    no bigint holds, don't count; touching spans are continuous; repeated rows and ties change nothing; a null key is a key
     of its own; an empty table gives an empty result; other columns are ignored, whatever their names.
     Gaps of ``off_air_ms`` or more are left out.
     """
@@ -83,5 +83,5 @@ def coverage(
     return (
         periods.select(*[F.col(k).alias(n) for n, k in zip(names, ks, strict=True)], F.explode(rows).alias("r"))
         .select(*names, "r.*")
-        .where(f"kind = 'period' or (start_ms is not null and end_ms - start_ms < {int(off_air_ms)})")
+        .where(f"kind = 'period' or (start_ms is not null and coalesce(try_subtract(end_ms, start_ms) < {int(off_air_ms)}, false))")
     )

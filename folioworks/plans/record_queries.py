@@ -74,15 +74,17 @@ NEWEST_SQL = "select o_orderkey, o_orderdate, o_totalprice from orders order by
 
 
 def job_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON summary per file type: count and every file's name and size."""
-    f = table(spark, d, "source_context").withColumn("file_type", F.lower("file_type")).select("file_type", "file_name", "processed_at", "line_count")
-    return records.job_artifact(f, "file_type", "file_name", ["processed_at", "line_count"]).select("file_type", "file_count", F.sha2("artifact", 256).alias("artifact_sha"))
+    """One JSON summary per file type and block of a thousand reports: count and every file's name and size."""
+    block = F.floor(F.col("doc_id") / 1000).alias("block")
+    f = table(spark, d, "source_context").select(F.lower("file_type").alias("file_type"), block, "file_name", "processed_at", "line_count")
+    artifacts = records.job_artifact(f, ["file_type", "block"], "file_name", ["processed_at", "line_count"])
+    return artifacts.select("file_type", "block", "file_count", F.sha2("artifact", 256).alias("artifact_sha"))
 
 
-ARTIFACT_SQL = """with f as (select lower(file_type) file_type, file_name, processed_at, line_count from source_context),
-j as (select file_type, count(*) n, string_agg('{' || array_to_string(list_filter(['"file_name":"' || file_name || '"', '"processed_at":"' || processed_at || '"', '"line_count":' || line_count], lambda x: x is not null), ',') || '}', ','
+ARTIFACT_SQL = """with f as (select lower(file_type) file_type, doc_id // 1000 block, file_name, processed_at, line_count from source_context),
+j as (select file_type, block, count(*) n, string_agg('{' || array_to_string(list_filter(['"file_name":"' || file_name || '"', '"processed_at":"' || processed_at || '"', '"line_count":' || line_count], lambda x: x is not null), ',') || '}', ','
    order by file_name nulls first, processed_at nulls first, line_count nulls first) s from f group by all)
-select file_type, n file_count, sha256('{"file_count":' || n || ',"files":[' || s || ']}') artifact_sha from j"""
+select file_type, block, n file_count, sha256('{"file_count":' || n || ',"files":[' || s || ']}') artifact_sha from j"""
 
 
 def file_check(spark: SparkSession, d: str) -> DataFrame:

@@ -224,6 +224,13 @@ def video_totals(spark: SparkSession, d: str) -> DataFrame:
 TOTALS_SQL = VIDEO_SQL.replace("select video_id, ioc_type, count(*) n from x group by all", "select video_id, count(*) total_iocs_found, count(case when ioc_type <> 'sha1_hashes' then 1 end) listed, count(distinct ioc_type) kinds from x group by all")
 
 
+def _video_lists(texts: DataFrame) -> DataFrame:
+    """Per video the sorted indicators of each kind in its texts."""
+    long = indicators.indicators_long(texts, ["video_id"], "text").distinct()
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("ioc_type") == k, F.col("value")))).alias(k)
+    return long.groupBy("video_id").agg(*[of(k) for k in indicators.KINDS])
+
+
 def video_groundings(spark: SparkSession, d: str) -> DataFrame:
     """The grounding context of every video, made of all its scenes and every indicator spoken of or shown."""
     rows = _aligned(spark, d)
@@ -237,9 +244,7 @@ def video_groundings(spark: SparkSession, d: str) -> DataFrame:
     five = five.join(kinds, ["video_id", "scene_id"], "left").groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("scenes"))
     size = rows.groupBy("video_id").agg(F.max("end_ms").alias("ms"), F.count(F.lit(1)).alias("n_scenes"))
     texts = _segments(spark, d).select("video_id", "text").unionByName(listed.select("video_id", F.array_join("scene_iocs", " ").alias("text")))
-    long = indicators.indicators_long(texts, ["video_id"], "text").distinct()
-    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("ioc_type") == k, F.col("value")))).alias(k)
-    found = long.groupBy("video_id").agg(*[of(k) for k in indicators.KINDS])
+    found = _video_lists(texts)
     none = F.array().cast("array<string>")
     all_ = five.join(size, "video_id").join(found, "video_id", "left").withColumns({k: F.coalesce(k, none) for k in indicators.KINDS})
     iocs = indicators.columns(indicators.KINDS)
@@ -280,6 +285,55 @@ select video_id, 'Video Intelligence Briefing: ' || coalesce(c, 'Cyber Threats')
 from fv join sz using (video_id) left join li using (video_id)"""
 
 
+def video_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every video's whole report in ordered parts: its head, a section per scene, its transcript hour by hour.
+
+    ``part`` orders the parts of one ``section``; a recording of any length makes more rows, never larger ones. The
+    tables state neither resolution nor frame rate nor checksum.
+    """
+    segments = _segments(spark, d)
+    rows = _aligned(spark, d)
+    shown = table(spark, d, "aligned_scene").select("video_id", F.array_join("scene_iocs", " ").alias("text"))
+    size = rows.groupBy("video_id").agg(F.max("end_ms").alias("ms"), F.count(F.lit(1)).alias("n"))
+    none, unknown = F.array().cast("array<string>"), F.lit("unknown")
+    heads = size.join(_video_lists(segments.select("video_id", "text").unionByName(shown)), "video_id", "left")
+    heads = heads.withColumns({k: F.coalesce(k, none) for k in indicators.KINDS})
+    head = rendering.video_head(F.col("video_id"), F.floor(F.col("ms") / 1000), unknown, unknown, unknown, F.col("n"), indicators.columns(indicators.KINDS))
+    heads = heads.select("video_id", F.lit(1).alias("section"), F.lit(0).cast("long").alias("part"), head.alias("text"))
+    scenes = video_reports(spark, d).select("video_id", F.lit(2).alias("section"), F.col("scene_id").cast("long").alias("part"), F.col("section").alias("text"))
+    hour = F.floor(F.col("start_ms") / 3_600_000).cast("long")
+    said = segments.groupBy("video_id", hour.alias("part")).agg(F.sort_array(F.collect_list(F.struct("start_ms", "segment_id", F.trim("text").alias("text")))).alias("s"))
+    first = F.row_number().over(Window.partitionBy("video_id").orderBy("part")) == 1
+    opening = F.when(first, F.lit("\n## 3. Full Continuous Audio Transcript\n\n> ")).otherwise(F.lit(""))
+    spoken = said.select("video_id", F.lit(3).alias("section"), "part", F.concat(opening, F.trim(F.array_join("s.text", " "))).alias("text"))
+    return heads.unionByName(scenes).unionByName(spoken)
+
+
+_SHOWN = (
+    "case coalesce(visual_type, 'OTHER') when 'SLIDE' then '*(Empty slide)*' when 'TERMINAL' then '#### 💻 Terminal Session / Shell Output\n\n```bash\n\n```' "
+    "when 'DIAGRAM' then '#### 📊 Architecture / Attack Flow Diagram\n\n```mermaid\nflowchart LR\n    A[Threat Actor] -->|Inbound Vector| B[Target Network]\n```\n\n"
+    "**Narrative:** System architecture diagram illustrating network topology and threat pathways.' "
+    "else '*(Scene Visual: Visual scene displaying presenter briefing or transition slide.)*' end"
+)
+#: What a scene's indicators are made of, here of what is spoken only.
+_SPOKEN = "list_sort(list_distinct(list_concat(list_concat({cves}, {ipv4}), list_concat({sha256}, {domains}))))".format(
+    **{k: v.replace("extract_all(t,", "extract_all(spoken_transcript,") for k, v in _VALUES.items()}
+)
+_SCENES = f"""sq as (select al.*, coalesce(visual_type, 'OTHER') kind, {_SHOWN} shown, {_SPOKEN} io from al left join vt on vt.video_id = al.video_id and vt.scene_id = al.scene_id),
+se as (select video_id, scene_id, '### ⏱️ Scene ' || scene_id || ' [' || timestamp_display || '] - Visual: `' || kind || '`' || chr(10) || '**Spoken Narration:** "' || spoken_transcript || '"' || chr(10) || chr(10)
+  || shown || chr(10) || chr(10) || case when len(io) > 0 then '📌 **Scene Indicators:** `' || array_to_string(io, ', ') || '`' || chr(10) || chr(10) else '' end || '---' as section from sq)"""
+_VIDEO = VG_SQL[: VG_SQL.index("select video_id, 'Video Intelligence Briefing")].rstrip()
+REPORTS_SQL = _VIDEO + ",\n" + _SCENES + " select * from se"
+DOCUMENTS_SQL = _VIDEO + ",\n" + _SCENES + """,
+hr as (select video_id, a // 3600000 part, trim(string_agg(said, ' ' order by a, segment_id), ' ') said from sg group by all)
+select video_id, 1 section, cast(0 as bigint) part, '# 🎥 Multimodal Video Intelligence: ' || video_id || chr(10) || chr(10) || '*Duration: ' || s || 's | Resolution: unknown @ unknown FPS | SHA256: `unknown...`*' || chr(10) || chr(10) ||
+ '## 1. Technical Telemetry & Extracted Indicators' || chr(10) || '- **Total Visual Scenes:** ' || k || chr(10) || '- **Extracted CVEs:** ' || coalesce(c, 'None detected') || chr(10) ||
+ '- **IPv4 Addresses:** ' || coalesce(ip, 'None detected') || chr(10) || '- **SHA256 Signatures:** ' || coalesce(h, 'None detected') || chr(10) ||
+ '- **Malicious Domains / URLs:** ' || coalesce(du, 'None detected') || chr(10) || chr(10) || '## 2. Temporally Aligned Multimodal Scene Timeline' || chr(10) as text from sz left join li using (video_id)
+union all select video_id, 2, scene_id, section from se
+union all select video_id, 3, part, case when row_number() over (partition by video_id order by part) = 1 then chr(10) || '## 3. Full Continuous Audio Transcript' || chr(10) || chr(10) || '> ' else '' end || said from hr"""
+
+
 def media_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations of every call's anchors and every video's first five scenes; files that gave nothing have one that stands for them."""
     a = table(spark, d, "grounding_anchor").where("source is not null")
@@ -305,11 +359,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_bounds, aligned_scenes, scene_indicators, fallback_scenes, event_cuts, unlike_vectors, sample_points, histogram_shift, video_reports,
-        anchor_reports, video_indicators, video_totals, video_groundings, media_citations,
+        anchor_reports, video_indicators, video_totals, video_groundings, video_documents, media_citations,
     )
 }
 SQL = {
     "scene_bounds": _BASE_SQL + "select * from sc", "aligned_scenes": ALIGNED_SQL, "scene_indicators": SCENE_IOC_SQL, "fallback_scenes": FALLBACK_SQL,
     "event_cuts": CUTS_SQL, "unlike_vectors": UNLIKE_SQL, "sample_points": POINT_SQL, "histogram_shift": HIST_SQL, "anchor_reports": ANCHOR_SQL,
-    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL,
+    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL,
 }

@@ -76,3 +76,10 @@ def test_carry_forward(spark):
     for r in out.collect():
         want = max((x for x in range(-5, 20) if x // 4 < r.x // 4), default=None)
         assert r.before == want
+
+
+def test_spans_of_any_size(spark):
+    """Whatever milliseconds a bigint holds counts, at and beyond 9e15 and over the whole range."""
+    rows = [("a", 0.0, 8.9e12), ("b", 0.0, 9.1e12), ("c", 9.0e12, 9.1e15), ("d", -9.1e15, -9.0e15), ("d", 9.0e15, 9.1e15), ("e", 0.0, 1e30)]
+    got = {(r.video_id, r.kind, r.start_ms, r.end_ms) for r in coverage(spark.createDataFrame(rows, "video_id string, start_seconds double, end_seconds double"), "video_id").collect()}
+    assert got == {(k, "period", int(round(a * 1000)), int(round(b * 1000))) for k, a, b in rows[:-1]}

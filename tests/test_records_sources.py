@@ -16,8 +16,11 @@ def test_children_claims_and_params(spark):
     c = spark.createDataFrame([(1, 3, "z"), (1, 1, "x"), (1, 1, "x")], "k int, o int, v string")
     got = {r.k: [(x.o, x.v) for x in r.kids] for r in records.with_children(p, c, "k", ["o"], ["o", "v"], "kids").collect()}
     assert got == {1: [(1, "x"), (1, "x"), (3, "z")], 2: []}
-    with pytest.raises(Exception, match="more than 2 children"):
-        records.with_children(p, c, "k", ["o"], ["o", "v"], "kids", max_children=2).collect()
+    many = spark.createDataFrame([(1, i * 7 % 5000, "x") for i in range(5000)] + [(2, 9, "y"), (2, 9, "y"), (2, 8, "y")], "k int, o int, v string")
+    parts = records.with_children(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, n string"), many, "k", ["o"], ["o"], "kids", max_children=1000).collect()
+    own = sorted((r.part, [x.o for x in r.kids]) for r in parts if r.k == 1)
+    assert [x for _, kids in own for x in kids] == list(range(5000)) and len(own) == 5 and max(len(kids) for _, kids in own) < 1100
+    assert [(r.part, [x.o for x in r.kids]) for r in parts if r.k > 1] in ([(0, [8, 9, 9]), (0, [])], [(0, []), (0, [8, 9, 9])])
     e = spark.createDataFrame([("j", 2, 1), ("j", 1, 9), ("j", 1, 5)], "job string, at int, id int")
     assert tuple(records.first_claim(e, "job", "at", "id").first()) == ("j", 1, 5)
     assert tuple(records.latest_state(e, "job", "at", "id").first()) == ("j", 2, 1)
