@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import bisect
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words on either side of a boundary whose vocabularies are compared.
 BLOCK_WORDS = 60
-#: Bins that words are hashed into.
-BINS = 128
 #: Kinds of boundaries, the natural ones first.
 HEADING, BLOCK, ITEM, LINE, WORD = 5, 4, 3, 2, 1
 
@@ -89,42 +86,45 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 def cohesion_depths(text: str, at: np.ndarray, block_words: int = BLOCK_WORDS) -> np.ndarray:
     """How deep a valley of lexical cohesion each boundary lies in.
 
-    The words of sliding blocks before and after each boundary are compared by the cosine of their hashed
-    counts; the depth of a boundary is the sum of its distances to the nearest peaks on both sides.
+    The words of sliding blocks before and after each boundary are compared by the cosine of their counts;
+    the depth of a boundary is the sum of its distances to the nearest peaks on both sides.
     """
     n = len(at)
     if n == 0:
         return np.zeros(0)
     edges = [0, *at.tolist(), len(text)]
+    low = text.lower()
+    source = low if len(low) == len(text) else text  # some letters are longer when small
     known: dict[str, int] = {}
-    bins, counts = [], []
+    numbers: list[int] = []
+    counts = []
     for a, b in zip(edges, edges[1:], strict=False):
-        words = _WORDS.findall(text, a, b)
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = zlib.crc32(w.lower().encode()) % BINS
-            bins.append(k)
+        words = _WORDS.findall(source, a, b)
+        numbers += [known.setdefault(w, len(known)) for w in words]
         counts.append(len(words))
-    all_bins = np.array(bins, np.int64)
-    ends = np.cumsum(counts)  # words before boundary i: ends[i]
-    mid = ends[:n]
+    ids = np.array(numbers, np.int64)
+    mid = np.cumsum(counts)[:n]  # words before boundary i
     similarity = np.empty(n)
-    for a in range(0, n, 4096):  # a bounded part at a time, for very long texts
-        m = mid[a : a + 4096]
-        lo, hi = max(0, int(m[0]) - block_words), min(len(all_bins), int(m[-1]) + block_words)
-        part = all_bins[lo:hi]
-        total = np.zeros((len(part) + 1, BINS), np.int32) if len(part) < 1 << 16 else None
-        if total is not None:
-            total[np.arange(1, len(part) + 1), part] = 1
-            np.cumsum(total, axis=0, out=total)
-            left = (total[m - lo] - total[np.maximum(m - block_words, lo) - lo]).astype(np.float64)
-            right = (total[np.minimum(m + block_words, hi) - lo] - total[m - lo]).astype(np.float64)
-        else:
-            left = np.stack([np.bincount(all_bins[max(0, x - block_words) : x], minlength=BINS) for x in m]).astype(np.float64)
-            right = np.stack([np.bincount(all_bins[x : x + block_words], minlength=BINS) for x in m]).astype(np.float64)
-        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-        similarity[a : a + 4096] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 1.0)
+    before, after = np.arange(-block_words, 0), np.arange(block_words)
+    a = 0
+    while a < n:  # a bounded part at a time, each with its own vocabulary
+        b = min(a + 256, max(a + 1, int(np.searchsorted(mid, mid[a] + (1 << 14)))))
+        m = mid[a:b]
+        lo, hi = max(0, int(m[0]) - block_words), min(len(ids), int(m[-1]) + block_words)
+        vocabulary, part = np.unique(ids[lo:hi], return_inverse=True)
+        size = max(1, len(vocabulary))
+        rows = np.arange(len(m))[:, None] * size
+
+        def block(steps: np.ndarray) -> np.ndarray:
+            place = (m - lo)[:, None] + steps
+            inside = (place >= 0) & (place < len(part))
+            cells = (rows + part[np.clip(place, 0, len(part) - 1)])[inside] if len(part) else np.zeros(0, np.int64)
+            return np.bincount(cells, minlength=len(m) * size).reshape(len(m), size).astype(np.float32)
+
+        left, right = block(before), block(after)
+        norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
+        similarity[a:b] = np.where(norm > 0, np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9), 1.0)
+        a = b
     s = similarity.tolist()
     left_peak, right_peak = s[:], s[:]
     for i in range(1, n):
@@ -176,6 +176,18 @@ def split_spans(
     return out
 
 
+def version_order(df: DataFrame, version: str) -> list[Column]:
+    """What orders versions from old to new, nulls first: a column of numbers or times by itself, text by the time, then the number, then the text it is."""
+    v = F.col(version)
+    if dict(df.dtypes)[version] != "string":
+        return [v]
+    return [v.try_cast("timestamp"), v.try_cast("decimal(38,9)"), v]
+
+
+_SPANS = "array<struct<profile:string,piece:int,pieces:int,begin:bigint,end:bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("profile", pa.string()), ("piece", pa.int32()), ("pieces", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())]))
+
+
 def split_documents(
     df: DataFrame,
     profiles: DataFrame,
@@ -192,55 +204,53 @@ def split_documents(
     of a larger one, consecutive pieces share exactly ``overlap_tokens`` x 4 code points.
 
     Method: lexical-cohesion segmentation, see ``cohesion_depths`` and ``split_spans``; linear in the text.
+    Without ``with_text`` texts are cut where they lie and only their spans are shuffled to find each
+    key's latest version.
 
-    Defined cases: of several rows with one key the latest ``version`` (of equals the greatest text) counts;
-    null texts have no pieces, the empty text one empty piece; a profile with a null or non-positive limit
-    is left out; an overlap of more than half the limit is taken as half; null keys are one key; empty
-    tables give an empty result; other columns are ignored.
+    Defined cases: of several rows with one key the latest ``version`` (``version_order``; of equals the
+    greatest hash of the text) counts; null texts have no pieces, the empty text one empty piece; a profile with a null or
+    non-positive limit is left out; an overlap of more than half the limit is taken as half; null keys are
+    one key; empty tables give an empty result; other columns are ignored.
     """
     rows = profiles.select("profile", "max_tokens", "overlap_tokens").where("max_tokens > 0").limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("more than 1,000 profiles")
     limits = [(r[0], int(r[1]), int(r[2] or 0)) for r in rows]
     types = dict(df.select(key).dtypes)
-    latest = (
-        df.select(F.col(key).alias("k"), F.col(version).cast("string").alias("v"), F.col(text).alias("t"))
-        .where("t is not null")
-        .groupBy("k")
-        .agg(F.max(F.struct("v", "t")).alias("r"))
-        .select("k", F.col("r.t").alias("t"))
-    )
-    ddl = f"profile string, `{key}` {types[key]}, piece int, pieces int, begin bigint, end bigint, tokens bigint" + ", text string" * with_text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = [c.alias(f"v{i}") for i, c in enumerate(version_order(df, version))]
+    named = [f"v{i}" for i in range(len(order))]
+    texts = df.select(F.col(key).alias("k"), *order, F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, out, size = [], [], 0
-            for i, value in enumerate(batch.column(1)):
+            out = []
+            for value in batch.column(batch.num_columns - 1):
                 t = value.as_py()
                 n = len(t)
                 at = kind = depth = np.zeros(0)
                 if any(n > 4 * m + 3 for _, m, _ in limits):
                     at, kind = boundaries(t)
                     depth = cohesion_depths(t, at)
+                spans = []
                 for name, m, overlap in limits:
-                    spans = split_spans(n, t, at, kind, depth, m, overlap)
-                    for p, (a, b) in enumerate(spans):
-                        row = (name, p, len(spans), a, b, token_estimate(b - a))
-                        out.append((*row, t[a:b]) if with_text else row)
-                        take.append(i)
-                    size += n
-                if size > 1 << 24:
-                    yield _batch(batch, take, out, key, with_text)
-                    take, out, size = [], [], 0
-            if out:
-                yield _batch(batch, take, out, key, with_text)
-
-    return latest.mapInArrow(run, ddl)
-
-
-def _batch(batch: pa.RecordBatch, take: list[int], out: list[tuple], key: str, with_text: bool) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True))
-    arrays = [pa.array(cols[0], pa.string()), batch.column(0).take(pa.array(take, pa.int64()))]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * with_text]
-    arrays += [pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["profile", key, "piece", "pieces", "begin", "end", "tokens", *["text"] * with_text])
+                    own = split_spans(n, t, at, kind, depth, m, overlap)
+                    spans += [{"profile": name, "piece": p, "pieces": len(own), "begin": a, "end": b} for p, (a, b) in enumerate(own)]
+                out.append(spans)
+            kept = batch.columns if with_text else batch.columns[:-1]
+            names = batch.schema.names if with_text else batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, _SPAN_TYPE)], names=[*names, "s"])
+
+    def latest(rows: DataFrame, what: str) -> DataFrame:
+        return rows.groupBy("k").agg(F.max(F.struct(*named, "h", what)).alias("r")).select("k", F.col(f"r.{what}").alias(what))
+
+    kinds = dict(texts.dtypes)
+    if with_text:
+        done = latest(texts, "t").select("k", "t").mapInArrow(cut, f"k {types[key]}, t string, s {_SPANS}")
+    else:
+        ddl = ", ".join(f"{c} {kinds[c]}" for c in ("k", *named, "h"))
+        done = latest(texts.mapInArrow(cut, f"{ddl}, s {_SPANS}"), "s")
+    pieces = done.select(*done.columns[:-1], F.inline("s"))
+    size = F.col("end") - F.col("begin")
+    tokens = F.greatest(F.lit(1).cast("long"), F.floor(size / 4)).alias("tokens")
+    piece = [F.substr("t", (F.col("begin") + 1).cast("int"), size.cast("int")).alias("text")] if with_text else []
+    return pieces.select("profile", F.col("k").alias(key), "piece", "pieces", "begin", "end", tokens, *piece)

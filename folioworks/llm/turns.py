@@ -259,7 +259,7 @@ def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = B
         F.max_by("label", F.when(F.col("label").isNotNull(), place)).alias("last_label"),
     )
     by_hour = Window.partitionBy(*ks).orderBy("b")
-    gap = F.col("lo") - F.lag("hi").over(by_hour)
+    gap = F.try_subtract(F.col("lo"), F.lag("hi").over(by_hour))
     hours = hours.withColumn("fresh", F.coalesce(gap >= break_ms, F.lit(True)))
     hours = hours.withColumn("session", F.sum(F.col("fresh").cast("long")).over(by_hour))
     in_session = Window.partitionBy(*ks, "session").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -73,3 +73,45 @@ def test_very_long_lines_are_fast():
     for text in ("a" * 2_000_000, "word foo. " * 100_000, "\n" * 1_000_000):
         got = spans(text, 400, 40)
         assert got[-1][1] == len(text)
+
+
+def test_versions_are_ordered_by_what_they_are(spark):
+    profiles = spark.createDataFrame(PROFILES, "profile string, max_tokens int, overlap_tokens int").where("profile = 'large'")
+    for versions in (["9", "10"], ["2026-01-09T23:00:00Z", "2026-01-10T01:00:00Z"], [None, "a"], ["a", "b"], ["9.5", "10.25"], ["junk", "3"]):
+        df = spark.createDataFrame([(1, "old", versions[0], 1, "p", 1), (1, "newer", versions[1], 1, "p", 1)], DDL)
+        for with_text in (True, False):
+            assert [r.end for r in split_documents(df, profiles, with_text=with_text).collect()] == [5], versions
+    numbers = spark.createDataFrame([(1, "old", 9), (1, "newer", 10)], "doc_id long, clean_markdown string, processed_at int")
+    assert [r.text for r in split_documents(numbers, profiles).collect()] == ["newer"]
+
+
+def test_depths_against_brute_force():
+    """The cosines are those of the words themselves, however many different ones there are."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    text = "\n\n".join(" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 90))) for _ in range(700))
+    at, _ = boundaries(text)
+    words = [text[a:b].split() for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+    flat, mid = [w for x in words for w in x], []
+    for x in words[:-1]:
+        mid.append((mid[-1] if mid else 0) + len(x))
+    cosines = []
+    for m in mid:
+        a, b = Counter(flat[max(0, m - 60) : m]), Counter(flat[m : m + 60])
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        cosines.append(sum(a[w] * b[w] for w in a) / norm)
+    want = []
+    for i, s in enumerate(cosines):
+        lo = hi = s
+        for j in range(i - 1, -1, -1):
+            if cosines[j] < lo:
+                break
+            lo = cosines[j]
+        for j in range(i + 1, len(cosines)):
+            if cosines[j] < hi:
+                break
+            hi = cosines[j]
+        want.append(lo + hi - 2 * s)
+    got = cohesion_depths(text, at)
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-5
