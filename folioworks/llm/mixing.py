@@ -164,7 +164,8 @@ def mix_sources(
         .withColumn("block", F.floor((F.col("begin") + F.col("pass") * F.col("size")) / block).cast("long"))
         .select("recipe", "source", "k", F.col("pass").cast("int").alias("pass"), "tokens", "block")
     )
-    selection = uses.join(schedule, ["recipe", "source", "block"]).select("recipe", "source", F.col("k").alias(key), "pass", "tokens", "slot")
+    # never broadcast: the schedule grows with the data
+    selection = uses.join(schedule.hint("merge"), ["recipe", "source", "block"]).select("recipe", "source", F.col("k").alias(key), "pass", "tokens", "slot")
     used = uses.groupBy("recipe", "source").agg(F.sum("tokens").alias("used_tokens"))
     every = Window.partitionBy("recipe")
     report = (

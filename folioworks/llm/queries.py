@@ -12,7 +12,7 @@ from folioworks.llm.mixing import mix_sources
 from folioworks.llm.packing import fill_report, pack_items, window_shares
 from folioworks.llm.personal import find_personal, fit_model
 from folioworks.llm.splitting import split_documents
-from folioworks.llm.turns import Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
+from folioworks.llm.turns import ANY, TEXT, Roster, anchor_rows, segment_rows, speaker_turns, turn_texts
 from folioworks.session import spread, table
 
 
@@ -30,19 +30,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(spread(table(spark, d, "source_context")), table(spark, d, "split_profile"))
 
 
-def _speech(spark: SparkSession, d: str, with_words: bool) -> DataFrame:
+def _speech(spark: SparkSession, d: str, kept: str) -> DataFrame:
     roster = Roster(table(spark, d, "speaker_roster"))
-    segments = segment_rows(spread(table(spark, d, "audio_segment")), roster, with_words)
-    return segments.unionByName(anchor_rows(spread(table(spark, d, "grounding_anchor")), roster, with_words))
+    segments = segment_rows(spread(table(spark, d, "audio_segment")), roster, kept)
+    return segments.unionByName(anchor_rows(spread(table(spark, d, "grounding_anchor")), roster, kept))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return speaker_turns(_speech(spark, d, False)).select("track", "recording", "start_ms", "speaker").distinct()
+    return speaker_turns(_speech(spark, d, ANY)).select("track", "recording", "start_ms", "speaker").distinct()
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     """The clean words of every turn."""
-    return turn_texts(_speech(spark, d, True))
+    return turn_texts(_speech(spark, d, TEXT))
 
 
 #: The columns searched for personal information: (table, text column).

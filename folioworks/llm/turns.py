@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,11 @@ _NOISE = rf"{_SQUARE}|{_ROUND}|\{{[^{{}}\n]{{0,80}}\}}|{_ANGLE}|{_STAR}|♪[^♪
 _PHRASE = rf"(?i)(?<![\p{{L}}\p{{N}}_-])(?:{'|'.join(PHRASES)}),"
 #: Marks that may stand around a word.
 _MARKS = " .,;:!?…-–—\"'“”‘’()[]{}<>*♪| "
+_MARK = "[" + re.escape(_MARKS).replace(r"\ ", " ") + "]"
+#: The beginning of a word that is neither marks only nor a filler.
+_SAID = rf"(?i)(?<![^\s\u00a0]){_MARK}*+(?!(?:{'|'.join(sorted(FILLERS, key=len, reverse=True))}){_MARK}*(?![^\s\u00a0]))[^\s\u00a0]"
+#: What is kept of the words of a part: their text, their number, or whether there are any.
+TEXT, NUMBER, ANY = "string", "int", "boolean"
 #: The ways a label can stand before its words: [label], (label), <v label>, label: and label --, each also with a clock after the name.
 _LABEL = (
     rf"^(?:\[[^\[\]\n]{{1,60}}\]{_SPACE}*[:：]?|\([^()\n]{{1,60}}\){_SPACE}*[:：]?|<v[ .][^<>\n]{{1,60}}>"
@@ -122,8 +128,8 @@ class Roster:
         return _let(label_key(written), name)
 
 
-def clean_words(text: Column, with_words: bool = True) -> Column:
-    """The words of ``text`` in order, without marked noise and fillers, as text (or, without ``with_words``, their number).
+def clean_words(text: Column, kept: str = TEXT) -> Column:
+    """The words of ``text`` in order, without marked noise and fillers: as text, as their number, or whether there are any.
 
     A step that needs a regular expression runs only where a cheap test finds what it would replace.
     """
@@ -141,11 +147,13 @@ def clean_words(text: Column, with_words: bool = True) -> Column:
         return F.when(has(t, list("[({<*♪")), F.regexp_replace(t, _NOISE, " ")).otherwise(t)
 
     said = _let(_let(text, noiseless), unphrased)
+    if kept == ANY:
+        return said.rlike(_SAID)
     words = F.filter(F.split(said, rf"{_SPACE}+"), lambda w: ~F.btrim(F.lower(w), F.lit(_MARKS)).isin("", *FILLERS))
-    return F.array_join(words, " ") if with_words else F.size(words)
+    return F.array_join(words, " ") if kept == TEXT else F.size(words)
 
 
-def _part(raw: Column, roster: Roster, with_words: bool) -> Column:
+def _part(raw: Column, roster: Roster, kept: str) -> Column:
     """``struct(label, words)`` of one part: its label is the first thing in it but for clocks, noise and fillers."""
 
     def labelled(s: Column) -> Column:
@@ -174,14 +182,14 @@ def _part(raw: Column, roster: Roster, with_words: bool) -> Column:
         return _let(labelled(s), lambda a: F.when(a["label"].isNull() & worth, behind_notes(s, a)).otherwise(a))
 
     found = _let(_strip(raw, _LEAD), parse)
-    return _let(found, lambda f: F.struct(f["label"].alias("label"), clean_words(_strip(f["rest"], _LEAD), with_words).alias("words")))
+    return _let(found, lambda f: F.struct(f["label"].alias("label"), clean_words(_strip(f["rest"], _LEAD), kept).alias("words")))
 
 
-def parts_of(text: Column, roster: Roster, with_words: bool = True) -> Column:
+def parts_of(text: Column, roster: Roster, kept: str = TEXT) -> Column:
     """The parts of a segment's text as an array of ``struct(label, words)``; null for null text."""
     several = F.contains(text, F.lit(">>")) | F.contains(text, F.lit("<v")) | F.contains(text, F.lit("\n")) | (F.contains(text, F.lit(":")) & text.rlike(_NEXT))
     pieces = F.when(several, F.split(text, _PARTS)).otherwise(F.array(text))
-    return F.when(text.isNotNull(), F.transform(pieces, lambda p: _part(p, roster, with_words)))
+    return F.when(text.isNotNull(), F.transform(pieces, lambda p: _part(p, roster, kept)))
 
 
 def anchor_start_ms(anchor: Column) -> Column:
@@ -208,22 +216,22 @@ def _first_of(rows: DataFrame, order: list[str]) -> DataFrame:
     return first.select("track", "recording", "r.start_ms", "r.ord", "r.parts")
 
 
-def segment_rows(segments: DataFrame, roster: Roster, with_words: bool = True) -> DataFrame:
+def segment_rows(segments: DataFrame, roster: Roster, kept: str = TEXT) -> DataFrame:
     """Rows ``(track, recording, start_ms, ord, parts)`` of ``audio_segment``, each (video_id, segment_id) once.
 
     Of re-delivered rows the first ingested counts.
     """
     rows = segments.select(
         F.lit("audio_segment").alias("track"), F.col("video_id").alias("recording"), F.col("segment_id").cast("string").alias("name"),
-        to_ms(F.col("start_seconds")).alias("start_ms"), F.col("segment_id").cast("long").alias("ord"), parts_of(F.col("text"), roster, with_words).alias("parts"),
+        to_ms(F.col("start_seconds")).alias("start_ms"), F.col("segment_id").cast("long").alias("ord"), parts_of(F.col("text"), roster, kept).alias("parts"),
         F.col("ingested_at").isNull().alias("late"), "ingested_at", F.xxhash64("start_seconds", "text").alias("tie"),
     )
     return _first_of(rows, ["late", "ingested_at", "tie"])
 
 
-def anchor_rows(anchors: DataFrame, roster: Roster, with_words: bool = True) -> DataFrame:
+def anchor_rows(anchors: DataFrame, roster: Roster, kept: str = TEXT) -> DataFrame:
     """Rows ``(track, recording, start_ms, ord, parts)`` of ``grounding_anchor``; of each (source, id) the smallest ``row_id``."""
-    said = F.array(F.struct(roster.resolve(F.col("speaker")).alias("label"), clean_words(F.coalesce("extracted_verbatim", F.lit("")), with_words).alias("words")))
+    said = F.array(F.struct(roster.resolve(F.col("speaker")).alias("label"), clean_words(F.coalesce("extracted_verbatim", F.lit("")), kept).alias("words")))
     rows = anchors.select(
         F.lit("grounding_anchor").alias("track"), F.col("source").alias("recording"), F.col("id").cast("string").alias("name"),
         anchor_start_ms(F.col("temporal_anchor")).alias("start_ms"), F.col("row_id").cast("long").alias("ord"), said.alias("parts"),
@@ -235,7 +243,8 @@ def anchor_rows(anchors: DataFrame, roster: Roster, with_words: bool = True) ->
 def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS, with_words: bool = True) -> DataFrame:
     """Every part with words, its speaker and its turn: ``(track, recording, start_ms, ord, part, words, speaker, turn)``.
 
-    Without ``with_words``, ``words`` is their number. ``turn`` numbers a recording's turns from 1. Speakers
+    Without ``with_words``, ``words`` is their number (1 where the rows only hold whether there are any).
+    ``turn`` numbers a recording's turns from 1. Speakers
     are filled forward and turns are islands of one speaker, both in windows over (recording, hour): a
     recording of any length is spread over as many tasks as it has hours, and only one row per hour (its
     last start and last label, its number of new turns) is carried on. A break of ``break_ms`` or more,
@@ -243,10 +252,10 @@ def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = B
     """
     if break_ms < bucket_ms:
         raise ValueError("a break must be at least as long as a bucket")
-    counted = dict(rows.select(F.inline("parts")).dtypes)["words"] == "int"
-    if with_words and counted:
-        raise ValueError("these rows hold numbers of words only")
-    words = F.col("p.words") if with_words or counted else F.when(F.col("p.words") == "", 0).otherwise(F.size(F.split("p.words", " ")))
+    kept = dict(rows.select(F.inline("parts")).dtypes)["words"]
+    if with_words and kept != TEXT:
+        raise ValueError("these rows don't hold the words")
+    words = F.col("p.words") if with_words else F.col("p.words").cast("int") if kept != TEXT else F.when(F.col("p.words") == "", 0).otherwise(F.size(F.split("p.words", " ")))
     # null keys would make every join below compare two columns more than the windows are distributed by
     keys = [F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(f"k_{c}") for c in ("track", "recording")]
     parts = rows.where("start_ms is not null").select(*keys, "start_ms", "ord", F.posexplode("parts").alias("part", "p"))
@@ -283,14 +292,16 @@ def speaker_turns(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = B
     """One row per turn: ``(track, recording, turn, start_ms, last_ms, speaker, parts, word_count)``.
 
     ``rows`` has ``(track, recording, start_ms, ord, parts)``, as ``segment_rows`` and ``anchor_rows`` make
-    them, of one track or of several.
+    them, of one track or of several; where they hold only whether there are words, ``word_count`` is null.
     Defined cases: rows without a start, without text or with nothing left after cleaning don't count
     and their labels aren't carried; null recordings are one recording; ties are ordered by ``ord``, then
     by the place in the segment; empty tables give an empty result; extra columns are ignored.
     """
+    told = dict(rows.select(F.inline("parts")).dtypes)["words"] != ANY
+    words = F.sum("words").cast("long") if told else F.lit(None).cast("long")
     return speaker_parts(rows, bucket_ms, break_ms, with_words=False).groupBy("track", "recording", "turn").agg(
         F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("last_ms"), F.first("speaker").alias("speaker"),
-        F.count(F.lit(1)).alias("parts"), F.sum("words").cast("long").alias("word_count"),
+        F.count(F.lit(1)).alias("parts"), words.alias("word_count"),
     )
 
 

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.llm.turns import Roster, anchor_rows, anchor_start_ms, segment_rows, speaker_turns, turn_texts
+from folioworks.llm.turns import ANY, NUMBER, TEXT, Roster, anchor_rows, anchor_start_ms, segment_rows, speaker_turns, turn_texts
 
 SEG = "video_id string, segment_id int, start_seconds double, end_seconds double, text string, ingested_at timestamp, label string, words string, b int"
 ANC = "row_id long, source string, id string, temporal_anchor string, speaker string, extracted_verbatim string, part int"
@@ -80,7 +80,7 @@ def test_ties_repeats_and_null_starts(spark, roster):
         ("v", 3, None, 9.0, "Call Moderator: x", t1, "", "", 0), ("v", 4, float("nan"), 9.0, "Call Moderator: x", t1, "", "", 0), (None, 1, 1.0, 2.0, "y", t1, "", "", 0),
     ]
     df = spark.createDataFrame(rows, SEG)
-    got = {(r.recording, r.turn, r.start_ms, r.speaker, r.parts) for r in speaker_turns(segment_rows(df, roster, with_words=False)).collect()}
+    got = {(r.recording, r.turn, r.start_ms, r.speaker, r.parts) for r in speaker_turns(segment_rows(df, roster, NUMBER)).collect()}
     assert got == {("v", 1, 5000, "Night Analyst", 1), ("v", 2, 5000, "Legal Counsel", 1), (None, 1, 1000, "Unknown Speaker", 1)}
     assert speaker_turns(segment_rows(df.limit(0), roster)).count() == 0
 
@@ -101,3 +101,15 @@ def test_time_forms(spark):
     df = spark.createDataFrame([(k, v) for k, v in forms.items()], "t string, want long")
     for r in df.select("t", "want", anchor_start_ms(F.col("t")).alias("got")).collect():
         assert r.got == r.want, r.t
+
+
+def test_what_is_kept_of_the_words(spark, roster):
+    """Text, number and presence of words agree."""
+    texts = ["", "um", "Um...", "um, er.", "...", "(laughs)", "well, um", "well, so", "I mean, you know, it", "\u2014 um \u2014", "umbrella", "um-hm", "a\u00a0um b", "\"uh\"", "Counsel: uh", None, " ", "*coughs* mm-hmm.", "er er er go"]
+    df = spark.createDataFrame([("v", i, float(i), None, x, None, "", "", 0) for i, x in enumerate(texts)], SEG)
+    by = [{r.ord: [p.words for p in r.parts or ()] for r in segment_rows(df, roster, kept).collect()} for kept in (TEXT, NUMBER, ANY)]
+    for i in range(len(texts)):
+        text, number, some = by[0][i], by[1][i], by[2][i]
+        assert [len(x.split()) for x in text] == number and [n > 0 for n in number] == some, texts[i]
+    turns_of = [{(r.turn, r.start_ms, r.speaker, r.parts) for r in speaker_turns(segment_rows(df, roster, kept)).collect()} for kept in (TEXT, NUMBER, ANY)]
+    assert turns_of[0] == turns_of[1] == turns_of[2]
