@@ -81,22 +81,23 @@ class Level:
         return sum(self.get(k) is not None for k in record)
 
 
-def _objects(text: str) -> Iterator[tuple[dict, int]]:
-    """The complete JSON objects in ``text`` that stand in no other, each with its length, in one pass.
+def _objects(text: str) -> tuple[list[tuple[dict, int]], bool]:
+    """The complete JSON objects in ``text`` that stand in no other, each with its length, in one pass; and whether the text breaks off in one.
 
     An object that breaks off in the middle isn't one, but complete objects within it are. One that runs
     to the end of the text is cut off, and what it holds doesn't count.
     """
+    out: list[tuple[dict, int]] = []
     i = text.find("{")
     end_of_text = len(text.rstrip()) - 1
     while i >= 0:
         try:
             value, end = _DECODER.raw_decode(text, i)
-            yield value, end - i
+            out.append((value, end - i))
         except ValueError as error:
             end = max(getattr(error, "pos", i), i + 1)
             if end >= end_of_text or "Unterminated" in str(error):
-                return
+                return out, True
             # up to the mistake the text is JSON, so its braces pair; the outermost pairs are objects
             opened: list[int] = []
             spans: list[tuple[int, int]] = []
@@ -110,10 +111,11 @@ def _objects(text: str) -> Iterator[tuple[dict, int]]:
                     spans.append((begin, m.end()))
             for begin, stop in spans:
                 try:
-                    yield _DECODER.raw_decode(text, begin)[0], stop - begin
+                    out.append((_DECODER.raw_decode(text, begin)[0], stop - begin))
                 except ValueError:
                     continue
         i = text.find("{", end)
+    return out, False
 
 
 def find_record(text: str | None, level: Level) -> dict | None:
@@ -145,11 +147,12 @@ def _find(text: str | None, level: Level) -> dict | None:
     if not text:
         return None
     best, best_score = None, (0, -1)
-    for value, size in _objects(text):
+    objects, broken_off = _objects(text)
+    for value, size in objects:
         score = (level.known(value), size)
         if score > best_score:
             best, best_score = value, score
-    if best is None and '\\"' in text:
+    if best is None and not broken_off and '\\"' in text:
         # a record inside a JSON string inside other text
         j = text.find('"')
         while j >= 0:

@@ -56,12 +56,77 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return bridge(_occurrences(spark, d))
 
 
+#: Written apart from the operator: the shape as a table, walked by a recursive query.
+_SHAPE = """
+    ('minto_pyramid', 'situation', 'object'), ('minto_pyramid', 'complication', 'object'), ('minto_pyramid', 'solution', 'object'),
+    ('minto_pyramid', 'business_impact_and_risk', 'object'), ('minto_pyramid.complication', 'evidence', 'list'),
+    ('minto_pyramid.complication.evidence', 'scores', 'list'), ('minto_pyramid.solution', 'steps', 'list'), ('minto_pyramid.solution.steps', 'subtasks', 'list'),
+    ('minto_pyramid.business_impact_and_risk', 'risks', 'list'),
+    ('threat_metadata', 'cve_ids', 'list'), ('threat_metadata', 'threat_actor', 'object'), ('threat_metadata.threat_actor', 'aliases', 'list'),
+    ('threat_metadata', 'affected_systems', 'list'), ('threat_metadata.affected_systems', 'versions', 'list'), ('threat_metadata.affected_systems', 'hosts', 'list'),
+    ('threat_metadata.affected_systems.hosts', 'ports', 'list'), ('threat_metadata', 'iocs', 'list'), ('threat_metadata.iocs', 'sightings', 'list'),
+    ('downstream_directives', 'advisory_bullet_points', 'list'), ('downstream_directives.advisory_bullet_points', 'audience', 'list'),
+    ('downstream_directives', 'executive_takeaways', 'list'), ('downstream_directives.executive_takeaways', 'metrics', 'list'),
+    ('downstream_directives', 'social_dissemination_hooks', 'list'), ('downstream_directives', 'visual_scene_ideas', 'list'),
+    ('downstream_directives.visual_scene_ideas', 'shots', 'list'), ('downstream_directives.visual_scene_ideas.shots', 'props', 'list')"""
+_NODES = rf"""
+with recursive shape(up, name, kind) as (values {_SHAPE}),
+raw as (
+  select context_id, 'minto_pyramid' c, minto_pyramid t from enriched_grounding union all select context_id, 'threat_metadata', threat_metadata from enriched_grounding
+  union all select context_id, 'downstream_directives', downstream_directives from enriched_grounding),
+o1 as (select context_id, c, case when json_valid(t) and json_type(t) = 'VARCHAR' then json(t) ->> '$' else t end t from raw where t <> ''),
+o2 as (select context_id, c, case when json_valid(t) and json_type(t) = 'VARCHAR' then json(t) ->> '$' else t end t from o1),
+o3 as (select context_id, c, t, substr(t, strpos(t, '{{'), greatest(0, length(t) - strpos(reverse(t), '}}') + 2 - strpos(t, '{{'))) cut from o2 where t <> ''),
+o4 as (select context_id, c, case when json_valid(t) then case when json_type(t) = 'ARRAY' then list_filter(cast(json(t) as json[]), lambda x: json_type(x) = 'OBJECT')[1] else json(t) end
+  when json_valid(cut) then json(cut) end v from o3),
+node as (
+  select context_id, c path, '' pos, false element, v from o4 where json_type(v) = 'OBJECT'
+  union all
+  select context_id, path, case when kind = 'object' then pos when pos = '' then (i - 1)::varchar else pos || '.' || (i - 1) end, kind = 'list', x from (
+    select context_id, up || '.' || name path, pos, kind, unnest(items) x, generate_subscripts(items, 1) i from (
+      select context_id, up, name, pos, kind, case
+        when json_type(o) = 'NULL' then [] when kind = 'object' then [case when json_type(o) = 'ARRAY' then list_filter(cast(o as json[]), lambda y: json_type(y) <> 'NULL')[1] else o end]
+        when json_type(o) = 'ARRAY' then cast(o as json[])
+        when json_type(o) = 'OBJECT' and len(json_keys(o)) > 0 and len(list_filter(json_keys(o), lambda k: not regexp_full_match(k, '\d{{1,9}}'))) = 0
+          then list_transform(list_sort(list_transform(json_keys(o), lambda k: k::bigint)), lambda k: json_extract(o, '$."' || k || '"'))
+        else [o] end items
+      from (select context_id, up, name, pos, kind, case when json_type(w) = 'VARCHAR' and regexp_matches(w ->> '$', '^\s*[\[{{]') and json_valid(w ->> '$') then json(w ->> '$') else w end o
+        from (select context_id, path, pos, key, json_extract(v, '$."' || key || '"') w
+          from (select context_id, path, pos, v, unnest(json_keys(v)) key from (
+            select context_id, path, pos, case when json_type(v) = 'VARCHAR' and regexp_matches(v ->> '$', '^\s*[\[{{]') and json_valid(v ->> '$') then json(v ->> '$') else v end v from node) where json_type(v) = 'OBJECT'))
+        join shape on up = path and replace(name, '_', '') = lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g'))))))"""
+P3_SQL = _NODES + "\nselect context_id, path array_path, pos positions from node where element and json_type(v) <> 'NULL'"
+
+
+def _flat_sql(path: str, fields: list[str]) -> str:
+    """The flat table of one list from the walked nodes."""
+    opened = r"case when json_type(v) = 'VARCHAR' and regexp_matches(v ->> '$', '^\s*[\[{]') and json_valid(v ->> '$') then json(v ->> '$') else v end"
+    plain = "lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g'))"
+
+    def field(f: str) -> str:
+        if fields == ["value"]:
+            return "v ->> '$' as \"value\""
+        key = f"list_filter(json_keys(o), lambda k: {plain} = '{f.replace('_', '')}')[-1]"
+        other = "o ->> '$'" if f == "value" else "null"
+        return f"case when json_type(o) = 'OBJECT' then json_extract_string(o, '$.\"' || {key} || '\"') else {other} end as \"{f}\""
+
+    return _NODES + rf"""
+select context_id, cast(regexp_extract(pos, '(\d+)$', 1) as int) ordinal, pos positions, regexp_replace(pos, '\.?\d+$', '') parent_positions, {", ".join(map(field, fields))}
+from (select *, case when json_type(o1) = 'ARRAY' then list_filter(cast(o1 as json[]), lambda y: json_type(y) <> 'NULL')[1] else o1 end o
+  from (select *, {opened} o1 from node where path = '{path}' and element and json_type(v) <> 'NULL'))"""
+
+
 def _flat(path: str, fields: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: flat_table(_occurrences(spark, d), path, fields)
+    return lambda spark, d: flat_table(_occurrences(spark, d), path, fields).drop("parent_id", "child_id")
+
+
+def _name(path: str) -> str:
+    """``p3_iocs_sightings`` for ``threat_metadata.iocs.sightings``."""
+    return f"p3_{path.partition('.')[2].replace('.', '_')}"
 
 
-#: The flat table of each list, by query name: p3_iocs_sightings for threat_metadata.iocs.sightings.
-FLAT = {f"p3_{path.partition('.')[2].replace('.', '_')}": _flat(path, fields) for path, fields in list_paths().items()}
+#: The flat table of each list: its context, its place, its parent's place, its fields.
+FLAT = {_name(path): _flat(path, fields) for path, fields in list_paths().items()}
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_objects, p3_links)} | FLAT
-SQL = {"p1_found": P1_SQL}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL} | {_name(path): _flat_sql(path, fields) for path, fields in list_paths().items()}

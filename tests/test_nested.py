@@ -48,6 +48,9 @@ def test_no_record(spark):
     assert elements(spark, (None, None, None), ("", "null", "no json"), (None, plain[:60], None), (None, "```json\n" + plain[:-5], "[]"), ("3", '"x"', "{")) == []
     assert elements(spark) == []
     assert find_record("[" * 200_000, FIELDS) is None
+    cut = json.dumps({"severity": "LOW", "affected_systems": json.dumps([{"name": "x", "severity": "y"}]), "iocs": []})[:-4]
+    assert find_record(cut, FIELDS) is None  # what a broken record holds as text is no record either
+    assert find_record("so: " + json.dumps(json.dumps(THREAT)) + ".", FIELDS) == THREAT
 
 
 def test_every_parent_is_stored_and_records_without_lists_have_rows(spark):
