@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks.functions import text as T
 from folioworks.operators import chunking, classify, grounding, indicators, records, redaction, rendering, tables
 from folioworks.session import spread, table
+from folioworks.sources import readers, sinks
 
 KEYS = ["doc_id", "processed_at"]
 #: Bytes of a normalized text at most: the reference's upload limit.
@@ -229,7 +230,8 @@ def grounding_headers(spark: SparkSession, d: str) -> DataFrame:
         "word_count": T.word_count(t), "estimated_tokens": T.token_estimate(t),
     }
     i, s = indicators.columns(indicators.KINDS), indicators.columns(indicators.TERMS)
-    return rows.select(*KEYS, chunking.grounding_header(meta, i, s, F.col("tb")).alias("header"))
+    rows = rows.select(*KEYS, "t", chunking.grounding_header(meta, i, s, F.col("tb")).alias("header"))
+    return rows.select(*KEYS, "header", F.sha2(chunking.prompt(F.col("header"), t), 256).alias("prompt_sha"))
 
 
 def groundings(spark: SparkSession, d: str) -> DataFrame:
@@ -434,17 +436,28 @@ def draft_points(spark: SparkSession, d: str) -> DataFrame:
 POINTS_SQL = rf"""select row_id, array_to_string(list_filter(list_transform(string_split(final_content, chr(10)), lambda x: {_STRIP.format(x="x")}), lambda x: x <> '')[1:4], '|') key_points
 from final_deliverable where final_content is not null"""
 
+def word_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every deliverable written as a Word file and read again: its text, paragraphs and characters."""
+    files = spread(table(spark, d, "final_deliverable")).select("row_id", F.lit("deliverable.docx").alias("name"), sinks.as_docx()("final_content").alias("content"))
+    return readers.inspect_documents(files).select("row_id", "text", "paragraph_count", "char_count", "error")
+
+
+WORD_SQL = rf"""
+with t as (select row_id, replace(replace(final_content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) x from final_deliverable), s as (select *, {_STRIP.format(x="x")} t from t)
+select row_id, nullif(t, '') as text, cast(len(string_split(x, chr(10))) as int) paragraph_count, cast(length(t) as int) char_count,
+ case when x is null then 'no inspector for this file' end as error from s"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         ext_indicators, ext_totals, ext_by_kind, ext_artifacts, ext_threat, doc_stats, text_tables, aligned_tables, text_chunks, grounding_headers,
         groundings, overviews, citations, fact_citations, normalized_reports, ocr_cleanup, keyframe_types, file_formats, sensitive_detect, sensitive_redacted, salvaged_answers,
-        recovered_groundings, deliverable_snippets, combined_reports, draft_points,
+        recovered_groundings, deliverable_snippets, combined_reports, draft_points, word_files,
     )
 }
 SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL,
+    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL,
 }

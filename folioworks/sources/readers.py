@@ -1,4 +1,4 @@
-"""Files into rows: folders, decoding, delimited, JSON, YAML, markup, mail, plain text, Word and WAV."""
+"""Files into rows: folders, decoding, delimited, JSON, YAML, markup, mail, plain text, Word, PDF and WAV."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from folioworks.functions.text import lines, strip
 from folioworks.operators import classify
 from folioworks.operators.tables import text_tables, to_markdown
+from folioworks.sources.pdf import pdf_markdown, pdf_text
 
 _STRUCTURED = StructType(
     [StructField("markdown", StringType()), StructField("headers", ArrayType(StringType())), StructField("rows", ArrayType(ArrayType(StringType())))]
@@ -196,7 +197,7 @@ def _guarded(parse: Callable, *args):
 _KINDS: dict[str, Callable] = {"json": _json, "yaml": _yaml, "markup": _markup, "email": _mail}
 
 #: Readers of further formats: extension -> function from bytes to text. Register your own here.
-BINARY_READERS: dict[str, Callable[[bytes], str]] = {"docx": _docx}
+BINARY_READERS: dict[str, Callable[[bytes], str]] = {"docx": _docx, "pdf": pdf_markdown}
 
 
 def register_reader(suffix: str, read: Callable[[bytes], str]) -> None:
@@ -222,6 +223,44 @@ def binary_text(readers: dict[str, Callable[[bytes], str]] | None = None):
     return read
 
 
+def docx_paragraphs(content: bytes) -> list[str]:
+    """The paragraphs of a Word file's body, empty ones too, without those of tables."""
+    ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{ns}body")
+    return ["".join(t.text or "" for t in p.iter(f"{ns}t")) for p in (body.findall(f"{ns}p") if body is not None else ())]
+
+
+def _inspected(name: str | None, content: bytes | None) -> tuple:
+    """(text, pages, paragraphs, characters, error) of one file."""
+    suffix = (name or "").rpartition(".")[2].lower()
+    try:
+        if content is None or suffix not in ("pdf", "docx"):
+            return None, None, None, None, "no inspector for this file"
+        if suffix == "pdf":
+            text, pages = pdf_text(bytes(content))
+            return text, pages, None, len(text or ""), None
+        paragraphs = docx_paragraphs(bytes(content))
+        text = "\n".join(paragraphs).strip()
+        return text or None, None, len(paragraphs), len(text), None
+    except Exception:
+        return None, None, None, None, f"{suffix.upper()} file is malformed or unreadable"
+
+
+def inspect_documents(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """Adds ``text``, ``page_count``, ``paragraph_count``, ``char_count`` and ``error`` to rows of PDF and Word files, in Arrow batches."""
+    schema = "text string, page_count int, paragraph_count int, char_count int, error string"
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for names, contents in batches:
+            rows = [_inspected(n, c) for n, c in zip(names, contents, strict=True)]
+            frame = pd.DataFrame(rows, columns=["text", "page_count", "paragraph_count", "char_count", "error"])
+            yield frame.astype({"page_count": "Int32", "paragraph_count": "Int32", "char_count": "Int32"})
+
+    return df.withColumn("__i", run(name, content)).select("*", "__i.*").drop("__i")
+
+
 def structured(kind: str):
     """A function of text to ``struct<markdown, headers, rows>`` for ``json``, ``yaml``, ``markup`` or ``email``."""
     parse = _KINDS[kind]
@@ -277,9 +316,3 @@ def wav_details(content: bytes) -> tuple[int, int, int, float]:
     """The same through the standard library, for files with further chunks."""
     with wave.open(io.BytesIO(content)) as w:
         return w.getnchannels(), w.getframerate(), w.getsampwidth(), round(w.getnframes() / w.getframerate(), 2)
-
-
-def scaled_size(width: Column, height: Column, longest: int = 2048) -> Column:
-    """The size of a picture whose long edge is cut to ``longest``."""
-    share = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
-    return F.struct((width * share).cast("int").alias("width"), (height * share).cast("int").alias("height"))

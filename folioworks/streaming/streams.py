@@ -28,19 +28,12 @@ def each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], o
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(stream: DataFrame, at: str, key: str, window: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """Rows per key and tumbling window; rows later than ``late`` behind the watermark are left out."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, window), key).agg(F.count(F.lit(1)).alias("n")).select(
-        key, F.col("window.start").alias("start_at"), F.col("window.end").alias("end_at"), "n"
-    )
-
-
 _CUTS = StructType([StructField("key", StringType()), StructField("start_at", DoubleType()), StructField("end_at", DoubleType())])
 _STATE = StructType([StructField("last", DoubleType())])
 
 
 def stream_cuts(stream: DataFrame, key: str, at: str, corr: str, min_gap: float = 1.5, threshold: float = 0.65) -> DataFrame:
-    """The cuts of ``alignment.cut_fold`` over samples that arrive in order: the last cut of each key is its state.
+    """The cuts of ``alignment.cut_intervals`` over samples that arrive in order: the last cut of each key is its state.
 
     A stream has no duration, so the interval after the last cut is not among them.
     """

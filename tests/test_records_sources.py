@@ -190,3 +190,22 @@ def test_sign_hash_reads_whole_vectors(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 64 + [-5.0]), (3, [-1.0, 2.0]), (4, []), (5, None)], "i int, v array<float>")
     got = {r.i: r.h for r in df.select("i", alignment.sign_hash(F.col("v")).alias("h")).collect()}
     assert got == {1: -1, 2: -2, 3: 2, 4: None, 5: None}
+
+
+def test_jobs_run_again_leave_one_state(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "job int, text string")
+    out = str(tmp_path / "out")
+
+    def work(bad):
+        return lambda df: df.where("job <> 3").select("job", F.upper("text").alias("artifact"), F.when(F.col("job") == bad, "broken").alias("error"))
+
+    def states():
+        return {r.job: r.state for r in spark.read.parquet(f"{out}/state").collect()}
+
+    sinks.finish_jobs(jobs, work(2), out, "job")
+    assert states() == {1: "done", 2: "failed", 3: "failed"}
+    assert {(r.job, r.error) for r in spark.read.parquet(f"{out}/failed").collect()} == {(2, "broken"), (3, "no result")}
+    sinks.finish_jobs(jobs.where("job = 2"), work(None), out, "job")  # only that job is replaced
+    sinks.finish_jobs(jobs.where("job = 2"), work(None), out, "job")  # and a repeated run changes nothing
+    assert states() == {1: "done", 2: "done", 3: "failed"}
+    assert {(r.job, r.artifact) for r in spark.read.parquet(f"{out}/done").collect()} == {(1, "A"), (2, "B")}
