@@ -355,6 +355,18 @@ def media_citations(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+CITED_SQL = ALIGNED_SQL.replace("\nselect sc.video_id", ",\nal as (select sc.video_id") + """),
+an as (select source, id, min_by({'a': coalesce(temporal_anchor, '00:00'), 't': extracted_verbatim}, row_id) r from grounding_anchor
+  where source is not null and id is not null and extracted_verbatim is not null group by all),
+nn as (select *, row_number() over (partition by video_id order by start_ms, scene_id) n from al),
+fi as (
+  select source x, bool_or(id is not null and extracted_verbatim is not null) ok from grounding_anchor where source is not null group by all union all
+  select video_id, bool_or(start_seconds is not null and end_seconds is not null) from aligned_scene where video_id is not null group by all union all
+  select file_name, bool_or(clean_markdown is not null) from source_context where file_name is not null group by all)
+select source, id, 'file' kind, '[' || r.a || '] ' || left(r.t, 100) as label from an
+union all select video_id, 'vid-' || scene_id, 'file', '[' || timestamp_display || '] ' || left(spoken_transcript, 80) from nn where n <= 5
+union all select x, 'src-' || x, 'file', x from fi where not ok"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -365,5 +377,5 @@ QUERIES = {
 SQL = {
     "scene_bounds": _BASE_SQL + "select * from sc", "aligned_scenes": ALIGNED_SQL, "scene_indicators": SCENE_IOC_SQL, "fallback_scenes": FALLBACK_SQL,
     "event_cuts": CUTS_SQL, "unlike_vectors": UNLIKE_SQL, "sample_points": POINT_SQL, "histogram_shift": HIST_SQL, "anchor_reports": ANCHOR_SQL,
-    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL,
+    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL, "media_citations": CITED_SQL,
 }

@@ -436,6 +436,39 @@ def draft_points(spark: SparkSession, d: str) -> DataFrame:
 POINTS_SQL = rf"""select row_id, array_to_string(list_filter(list_transform(string_split(final_content, chr(10)), lambda x: {_STRIP.format(x="x")}), lambda x: x <> '')[1:4], '|') key_points
 from final_deliverable where final_content is not null"""
 
+_FACTS = f"""case when len(nf) > 0 then nf else ['Analyzed ' || len(regexp_extract_all(clean_markdown, '\\S+')) || ' words across ' || len({_LINES.format(t="clean_markdown")}) || ' lines'] end"""
+FACT_SQL = _REPORTS.rstrip() + "," + _IOC_LISTS + f""",
+f as (select *, list_transform({_all(indicators.LOCKED_FACTS, t="clean_markdown")}, lambda x: {_STRIP.format(x="x")}) nf from l where t is not null),
+g as (select doc_id, processed_at, len(cves) + len(ipv4_addresses) n, {_FACTS} facts from f),
+u as (select doc_id, processed_at, n, unnest(facts) fact, generate_subscripts(facts, 1) i from g)
+select doc_id, processed_at, 'fact-' || (n + i) id, 'text' kind, fact as label from u"""
+
+_ANSWERS = ("minto_pyramid", "threat_metadata", "downstream_directives")
+
+
+def _salvaged_sql(c: str) -> str:
+    """The JSON text that can be saved from an answer, or null."""
+    s = f"regexp_replace(regexp_replace({c}, '<think>(?s:.*?)</think>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+    fenced = f"nullif(regexp_extract({s}, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1), '')"
+    cut = f"substr({s}, strpos({s}, '{{'), greatest(0, length({s}) - strpos(reverse({s}), '}}') + 2 - strpos({s}, '{{')))"
+    tries = [s, fenced, f"case when strpos({s}, '{{') > 0 and contains({s}, '}}') then {cut} end"]
+    tries += [f"case when strpos({s}, '{{') > 0 then substr({s}, strpos({s}, '{{')) || '{x}' end" for x in grounding.CLOSINGS]
+    return "case " + " ".join(f"when json_valid({t}) then {t}" for t in tries) + " end"
+
+
+def _kind_sql(c: str) -> str:
+    kinds = "when 'VARCHAR' then 'STRING' when 'NULL' then 'VOID' when 'UBIGINT' then 'BIGINT' when 'DOUBLE' then 'DECIMAL'"
+    return f"case json_type({c}) {kinds} else json_type({c}) end as {c}"
+
+
+SALVAGED_SQL = (
+    "with s as (select context_id, " + ", ".join(f"{_salvaged_sql(c)} {c}" for c in _ANSWERS) + " from enriched_grounding)\nselect context_id, " + ", ".join(map(_kind_sql, _ANSWERS)) + " from s"
+)
+RECOVERED_SQL = f"""with s as (select context_id, {_salvaged_sql("threat_metadata")} v from enriched_grounding)
+select context_id, coalesce(case when json_type(v, '$.severity') not in ('OBJECT', 'ARRAY') then v ->> '$.severity' end, 'HIGH') severity,
+ coalesce(v ->> '$.threat_actor.name', 'Unattributed') actor, cast(case when json_type(v, '$.cve_ids') = 'ARRAY' then json_array_length(v, '$.cve_ids') else 0 end as int) n_cves from s"""
+
+
 def word_files(spark: SparkSession, d: str) -> DataFrame:
     """Every deliverable written as a Word file and read again: its text, paragraphs and characters."""
     files = spread(table(spark, d, "final_deliverable")).select("row_id", F.lit("deliverable.docx").alias("name"), sinks.as_docx()("final_content").alias("content"))
@@ -459,5 +492,6 @@ SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL,
+    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL,
+    "salvaged_answers": SALVAGED_SQL, "recovered_groundings": RECOVERED_SQL,
 }
