@@ -318,6 +318,18 @@ def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
+def class_members(classes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(<key>, class_of, text_of)``: the least key that looks the same and the least that has the same text.
+
+    The least keys are aggregated before the shuffle; a class that holds a third of all rows is a skewed
+    join key that adaptive execution splits.
+    """
+    rows = checkpoint(classes)  # hashes only; the texts are read once
+    looks = rows.groupBy("class_id").agg(F.min(key).alias("class_of"))
+    texts = rows.groupBy("text_id").agg(F.min(key).alias("text_of"))
+    return rows.join(looks, "class_id").join(texts, "text_id").select(key, "class_of", "text_of")
+
+
 def look_pairs(classes: DataFrame, key: str = "doc_id", salt_texts: int = 4096) -> DataFrame:
     """Pairs ``(doc_a, doc_b)`` of one class whose texts differ, ``doc_a`` < ``doc_b``.
 

@@ -7,7 +7,7 @@ select distinct profile, doc_id from source_context, split_profile
 where clean_markdown is not null and greatest(1, length(clean_markdown) // 4) > max_tokens"""
 
 #: Written apart from the operator: other patterns, one window a recording, labels looked up once each.
-P4 = r"""
+_TURNS = r"""
 with seg as (
   select 'audio_segment' track, video_id recording, cast(round(start_seconds * 1000) as bigint) start_ms, segment_id ord, text, null speaker
   from audio_segment where isfinite(start_seconds)
@@ -45,23 +45,26 @@ labels as (
      where length(names.k) >= 5 and length(keys.k) >= 5 and damerau_levenshtein(names.k, keys.k) = 1)) label
   from keys),
 told as (
-  select all_rows.* exclude (written, said, rest), label, lower(case when label is null then said else rest end) said
+  select all_rows.* exclude (written, said, rest), label, case when label is null then said else rest end said
   from all_rows left join labels using (written) where start_ms is not null),
 plain as (
-  select *, regexp_replace(regexp_replace(said, '\[{1,2}[^\[\]]*[a-z]{3,}[^\[\]]*\]{1,2}|\((?:laughs|crosstalk|door slams|pause [0-9]+s)\)|\{[^{}]*\}|<(?:unk|noise)>|\*[^*]+\*|♪[^♪]*♪?', ' ', 'g'),
-    '(^|[^a-z0-9_-])(?:you know|i mean|well),', '\1 ', 'g') words from told),
+  select *, regexp_replace(regexp_replace(said, '(?i)\[{1,2}[^\[\]]*[a-z]{4,}[^\[\]]*\]{1,2}|\((?:laughs|crosstalk|door slams|pause [0-9]+s)\)|\{[^{}]*\}|<(?:unk|noise)>|\*[^*]+\*|♪[^♪]*♪?', ' ', 'g'),
+    '(?i)(^|[^a-z0-9_-])(?:you know|i mean|well),', '\1 ', 'g') words from told),
 counted as (
-  select *, len(list_filter(string_split_regex(words, '[\s\x{00a0}]+'), lambda w: trim(w, ' .,;:!?…-–—"''“”‘’()[]{}<>*♪|') not in
-    ('', 'um', 'uh', 'uhm', 'er', 'erm', 'ah', 'hmm', 'mm-hmm', 'mhm', 'mm', 'eh'))) n from plain),
-spoken as (select * exclude (said, words, n) from counted where n > 0),
+  select *, list_filter(string_split_regex(words, '[\s\x{00a0}]+'), lambda w: lower(trim(w, ' .,;:!?…-–—"''“”‘’()[]{}<>*♪|')) not in
+    ('', 'um', 'uh', 'uhm', 'er', 'erm', 'ah', 'hmm', 'mm-hmm', 'mhm', 'mm', 'eh')) n from plain),
+spoken as (select * exclude (said, words, n), array_to_string(n, ' ') words from counted where len(n) > 0),
 breaks as (
   select *, coalesce(start_ms - lag(start_ms) over (partition by track, recording order by start_ms, ord, part) >= 21600000, true)::int fresh from spoken),
 sessions as (select *, sum(fresh) over (partition by track, recording order by start_ms, ord, part) session from breaks),
 filled as (
   select *, coalesce(last_value(label ignore nulls) over (partition by track, recording, session order by start_ms, ord, part), 'Unknown Speaker') speaker
   from sessions),
-turns as (select *, lag(speaker) over (partition by track, recording, session order by start_ms, ord, part) previous from filled)
-select distinct track, recording, start_ms, speaker from turns where previous is distinct from speaker"""
+turns as (select *, lag(speaker) over (partition by track, recording, session order by start_ms, ord, part) previous from filled)"""
+P4 = _TURNS + "\nselect distinct track, recording, start_ms, speaker from turns where previous is distinct from speaker"
+P4_TEXTS = _TURNS + """,
+islands as (select *, sum((previous is distinct from speaker)::int) over (partition by track, recording order by start_ms, ord, part) turn from turns)
+select track, recording, cast(turn as bigint) turn, start_ms // 3600000 piece, any_value(speaker) speaker, string_agg(words, ' ' order by start_ms, ord, part) as text from islands group by all"""
 
 #: No page is near the limit, so that characters decide as tokens do.
 P6 = "select distinct doc_id from documents, pack_profile where profile = 'standard' and length(text) > 3 * capacity_tokens"
@@ -75,7 +78,7 @@ where share > max_repeats * coalesce(n, 0) / (select sum(length(text)) from docu
 
 
 #: Written apart from the operator's tables: letters as they stand here, the full-width block and spaces by rule.
-P8 = r"""
+_FORMS = r"""
 with marks as (
   select string_agg(chr(c::int), '' order by c) a, string_agg(chr((c - 65248)::int), '' order by c) b from range(65281, 65375) r(c)),
 f as (
@@ -83,9 +86,10 @@ f as (
       '[\x{00ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'),
     chr(160) || chr(5760) || chr(8239) || chr(8287) || chr(12288) || (select string_agg(chr(c::int), '') from range(8192, 8203) r(c)), repeat(' ', 16)),
     'АВЕКМНОРСТУХЅІЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο‐‑ӒӓӦӧЁёЀѐЇїӖӗόΌΆΈ' || (select a from marks), 'ABEKMHOPCTYXSIJaeopcyxsijABEZHIKMNOPTYXo--ÄäÖöËëÈèÏïĔĕóÓÁÉ' || (select b from marks))) form
-  from documents where text is not null)
-select x.doc_id doc_a, y.doc_id doc_b from f x join f y on x.form = y.form and x.doc_id < y.doc_id and x.text <> y.text"""
+  from documents where text is not null)"""
+P8_CLASSES = _FORMS + "\nselect doc_id, min(doc_id) over (partition by form) class_of, min(doc_id) over (partition by text) text_of from f"
+P8 = _FORMS + "\nselect x.doc_id doc_a, y.doc_id doc_b from f x join f y on x.form = y.form and x.doc_id < y.doc_id and x.text <> y.text"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p8_found": P8}
+    return {"p2_found": P2, "p4_found": P4, "p4_texts": P4_TEXTS, "p6_found": P6, "p7_found": P7, "p8_found": P8, "p8_classes": P8_CLASSES}

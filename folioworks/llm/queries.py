@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.lookalikes import look_classes, look_pairs
+from folioworks.llm.lookalikes import class_members, look_classes, look_pairs
 from folioworks.llm.mixing import mix_sources
 from folioworks.llm.packing import fill_report, pack_items, window_shares
 from folioworks.llm.personal import find_personal, fit_model
@@ -109,8 +109,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every page with the class of its looks, without pairs."""
-    return look_classes(spread(table(spark, d, "documents"))).select("doc_id", F.hex("class_id").alias("class_id"), F.hex("text_id").alias("text_id"))
+    """Every page with the class of its looks and of its very text, each named by its least page, without pairs."""
+    return class_members(look_classes(spread(table(spark, d, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

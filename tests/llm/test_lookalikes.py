@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioworks.llm.lookalikes import look_classes, look_pairs, one_form, with_one_form
+from folioworks.llm.lookalikes import class_members, look_classes, look_pairs, one_form, with_one_form
 
 ACCENTED = "aeoxzACEsdụ̧́̈̂éẹ한한ñ \nйёи"
 
@@ -80,6 +80,8 @@ def test_rows(spark):
     classes = look_classes(df)
     assert sorted(tuple(r) for r in look_pairs(classes).collect()) == [(1, 2), (1, 3), (5, 6), (8, 9)]
     assert classes.select("doc_id").distinct().count() == 8
+    members = sorted({(r.doc_id, r.class_of, r.text_of) for r in class_members(classes).collect()})
+    assert members == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (5, 5, 5), (6, 5, 6), (7, 7, 7), (8, 8, 8), (9, 8, 9)]
     out = with_one_form(df.where("doc_id < 7"), "text", "form", max_chars=1)
     assert out.columns == ["doc_id", "text", "class_id", "form"]
     assert {r.doc_id: r.form for r in out.collect()} == {1: "Hi", 2: "Hi", 3: "Hi", 4: None, 5: "", 6: ""}
