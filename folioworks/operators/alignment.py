@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.functions.text import minutes_seconds
+from folioworks.functions.text import minutes_seconds, strip
 from folioworks.operators.prefix import bucket_of
 
 SILENCE = "*(Silence or ambient audio)*"
@@ -120,6 +120,16 @@ def align_speech(scenes: DataFrame, segments: DataFrame, width_ms: int = BUCKET_
     )
 
 
+def spoken_segments(df: DataFrame, keys: list[str], start: str, end: str, text: str) -> DataFrame:
+    """Segments of recognised speech: bounds in hundredths of a second, texts trimmed, those without words left out.
+
+    Numbers of segments stay as they are, so they have gaps where a segment was empty.
+    """
+    said = strip(F.col(text))
+    cents = lambda c: F.round(F.col(c) * 100) / 100 + F.lit(0.0)  # noqa: E731  (of the number itself, not of the decimal it is written as)
+    return df.where(F.coalesce(said, F.lit("")) != "").select(*keys, cents(start).alias("start_seconds"), cents(end).alias("end_seconds"), said.alias("text"))
+
+
 def fallback_segments(durations: DataFrame, seconds: int = 10) -> DataFrame:
     """Scenes of ``seconds`` for a video without cuts; at least one, and none for a shorter rest.
 

@@ -355,6 +355,49 @@ def media_citations(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def speech_segments(spark: SparkSession, d: str) -> DataFrame:
+    """What was recognised in every recording, each segment once, the empty ones left out."""
+    rows = table(spark, d, "audio_segment").select("video_id", "segment_id", "start_seconds", "end_seconds", "text")
+    return alignment.spoken_segments(rows, ["video_id", "segment_id"], "start_seconds", "end_seconds", "text").distinct()
+
+
+SPEECH_SQL = r"""
+with s as (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') t from audio_segment)
+select distinct video_id, segment_id, round(start_seconds, 2) + 0.0::double start_seconds, round(end_seconds, 2) + 0.0::double end_seconds, t as text from s where t <> ''"""
+
+
+def image_reports(spark: SparkSession, d: str) -> DataFrame:
+    """An advisory per source as for a picture: its anchors as places in it, with the CVEs they name; each (source, id) once."""
+    a = table(spark, d, "grounding_anchor").where("source is not null and extracted_verbatim is not null")
+    a = a.groupBy("source", "id").agg(F.min_by(F.struct("row_id", "temporal_anchor", "extracted_verbatim", "category"), "row_id").alias("r")).select("source", "id", "r.*")
+    item = F.struct(
+        "row_id", "id", F.coalesce("temporal_anchor", F.lit("Full Image")).alias("anchor"), "extracted_verbatim", F.coalesce("category", F.lit("CORE_CONCEPT")).alias("category")
+    )
+    a = a.withColumn("cves", F.transform(indicators.found(F.col("extracted_verbatim"), indicators.CVE), F.upper))
+    pictures = a.groupBy("source").agg(F.sort_array(F.collect_list(item)).alias("anchors"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cves")))).alias("cves"))
+    none = F.array().cast("array<string>")
+    entities = F.struct(none.alias("actors"), F.col("cves"), none.alias("targets"))
+    md = rendering.anchor_advisory("image", F.col("source"), F.lit("Image Briefing"), F.lit("Visible intelligence."), F.col("anchors"), entities)
+    return pictures.select("source", md.alias("markdown"))
+
+
+IMAGE_SQL = r"""
+with a as (select source, id, min_by({'r': row_id, 't': coalesce(temporal_anchor, 'Full Image'), 'x': extracted_verbatim, 'c': coalesce(category, 'CORE_CONCEPT')}, row_id) v
+  from grounding_anchor where source is not null and extracted_verbatim is not null group by all),
+p as (select source, v.r r, id, v.t t, v.x x, v.c c, count(*) over (partition by source) n, strpos(v.x, ':') k, regexp_replace(replace(v.x, chr(10), ' '), '^\s+|\s+$', '', 'g') o,
+  regexp_replace(replace(replace(v.x, '|', '\|'), chr(10), ' '), '^\s+|\s+$', '', 'g') cx, regexp_replace(replace(replace(v.t, '|', '\|'), chr(10), ' '), '^\s+|\s+$', '', 'g') ct from a),
+e as (select source, string_agg(distinct v, ', ' order by v) cves from (select source, upper(unnest(regexp_extract_all(x, '{CVE}'))) v from p) group by all),
+g as (select source,
+  string_agg('- **' || case when k > 0 then regexp_replace(left(x, k - 1), '^\s+|\s+$', '', 'g') else t end || '**: ' || case when k > 0 then regexp_replace(substr(x, k + 1), '^\s+|\s+$', '', 'g') else x end
+    || ' [^' || id || ']', chr(10) order by r) filter (not (c = 'CORE_CONCEPT' and n > 1)) points,
+  string_agg('| ' || source || ' | ' || ct || ' | ' || cx || ' |', chr(10) order by r) cells,
+  string_agg('[^' || id || ']: Source: `' || source || '` | Visual Anchor: `' || t || '` | Verbatim: "' || o || '"', chr(10) order by r) notes from p group by all)
+select source, concat_ws(chr(10), '# Image Briefing', '', '## Overview', 'Visible intelligence.', '', '## Key Benefits', points, '',
+ case when cves is not null then '## Threat & Target Entities' || chr(10) || chr(10) || '- **Vulnerabilities / CVEs**: ' || cves || chr(10) end,
+ '## Provenance Table' || chr(10) || '| Source Image | Visual Anchor | Verbatim Text |' || chr(10) || '|---|---|---|', cells, '', notes, '') markdown from g left join e using (source)""".replace(
+    "{CVE}", indicators.CVE
+)
+
 CITED_SQL = ALIGNED_SQL.replace("\nselect sc.video_id", ",\nal as (select sc.video_id") + """),
 an as (select source, id, min_by({'a': coalesce(temporal_anchor, '00:00'), 't': extracted_verbatim}, row_id) r from grounding_anchor
   where source is not null and id is not null and extracted_verbatim is not null group by all),
@@ -371,11 +414,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_bounds, aligned_scenes, scene_indicators, fallback_scenes, event_cuts, unlike_vectors, sample_points, histogram_shift, video_reports,
-        anchor_reports, video_indicators, video_totals, video_groundings, video_documents, media_citations,
+        anchor_reports, video_indicators, video_totals, video_groundings, video_documents, media_citations, speech_segments, image_reports,
     )
 }
 SQL = {
     "scene_bounds": _BASE_SQL + "select * from sc", "aligned_scenes": ALIGNED_SQL, "scene_indicators": SCENE_IOC_SQL, "fallback_scenes": FALLBACK_SQL,
     "event_cuts": CUTS_SQL, "unlike_vectors": UNLIKE_SQL, "sample_points": POINT_SQL, "histogram_shift": HIST_SQL, "anchor_reports": ANCHOR_SQL,
-    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL, "media_citations": CITED_SQL,
+    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL, "media_citations": CITED_SQL, "speech_segments": SPEECH_SQL, "image_reports": IMAGE_SQL,
 }

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.models import answers
+from folioworks.models import answers, ask_in_turn, any_error, cascade, model_is_gone, usable_key
 from folioworks.operators import alignment, records
 from folioworks.sources import readers, sinks
 
@@ -209,3 +209,33 @@ def test_jobs_run_again_leave_one_state(spark, tmp_path):
     sinks.finish_jobs(jobs.where("job = 2"), work(None), out, "job")  # and a repeated run changes nothing
     assert states() == {1: "done", 2: "done", 3: "failed"}
     assert {(r.job, r.artifact) for r in spark.read.parquet(f"{out}/done").collect()} == {(1, "A"), (2, "B")}
+
+
+def test_models_are_asked_in_turn(spark):
+    def first(prompts):
+        if "poison" in prompts:
+            raise RuntimeError("rate limit")
+        return ["ok" if p == "b" else p.upper() * 10 if p == "a" else None for p in prompts]
+
+    def second(prompts):
+        return [f"second answers {p}" if p not in ("d", "poison") else None for p in prompts]
+
+    models = [("one", first), ("two", second)]
+    got = ask_in_turn(models, ["a", "b", "c", "d", "poison", None], 10, any_error)
+    assert got == [
+        ("A" * 10, "one", None), ("second answers b", "two", None), ("second answers c", "two", None), (None, None, "two: no answer"),
+        (None, None, "two: no answer"), ("second answers ", "two", None),
+    ]
+    # an error that isn't about a missing model ends the search for that prompt only
+    assert ask_in_turn(models, ["a", "poison"], 1, model_is_gone) == [("A" * 10, "one", None), (None, None, "one: rate limit")]
+
+    def gone(prompts):
+        raise LookupError("404 model not found")
+
+    assert ask_in_turn([("old", gone), *models], ["a"], 1, model_is_gone) == [("A" * 10, "one", None)]
+    assert ask_in_turn([("short", lambda p: [])], ["a"], 1, any_error) == [(None, None, "short: 0 answers to 1 prompts")]
+    assert [usable_key(k) for k in (None, "", "YOUR_KEY_HERE", "short", " 0123456789 ")] == [False, False, False, False, True]
+    df = spark.createDataFrame([("a",), ("d",), (None,)], "p string")
+    rows = cascade(df, "p", "o", models, F.lit("made"), least=10).collect()
+    assert [tuple(r) for r in rows] == [("a", "A" * 10, "one", None), ("d", "made", "heuristic", "two: no answer"), (None, "second answers ", "two", None)]
+    assert [tuple(r) for r in cascade(df.limit(1), "p", "o", [], F.lit("made")).collect()] == [("a", "made", "heuristic", None)]
