@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
@@ -39,8 +40,11 @@ _AT = r"(?:[ \xa0]?@[ \xa0]?|[ \xa0]?\[(?:at|@)\][ \xa0]?|[ \xa0]?\((?:at|@)\)[
 _DOT = r"(?:\.|[ \xa0]?\[(?:dot|\.)\][ \xa0]?|[ \xa0]?\((?:dot|\.)\)[ \xa0]?)"
 #: What can only be plain words: small ASCII letters and single spaces, up to a word that an address or number may begin with.
 _PLAIN = rf"(?-i:(?!(?:{_DIGITS})\b)(?:[a-z]{{2,}}[ ](?![@\[(]|(?:at|dot|underscore|dash|plus|{_DIGITS})\b))+)"
-#: Marks and capitalised words that no longer token begins with.
-_FAST = rf"[.,;:!?|*\"'/=<>{{}}\#-]|(?-i:[A-Z][a-z]+(?=[ ,;!?|*\n](?![@\[(]|(?:at|dot|underscore|dash|plus)\b)))(?<!\b(?:Zero|Four|Five|Nine))(?<!\b(?:One|Two|Six))(?<!\b(?:Three|Seven|Eight))(?<!\bOh)(?<!\bDouble)(?<!\bTriple)"
+#: Marks, and words before a space or at a sentence's end, that no longer token begins with.
+_FAST = (
+    rf"[.,;:!?|*\"'/=<>{{}}\#-]|(?!(?:{_DIGITS})\b)(?-i:[A-Z][a-z]+(?=[ ,;!?|*\n](?![@\[(]|(?:at|dot|underscore|dash|plus)\b)))"
+    rf"|(?!(?:{_DIGITS}|{ABBREVIATIONS.replace(' ', '|')}|{TITLES.replace(' ', '|')})\b)(?-i:[A-Za-z][a-z]+(?=[.:]{{1,3}}(?:\n|$|[ ](?![@\[(]|(?:at|dot|underscore|dash|plus)\b))))"
+)
 _TOKEN = re.compile(
     rf"""(?P<plain>{_PLAIN})|(?P<fast>{_FAST})|(?P<uri>[A-Za-z][A-Za-z+]{{1,9}}://\S+)
     |(?P<email>\w[\w.+-]*{_AT}\w[\w-]*(?:{_DOT}\w[\w-]*)*{_DOT}[^\W\d_]{{2,}}(?![\w@])
@@ -292,15 +296,15 @@ def fit_scores(texts: Iterable[str], given: Iterable[str], family: Iterable[str]
     return m
 
 
-def _evidence(t: Tokens, m: Model) -> dict[int, np.ndarray]:
+def _evidence(t: Tokens, m: Model) -> dict[int, list[float]]:
     """The unary log-potentials of the tokens that may be part of a mention; all others are outside for certain."""
     n = len(t.kind)
-    out: dict[int, np.ndarray] = {}
+    out: dict[int, list[float]] = {}
 
-    def at(i: int) -> np.ndarray:
+    def at(i: int) -> list[float]:
         v = out.get(i)
         if v is None:
-            v = out[i] = np.array([0.0, -3.0, -3.0, -3.0, -3.0, -3.0])
+            v = out[i] = [0.0, -3.0, -3.0, -3.0, -3.0, -3.0]
         return v
 
     known = m.given | m.family if m.known is None else m.known
@@ -484,7 +488,7 @@ class Graph:
     """The nodes of a batch of texts, their evidence, and the two kinds of edges."""
 
     tokens: list[Tokens | None] = field(default_factory=list)
-    unary: list[np.ndarray] = field(default_factory=list)
+    unary: list[list[float]] = field(default_factory=list)
     where: list[tuple[int, int]] = field(default_factory=list)
     first: list[int] = field(default_factory=list)
     last: list[int] = field(default_factory=list)
@@ -493,7 +497,11 @@ class Graph:
 
     def labels(self, m: Model, rounds: int = ROUNDS, with_links: bool = True) -> np.ndarray:
         links = np.array(self.links if with_links else [], np.int64).reshape(-1, 2)
-        return infer(np.array(self.unary).reshape(-1, 6), np.array(self.chain, np.int64).reshape(-1, 2), links, rounds, m.chain_table, m.link_table)
+        unary = np.array(self.unary, np.float64).reshape(-1, 6)
+        # the neighbours that are outside for certain
+        unary[self.first] += m.chain_table[O]
+        unary[self.last] += m.chain_table[:, O]
+        return infer(unary, np.array(self.chain, np.int64).reshape(-1, 2), links, rounds, m.chain_table, m.link_table)
 
 
 def graph(texts: list[str | None], m: Model) -> Graph:
@@ -504,7 +512,6 @@ def graph(texts: list[str | None], m: Model) -> Graph:
     grouped), or the given name an initial before the same family name stands for.
     """
     g = Graph()
-    outside_before, outside_after = m.chain_table[O], m.chain_table[:, O]
     for row, text in enumerate(texts):
         if not text:
             g.tokens.append(None)
@@ -517,15 +524,11 @@ def graph(texts: list[str | None], m: Model) -> Graph:
         found = _evidence(t, m)
         for i in sorted(found):
             k = number[i] = len(g.unary)
-            v = found[i]
-            # the neighbours that are outside for certain
             if i - 1 not in found:
-                v = v + outside_before
                 g.first.append(k)
             if i + 1 not in found:
-                v = v + outside_after
                 g.last.append(k)
-            g.unary.append(v)
+            g.unary.append(found[i])
             g.where.append((row, i))
             if i - 1 in number:
                 g.chain.append((number[i - 1], k))
@@ -680,6 +683,13 @@ def find_personal(df: DataFrame, key: str, text: str, model: Model, with_text: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        gc.disable()  # the many small lists of a batch hold no cycles
+        try:
+            yield from search(m, batches)
+        finally:
+            gc.enable()
+
+    def search(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             a = 0
