@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,59 +64,86 @@ def locked_facts(text: Column, words: Column, lines: Column, cvss: Column) -> Co
     return F.when(F.size(cvss) > 0, F.array_append(facts, score)).otherwise(facts)
 
 
+# The sentences of a grounding context that is made without a model.
+SENTENCES = {
+    "title": "Threat Assessment: {actor} Activity ({cves})",
+    "overview": "Cybersecurity incident report regarding {name} involving {actor}.",
+    "situation": "Enterprise infrastructure running {systems}.",
+    "complication": "Active threat exploitation detected involving {cves} attributed to {actor}.",
+    "solution": "Deploy emergency patches, block identified C2 infrastructure, and rotate credentials.",
+    "impact": "Severity rated {severity}. Risk of unauthorized command execution and lateral movement.",
+    "cause": "Adversary exploited weaknesses in {systems}.",
+    "event": "Incident detected during scheduled monitoring",
+    "mitigations": (
+        "Apply urgent vendor patches for {cves}",
+        "Block identified C2 IP indicators at network boundary firewalls",
+        "Force multi-factor authentication and rotate administrative credentials",
+    ),
+    "advisory": (
+        "Mitigate CVEs: {listed}",
+        "Block outbound traffic to {addresses} known IP addresses",
+        "Monitor endpoints for {hashes} flagged hash signatures",
+    ),
+    "takeaways": (
+        "Operational risk rated {severity}",
+        "Targeted software includes {three}",
+        "Immediate patch deployment recommended within 24 hours",
+    ),
+    "hooks": (
+        "🚨 Critical Alert: Active exploitation of {cves} by {actor}.",
+        "Check your systems and apply patches immediately. #CyberSecurity #ThreatIntel",
+    ),
+    "scenes": (
+        "Title card with critical red threat banner and target infrastructure logos",
+        "Architecture diagram showing C2 beaconing flow to attacker IPs",
+        "Mitigation checklist highlighting urgent patch steps",
+    ),
+    "no actor": "Unidentified Threat Actor",
+    "no severity": "HIGH",
+    "no cves": "Unclassified Vulnerabilities",
+    "no systems": "mission-critical systems",
+    "no targets": "target systems",
+    "model": "qwen-heuristic-anchor",
+}
+
+
+def filled(sentence: str | tuple[str, ...], **values: Column) -> Column:
+    """A sentence with columns in the places of ``{names}``; of several sentences an array."""
+    if isinstance(sentence, tuple):
+        return F.array(*[filled(x, **values) for x in sentence])
+    parts = [values[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", sentence) if x]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
 def heuristic_grounding(name: Column, text: Column, words: Column, lines: Column, iocs: dict[str, Column], threat: dict[str, Column]) -> Column:
     """A grounding context made from what was extracted alone, as one struct."""
-    actor = first_or(threat["threat_actors"], "Unidentified Threat Actor")
-    severity = first_or(threat["severity_keywords"], "HIGH")
-    cves = joined(iocs["cves"], "Unclassified Vulnerabilities")
-    systems = threat["affected_systems"]
-    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    n = lambda k: F.size(iocs[k]).cast("string")
-    return F.struct(
-        cat("Threat Assessment: ", actor, " Activity (", cves, ")").alias("title"),
-        overview(text, cat("Cybersecurity incident report regarding ", name, " involving ", actor, ".")).alias("executive_overview"),
-        F.struct(
-            cat("Enterprise infrastructure running ", joined(systems, "mission-critical systems"), ".").alias("situation"),
-            cat("Active threat exploitation detected involving ", cves, " attributed to ", actor, ".").alias("complication"),
-            F.lit("Deploy emergency patches, block identified C2 infrastructure, and rotate credentials.").alias("solution"),
-            cat("Severity rated ", severity, ". Risk of unauthorized command execution and lateral movement.").alias("business_impact_and_risk"),
-        ).alias("minto_pyramid"),
-        cat("Adversary exploited weaknesses in ", joined(systems, "target systems"), ".").alias("technical_root_cause"),
-        F.when(F.size(threat["timelines"]) > 0, threat["timelines"])
-        .otherwise(F.array(F.lit("Incident detected during scheduled monitoring")))
-        .alias("timeline_of_events"),
-        locked_facts(text, words, lines, threat["cvss_scores"]).alias("locked_numerical_facts"),
-        F.array(
-            cat("Apply urgent vendor patches for ", cves),
-            F.lit("Block identified C2 IP indicators at network boundary firewalls"),
-            F.lit("Force multi-factor authentication and rotate administrative credentials"),
-        ).alias("actionable_mitigations"),
-        F.struct(
-            iocs["cves"].alias("cve_ids"), actor.alias("threat_actor"), systems.alias("affected_systems"), severity.alias("severity"),
-            F.slice(F.concat(iocs["ipv4_addresses"], iocs["domains"], iocs["sha256_hashes"]), 1, 10).alias("iocs"),
-        ).alias("threat_metadata"),
-        F.struct(
-            F.array(
-                cat("Mitigate CVEs: ", F.array_join(iocs["cves"], ", ")),
-                cat("Block outbound traffic to ", n("ipv4_addresses"), " known IP addresses"),
-                cat("Monitor endpoints for ", n("sha256_hashes"), " flagged hash signatures"),
-            ).alias("advisory_bullet_points"),
-            F.array(
-                cat("Operational risk rated ", severity),
-                cat("Targeted software includes ", F.array_join(F.slice(systems, 1, 3), ", ")),
-                F.lit("Immediate patch deployment recommended within 24 hours"),
-            ).alias("executive_takeaways"),
-            F.array(
-                cat("🚨 Critical Alert: Active exploitation of ", cves, " by ", actor, "."),
-                F.lit("Check your systems and apply patches immediately. #CyberSecurity #ThreatIntel"),
-            ).alias("social_dissemination_hooks"),
-            F.array(
-                F.lit("Title card with critical red threat banner and target infrastructure logos"),
-                F.lit("Architecture diagram showing C2 beaconing flow to attacker IPs"),
-                F.lit("Mitigation checklist highlighting urgent patch steps"),
-            ).alias("visual_scene_ideas"),
-        ).alias("downstream_directives"),
-        F.lit("qwen-heuristic-anchor").alias("interpreted_by_model"),
+    systems, say = threat["affected_systems"], SENTENCES
+    known = {
+        "name": name, "actor": first_or(threat["threat_actors"], say["no actor"]), "severity": first_or(threat["severity_keywords"], say["no severity"]),
+        "cves": joined(iocs["cves"], say["no cves"]), "listed": F.array_join(iocs["cves"], ", "), "three": F.array_join(F.slice(systems, 1, 3), ", "),
+        "addresses": F.size(iocs["ipv4_addresses"]).cast("string"), "hashes": F.size(iocs["sha256_hashes"]).cast("string"),
+    }
+    of = lambda key, **more: filled(say[key], **known | more)
+    pyramid = {
+        "situation": of("situation", systems=joined(systems, say["no systems"])), "complication": of("complication"), "solution": of("solution"),
+        "business_impact_and_risk": of("impact"),
+    }
+    metadata = {
+        "cve_ids": iocs["cves"], "threat_actor": known["actor"], "affected_systems": systems, "severity": known["severity"],
+        "iocs": F.slice(F.concat(iocs["ipv4_addresses"], iocs["domains"], iocs["sha256_hashes"]), 1, 10),
+    }
+    directives = {
+        "advisory_bullet_points": of("advisory"), "executive_takeaways": of("takeaways"), "social_dissemination_hooks": of("hooks"), "visual_scene_ideas": of("scenes"),
+    }
+    struct = lambda fields: F.struct(*[c.alias(n) for n, c in fields.items()])
+    return struct(
+        {
+            "title": of("title"), "executive_overview": overview(text, of("overview")), "minto_pyramid": struct(pyramid),
+            "technical_root_cause": of("cause", systems=joined(systems, say["no targets"])),
+            "timeline_of_events": F.when(F.size(threat["timelines"]) > 0, threat["timelines"]).otherwise(F.array(of("event"))),
+            "locked_numerical_facts": locked_facts(text, words, lines, threat["cvss_scores"]), "actionable_mitigations": of("mitigations"),
+            "threat_metadata": struct(metadata), "downstream_directives": struct(directives), "interpreted_by_model": of("model"),
+        }
     )
 
 

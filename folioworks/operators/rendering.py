@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions.text import lines, percent, strip
 
+# The headings, labels and marks of all documents below.
 NL = "\n"
 
 
