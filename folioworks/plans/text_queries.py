@@ -443,6 +443,68 @@ g as (select doc_id, processed_at, len(cves) + len(ipv4_addresses) n, {_FACTS} f
 u as (select doc_id, processed_at, n, unnest(facts) fact, generate_subscripts(facts, 1) i from g)
 select doc_id, processed_at, 'fact-' || (n + i) id, 'text' kind, fact as label from u"""
 
+def _term_list(p: str) -> str:
+    return f"list_sort(list_distinct(list_transform({_all(p)}, lambda m: regexp_replace(trim(m), '\\s+', ' ', 'g'))))"
+
+
+_TERM_LISTS = f"""
+tm as (select *, {_term_list(indicators.ACTORS)} ac, {_term_list(indicators.SYSTEMS)} sy, {_term_list(indicators.TIMELINE)} tl,
+  list_filter(['CRITICAL','HIGH','MEDIUM','LOW','INFORMATIONAL'], lambda s: list_contains(list_transform({_all(indicators.SEVERITY)}, lambda x: upper(x)), s)) sv,
+  coalesce({_CVSS_SQL}, []) cv from l)"""
+
+
+def _lined(title: str, *items: str) -> str:
+    """A heading and a list below it as SQL; ``{}`` are columns."""
+    rows = [x if x.startswith("(") else "'" + x.replace("'", "''") + "'" for x in items]
+    return "'" + title + "' || chr(10) || " + " || chr(10) || ".join(rows)
+
+
+GROUNDED_SQL = _REPORTS.rstrip() + "," + _IOC_LISTS + "," + _TERM_LISTS + f""",
+a as (select *, coalesce(ac[1], 'Unidentified Threat Actor') actor, coalesce(sv[1], 'HIGH') sev, case when len(cves) > 0 then array_to_string(cves, ', ') else 'Unclassified Vulnerabilities' end cs,
+  array_to_string(sy, ', ') sj, list_reverse(list_sort(cv)) scores,
+  list_filter(string_split(t, chr(10) || chr(10)), lambda p: length({_STRIP.format(x="p")}) > 50 and not starts_with({_STRIP.format(x="p")}, '#') and not starts_with({_STRIP.format(x="p")}, '|')) ps,
+  list_transform({_all(indicators.LOCKED_FACTS, t="clean_markdown")}, lambda x: {_STRIP.format(x="x")}) nf,
+  (ipv4_addresses || domains || sha256_hashes)[1:10] ten from tm),
+b as (select *, 'Threat Assessment: ' || actor || ' Activity (' || cs || ')' title,
+  case when len(ps) > 0 then {_STRIP.format(x="regexp_replace(ps[1], '^[#\\s*_-]+', '')")} else 'Cybersecurity incident report regarding ' || file_name || ' involving ' || actor || '.' end ov,
+  list_concat({_FACTS}, case when len(scores) > 0 then ['CVSS Score: ' || scores[1]::varchar] else [] end) fc from a)
+select doc_id, processed_at, title, ov executive_overview, array_to_string(fc, '|') facts, concat_ws(chr(10), '# 🛡️ ' || title,
+ chr(10) || '*Interpreted by `qwen-heuristic-anchor` | Generated: ' || processed_at || '*', chr(10) || '**Severity:** `' || sev || '` | **Threat Actor:** `' || actor || '`' || chr(10),
+ '## 1. Executive Narrative', ov || chr(10), '## 2. Minto Pyramid Briefing Structure', '- **Situation:** Enterprise infrastructure running ' || coalesce(nullif(sj, ''), 'mission-critical systems') || '.',
+ '- **Complication:** Active threat exploitation detected involving ' || cs || ' attributed to ' || actor || '.',
+ '- **Solution:** Deploy emergency patches, block identified C2 infrastructure, and rotate credentials.',
+ '- **Business & Operational Impact:** Severity rated ' || sev || '. Risk of unauthorized command execution and lateral movement.' || chr(10),
+ '## 3. Technical Root Cause & Attack Vector', 'Adversary exploited weaknesses in ' || coalesce(nullif(sj, ''), 'target systems') || '.' || chr(10),
+ '## 4. Timeline of Incident Progression' || chr(10) || case when len(tl) > 0 then array_to_string(list_transform(tl, lambda x: '- ' || x), chr(10)) else '- Incident detected during scheduled monitoring' end || chr(10),
+ '## 5. Canonical Grounding Facts (Immutable Metrics)' || chr(10) || array_to_string(list_transform(fc, lambda x: '- 📌 **' || x || '**'), chr(10)) || chr(10),
+ case when len(cves) > 0 or len(sy) > 0 then concat_ws(chr(10), '## 6. Threat Telemetry & Target Infrastructure', case when len(cves) > 0 then '- **Associated CVEs:** ' || cs end,
+   case when len(sy) > 0 then '- **Affected Systems:** ' || sj end, case when len(ten) > 0 then '- **Key IOCs:** ' || array_to_string(ten, ', ') end, '') end,
+ '## 7. Actionable Mitigations' || chr(10) || '1. Apply urgent vendor patches for ' || cs || chr(10) || '2. Block identified C2 IP indicators at network boundary firewalls' || chr(10) ||
+   '3. Force multi-factor authentication and rotate administrative credentials' || chr(10),
+ '## 8. Downstream LLM Guidance Directives',
+ {_lined("### Advisory Highlights", "('- Mitigate CVEs: ' || array_to_string(cves, ', '))", "('- Block outbound traffic to ' || len(ipv4_addresses) || ' known IP addresses')", "('- Monitor endpoints for ' || len(sha256_hashes) || ' flagged hash signatures')")},
+ chr(10) || {_lined("### Executive Takeaways", "('- Operational risk rated ' || sev)", "('- Targeted software includes ' || array_to_string(sy[1:3], ', '))", "- Immediate patch deployment recommended within 24 hours")},
+ chr(10) || {_lined("### Social Media Hooks", "('- 🚨 Critical Alert: Active exploitation of ' || cs || ' by ' || actor || '.')", "- Check your systems and apply patches immediately. #CyberSecurity #ThreatIntel")},
+ chr(10) || {_lined("### Storyboard & Slide Visual Themes", "- Title card with critical red threat banner and target infrastructure logos", "- Architecture diagram showing C2 beaconing flow to attacker IPs", "- Mitigation checklist highlighting urgent patch steps")}
+) markdown from b"""
+
+_SEEN = (("CVE_IDS", "cves"), ("MITRE_ATTACK_TECHNIQUES", "mitre_attack_ids"), ("IPV4_INDICATORS", "ipv4_addresses"), ("IPV6_INDICATORS", "ipv6_addresses"),
+         ("SHA256_HASHES", "sha256_hashes"), ("SHA1_HASHES", "sha1_hashes"), ("MD5_HASHES", "md5_hashes"), ("DOMAINS", "domains"), ("URLS", "urls"))
+HEADER_SQL = _REPORTS.rstrip() + "," + _IOC_LISTS + "," + _TERM_LISTS + ",\n" + _TABLES.rstrip() + f""",
+ta as (select doc_id, processed_at, count(*) n, string_agg('[Table ' || table_index || '] Headers: ' || array_to_string(headers, ', ') || ' (' || len(rws) || ' rows)', chr(10) order by table_index) s,
+  flatten(list(list_filter(list_transform(rws, lambda w: try_cast({_STRIP.format(x="w[list_position(list_transform(headers, lambda h: contains(lower(h), 'cvss')), true)]")} as double)), lambda v: v is not null) order by table_index)) tc
+  from tb group by all),
+h as (select tm.*, ta.n tn, ta.s ts, list_reverse(list_sort(list_distinct(list_concat(cv, coalesce(tc, []))))) scores from tm left join ta on ta.doc_id = tm.doc_id and ta.processed_at is not distinct from tm.processed_at),
+g as (select doc_id, processed_at, t, concat_ws(chr(10), repeat('=', 80), 'IMMUTABLE SOURCE TELEMETRY & GROUNDING ANCHOR (PRE-EXTRACTED ZERO-LOSS CONTEXT)', repeat('=', 80),
+ 'SOURCE_DOCUMENT: ' || file_name || ' (' || upper(file_type) || ')', 'DOCUMENT_SHA256: ' || sha256_checksum,
+ 'WORD_COUNT: ' || len(regexp_extract_all(t, '\\S+')) || ' | ESTIMATED_TOKENS: ' || greatest(1, length(t) // 4), '',
+ case when len(sv) > 0 then 'DETECTED_SEVERITY: ' || array_to_string(sv, ', ') end, case when len(scores) > 0 then 'CVSS_SCORES: ' || array_to_string(scores, ', ') end,
+ case when len(ac) > 0 then 'IDENTIFIED_THREAT_ACTORS: ' || array_to_string(ac, ', ') end, case when len(sy) > 0 then 'AFFECTED_SYSTEMS: ' || array_to_string(sy, ', ') end,
+ case when len(tl) > 0 then 'DETECTED_TIMELINES: ' || array_to_string(tl, ', ') end, chr(10) || '--- EXTRACTED DETERMINISTIC INDICATORS (IOCs) ---',
+ {", ".join(f"'{name}: ' || case when len({k}) > 0 then array_to_string({k}, ', ') else 'None identified' end" for name, k in _SEEN)},
+ case when tn > 0 then chr(10) || '--- EXTRACTED TABLES (' || tn || ' table(s) parsed) ---' || chr(10) || ts end, repeat('=', 80)) header from h)
+select doc_id, processed_at, header, sha256(header || chr(10) || chr(10) || '### FULL NORMALIZED DOCUMENT BODY' || chr(10) || chr(10) || '```markdown' || chr(10) || t || chr(10) || '```' || chr(10)) prompt_sha from g"""
+
 _ANSWERS = ("minto_pyramid", "threat_metadata", "downstream_directives")
 
 
@@ -492,6 +554,6 @@ SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL,
+    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL, "groundings": GROUNDED_SQL, "grounding_headers": HEADER_SQL,
     "salvaged_answers": SALVAGED_SQL, "recovered_groundings": RECOVERED_SQL,
 }
