@@ -387,6 +387,24 @@ def sensitive_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redaction.redact_texts(spread(table(spark, d, "final_deliverable")), ["row_id"], "final_content").select("row_id", "redacted_text", F.size("flags").alias("n_flags"))
 
 
+REDACTED_SQL = (
+    "with s as ("
+    + " union all ".join(
+        f"select row_id, {i} k, '{kind}' as kind, final_content t, string_split_regex(final_content, {_re('(?i)' + p)}) gaps, regexp_extract_all(final_content, {_re('(?i)' + p)}, 0) ms from final_deliverable"
+        for i, (kind, p, _) in enumerate(redaction.KINDS)
+    )
+    + """),
+e as (select row_id, k, kind, t, gaps, ms, unnest(ms) m, generate_subscripts(ms, 1) i from s),
+p as (select row_id, k, kind, t, m, 1 + length(array_to_string(gaps[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) a from e),
+n as (select *, substr(t, greatest(1, a - 50), a + length(m) + 50 - greatest(1, a - 50)) around from p),
+f as (select * from n where not contains(around, '[SENSITIVE:') and not contains(around, 'style="color: red"')
+  qualify row_number() over (partition by row_id, m order by k, a) = 1),
+g as (select row_id, count(*) n, list({'a': a, 'm': m, 'kind': kind} order by a desc, k) x from f group by all)
+select d.row_id, case when n is null then final_content else list_reduce(x, lambda o, y: {'a': 0::bigint, 'm': left(o.m, y.a - 1) || '<span style="color: red; font-weight: bold;">[SENSITIVE: ' || y.m || ' (' || y.kind || ')]</span>' ||
+  substr(o.m, y.a + length(y.m)), 'kind': ''}, {'a': 0::bigint, 'm': final_content, 'kind': ''}).m end redacted_text, cast(coalesce(n, 0) as int) n_flags from final_deliverable d left join g on g.row_id = d.row_id"""
+)
+
+
 def salvaged_answers(spark: SparkSession, d: str) -> DataFrame:
     """Which model answers hold JSON, and of what kind."""
     rows = table(spark, d, "enriched_grounding").select("context_id", *[grounding.salvage_json(F.col(c)).alias(c) for c in ("minto_pyramid", "threat_metadata", "downstream_directives")])
@@ -554,6 +572,6 @@ SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL, "groundings": GROUNDED_SQL, "grounding_headers": HEADER_SQL,
+    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "sensitive_redacted": REDACTED_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL, "groundings": GROUNDED_SQL, "grounding_headers": HEADER_SQL,
     "salvaged_answers": SALVAGED_SQL, "recovered_groundings": RECOVERED_SQL,
 }
