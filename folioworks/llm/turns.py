@@ -207,7 +207,7 @@ def anchor_start_ms(anchor: Column) -> Column:
 
 
 def _first_of(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Of the rows of one (track, recording, name) the first by ``order``, as ``(track, recording, start_ms, ord, parts)``.
+    """Of the rows of one (track, recording, name) the first by ``order`` (of equals the least start, number and parts), as ``(track, recording, start_ms, ord, parts)``.
 
     Texts are taken apart before, so labels and words (or only their number) are shuffled, combined within
     each task first.
@@ -219,14 +219,14 @@ def _first_of(rows: DataFrame, order: list[str]) -> DataFrame:
 def segment_rows(segments: DataFrame, roster: Roster, kept: str = TEXT) -> DataFrame:
     """Rows ``(track, recording, start_ms, ord, parts)`` of ``audio_segment``, each (video_id, segment_id) once.
 
-    Of re-delivered rows the first ingested counts.
+    Of re-delivered rows the first ingested counts; a row without a time of ingestion comes last.
     """
     rows = segments.select(
         F.lit("audio_segment").alias("track"), F.col("video_id").alias("recording"), F.col("segment_id").cast("string").alias("name"),
         to_ms(F.col("start_seconds")).alias("start_ms"), F.col("segment_id").cast("long").alias("ord"), parts_of(F.col("text"), roster, kept).alias("parts"),
-        F.col("ingested_at").isNull().alias("late"), "ingested_at", F.xxhash64("start_seconds", "text").alias("tie"),
+        F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit((1 << 63) - 1)).alias("version"),
     )
-    return _first_of(rows, ["late", "ingested_at", "tie"])
+    return _first_of(rows, ["version"])
 
 
 def anchor_rows(anchors: DataFrame, roster: Roster, kept: str = TEXT) -> DataFrame:
@@ -235,9 +235,8 @@ def anchor_rows(anchors: DataFrame, roster: Roster, kept: str = TEXT) -> DataFra
     rows = anchors.select(
         F.lit("grounding_anchor").alias("track"), F.col("source").alias("recording"), F.col("id").cast("string").alias("name"),
         anchor_start_ms(F.col("temporal_anchor")).alias("start_ms"), F.col("row_id").cast("long").alias("ord"), said.alias("parts"),
-        F.xxhash64("temporal_anchor", "speaker", "extracted_verbatim").alias("tie"),
     )
-    return _first_of(rows, ["ord", "tie"])
+    return _first_of(rows, ["ord"])
 
 
 def speaker_parts(rows: DataFrame, bucket_ms: int = BUCKET_MS, break_ms: int = BREAK_MS, with_words: bool = True) -> DataFrame:
