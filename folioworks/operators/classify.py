@@ -53,6 +53,13 @@ UPLOAD_KINDS = {
     "avi": "video", "flac": "audio", "flv": "video", "jpeg": "image", "jpg": "image", "m4a": "audio", "mkv": "video", "mov": "video", "mp3": "audio",
     "mp4": "video", "ogg": "audio", "png": "image", "wav": "audio", "webm": "video", "webp": "image",
 }
+#: Inspectors in the order in which they are asked: name, category, extension, MIME type. Add your own here.
+INSPECTORS = [
+    ("text", "text", "txt", "text/plain"),
+    ("pdf", "document", "pdf", "application/pdf"),
+    ("docx", "document", "docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+]
+NO_INSPECTOR = "no inspector registered for media category"
 OUTPUT_KEYS = {
     "advisory": "advisory",
     "exec_summary": "exec_summary",
@@ -165,6 +172,21 @@ def upload_kind(name: Column) -> Column:
     return F.coalesce(F.try_element_at(_lookup(UPLOAD_KINDS), extension(name)), F.lit("text"))
 
 
+def inspector_of(category: Column, ext: Column, mime: Column) -> Column:
+    """The first inspector of a file's category that knows its extension or its MIME type; null if none does."""
+    known = [F.when((category == c) & (F.coalesce(ext == e, F.lit(False)) | F.coalesce(mime == m, F.lit(False))), n) for n, c, e, m in INSPECTORS]
+    return F.coalesce(*known, F.lit(None).cast("string"))
+
+
+def only_inspector(category: Column) -> Column:
+    """The inspector of a bare category; null where it has none or several."""
+    names: dict[str, list[str]] = {}
+    for n, c, _, _ in INSPECTORS:
+        names.setdefault(c, []).append(n)
+    one = {c: ns[0] for c, ns in names.items() if len(ns) == 1}
+    return F.try_element_at(_lookup(one), category) if one else F.lit(None).cast("string")
+
+
 def output_key(alias: Column) -> Column:
     """The key of an output type; unknown aliases stay as they are."""
     return F.coalesce(F.try_element_at(_lookup(OUTPUT_KEYS), alias), alias)

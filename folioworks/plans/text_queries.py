@@ -319,7 +319,9 @@ def keyframe_types(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("t")
     kind = classify.visual_type(t, F.pmod(F.col("doc_id") * 37, F.lit(256)), F.pmod(F.col("doc_id"), F.lit(7)))
     rows = _reports(spark, d).where("t is not null").select(*KEYS, "t", kind.alias("visual_type"))
-    return rows.select(*KEYS, "visual_type", rendering.visual_content(F.col("visual_type"), t).alias("content"))
+    rows = indicators.with_indicators(rows, "t")
+    shown = F.concat("cves", "ipv4_addresses", "sha256_hashes", "domains")  # in this order, nothing taken out
+    return rows.select(*KEYS, "visual_type", rendering.visual_content(F.col("visual_type"), t).alias("content"), F.array_join(shown, "|").alias("iocs"))
 
 
 _W = r"len(regexp_extract_all(t, '\S+'))"
@@ -327,10 +329,10 @@ _TERM = "(" + " + ".join(f"cast(regexp_matches(t, {_re(p)}) as int)" for p in cl
 _DIAG = "(" + " + ".join(f"cast(contains(lower(t), '{w}') as int)" for w in classify.DIAGRAM_WORDS) + ")"
 _SLIDE = "(" + " + ".join(f"cast(contains(lower(t), '{w}') as int)" for w in classify.SLIDE_WORDS) + ")"
 KEYFRAME_SQL = rf"""
-with r as (select doc_id, processed_at, clean_markdown t, doc_id * 37 % 256 br, doc_id % 7 bx from source_context where clean_markdown is not null),
+with r as (select doc_id, processed_at, clean_markdown t, doc_id * 37 % 256 br, doc_id % 7 bx from source_context where clean_markdown is not null),{_IOC_LISTS},
 v as (select *, case when br < 110 and ({_TERM} >= 1 or contains(lower(t), 'powershell') or contains(lower(t), 'root@') or contains(t, '$ ')) or ({_TERM} >= 2 and {_W} > 5) then 'TERMINAL'
   when (bx >= 4 and {_W} < 60) or (bx >= 2 and {_DIAG} >= 2) then 'DIAGRAM'
-  when {_W} >= 15 or {_SLIDE} >= 1 or len(list_filter({_LINES.format(t="t")}, lambda x: regexp_matches({_STRIP.format(x="x")}, '^(?:[-*•]|[123]\.)'))) > 0 then 'SLIDE' else 'OTHER' end visual_type from r),
+  when {_W} >= 15 or {_SLIDE} >= 1 or len(list_filter({_LINES.format(t="t")}, lambda x: regexp_matches({_STRIP.format(x="x")}, '^(?:[-*•]|[123]\.)'))) > 0 then 'SLIDE' else 'OTHER' end visual_type from l),
 s as (select *, list_filter(list_transform({_LINES.format(t="t")}, lambda x: {_STRIP.format(x="x")}), lambda x: x <> '') ls,
   regexp_extract_all(t, '(?:/[a-zA-Z0-9_\.\-]+)+|(?:[C-Z]:\\[a-zA-Z0-9_\.\-\\]+)') pa,
   list_transform(list_filter({_LINES.format(t="t")}, lambda x: length({_STRIP.format(x="x")}) > 3), lambda x: regexp_replace(x, '[^a-zA-Z0-9_\- ]', '', 'g'))[1:4] nm from v)
@@ -340,7 +342,7 @@ select doc_id, processed_at, visual_type, case visual_type
   when 'DIAGRAM' then '#### 📊 Architecture / Attack Flow Diagram' || chr(10) || chr(10) || case when len(nm) >= 2 then '```mermaid' || chr(10) || 'flowchart LR' || chr(10) ||
      array_to_string(list_concat(list_transform(nm, lambda x, i: '    N' || (i - 1) || '["' || x || '"]'), list_transform(nm[2:], lambda x, i: '    N' || (i - 1) || ' --> N' || i)), chr(10)) || chr(10) || '```'
      else '```mermaid' || chr(10) || 'flowchart LR' || chr(10) || '    A[Threat Actor] -->|Inbound Vector| B[Target Network]' || chr(10) || '```' end || chr(10) || chr(10) || '**Narrative:** System architecture diagram illustrating network topology and threat pathways.'
-  else '*(Scene Visual: Visual scene displaying presenter briefing or transition slide.)*' || case when t <> '' then chr(10) || '> ' || t else '' end end content from s"""
+  else '*(Scene Visual: Visual scene displaying presenter briefing or transition slide.)*' || case when t <> '' then chr(10) || '> ' || t else '' end end content, array_to_string(list_concat(list_concat(cves, ipv4_addresses), list_concat(sha256_hashes, domains)), '|') iocs from s"""
 
 _FILES_SPARK = (
     ("'/in/' || file_name", "case doc_id % 4 when 0 then 'text/plain; charset=utf-8' when 1 then 'application/pdf' when 2 then 'application/octet-stream' end"),
@@ -372,6 +374,28 @@ select doc_id, processed_at, nm as name, ext, case when ec is not null and mc is
  case when can is null then 'file type not supported' when coalesce(mt, '') in ({", ".join(repr(x) for x in classify.UPLOAD_TYPES.values())}) and mt <> can then 'content type does not match file extension' end as error from c"""
 
 
+def file_inspectors(spark: SparkSession, d: str) -> DataFrame:
+    """Which inspector reads every file, or why none does, by its name and MIME type and by its category alone; its size in kilobytes."""
+    name, mime = F.expr(_FILES_SPARK[0][0]), F.expr(_FILES_SPARK[0][1])
+    rows = table(spark, d, "source_context").select(
+        *KEYS, classify.media_category(name, mime).alias("category"), classify.extension(name).alias("ext"), classify.mime_type(mime).alias("mime"),
+        T.kilobytes(F.col("file_size_bytes")).alias("kb"),
+    )
+    found = classify.inspector_of(F.col("category"), F.col("ext"), F.col("mime"))
+    return rows.select(
+        *KEYS, "category", found.alias("inspector"), F.when(found.isNull(), classify.NO_INSPECTOR).alias("reason"),
+        classify.only_inspector(F.col("category")).alias("by_category"), "kb",
+    )
+
+
+INSPECTOR_SQL = FORMAT_SQL[: FORMAT_SQL.index("select doc_id, processed_at, nm as name")].rstrip() + """,
+f as (select *, case when ec is not null and mc is not null and ec <> mc then 'unknown' else coalesce(ec, mc, 'unknown') end category from c),
+i as (select *, case when category = 'text' and (ext = 'txt' or mt = 'text/plain') then 'text' when category = 'document' and (ext = 'pdf' or mt = 'application/pdf') then 'pdf'
+  when category = 'document' and (ext = 'docx' or mt = 'application/vnd.openxmlformats-officedocument.wordprocessingml.document') then 'docx' end inspector from f)
+select doc_id, processed_at, category, inspector, case when inspector is null then 'no inspector registered for media category' end reason,
+ case when category = 'text' then 'text' end by_category, round(file_size_bytes / 1024, 2) kb from i"""
+
+
 def sensitive_detect(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "final_deliverable").select("row_id", F.explode(redaction.sensitive_flags(F.col("final_content"))).alias("f"))
     return rows.select("row_id", "f.match", "f.type", "f.location")
@@ -565,13 +589,13 @@ QUERIES = {
     for f in (
         ext_indicators, ext_totals, ext_by_kind, ext_artifacts, ext_threat, doc_stats, text_tables, aligned_tables, text_chunks, grounding_headers,
         groundings, overviews, citations, fact_citations, normalized_reports, ocr_cleanup, keyframe_types, file_formats, sensitive_detect, sensitive_redacted, salvaged_answers,
-        recovered_groundings, deliverable_snippets, combined_reports, draft_points, word_files,
+        recovered_groundings, deliverable_snippets, combined_reports, draft_points, word_files, file_inspectors,
     )
 }
 SQL = {
     "ext_indicators": EXT_SQL, "ext_totals": TOTALS_SQL, "ext_by_kind": KIND_SQL, "ext_artifacts": ARTIFACT_SQL, "ext_threat": THREAT_SQL,
     "doc_stats": STATS_SQL, "text_tables": TABLE_SQL, "aligned_tables": ALIGNED_SQL, "text_chunks": CHUNK_SQL, "overviews": OVERVIEW_SQL,
     "citations": CITATION_SQL, "normalized_reports": NORMAL_SQL, "ocr_cleanup": OCR_SQL, "keyframe_types": KEYFRAME_SQL,
-    "file_formats": FORMAT_SQL, "sensitive_detect": DETECT_SQL, "sensitive_redacted": REDACTED_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL, "groundings": GROUNDED_SQL, "grounding_headers": HEADER_SQL,
+    "file_formats": FORMAT_SQL, "file_inspectors": INSPECTOR_SQL, "sensitive_detect": DETECT_SQL, "sensitive_redacted": REDACTED_SQL, "deliverable_snippets": SNIPPET_SQL, "combined_reports": COMBINED_SQL, "draft_points": POINTS_SQL, "word_files": WORD_SQL, "fact_citations": FACT_SQL, "groundings": GROUNDED_SQL, "grounding_headers": HEADER_SQL,
     "salvaged_answers": SALVAGED_SQL, "recovered_groundings": RECOVERED_SQL,
 }
