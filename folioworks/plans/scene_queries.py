@@ -398,6 +398,20 @@ select source, concat_ws(chr(10), '# Image Briefing', '', '## Overview', 'Visibl
     "{CVE}", indicators.CVE
 )
 
+def parsed_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Every anchor as it comes out of a model's answer: a fenced object under other field names, with what is missing filled in."""
+    a = table(spark, d, "grounding_anchor")
+    item = F.struct("id", F.col("temporal_anchor").alias("anchor"), F.col("extracted_verbatim").alias("text"), F.col("category").alias("entity_type"), "confidence")
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(item.alias("anchors"))), F.lit("\n```"))
+    return a.select("row_id", F.inline(grounding.anchors_of(answer)))
+
+
+PARSED_SQL = r"""
+select row_id, coalesce(nullif(id, ''), 'src-1') id, coalesce(nullif(temporal_anchor, ''), 'Central Visual Field') anchor,
+ regexp_replace(coalesce(extracted_verbatim, ''), '^\s+|\s+$', '', 'g') extracted_verbatim, coalesce(nullif(category, ''), 'CORE_CONCEPT') category,
+ coalesce(nullif(confidence, 0), 0.95) confidence from grounding_anchor"""
+
+
 CITED_SQL = ALIGNED_SQL.replace("\nselect sc.video_id", ",\nal as (select sc.video_id") + """),
 an as (select source, id, min_by({'a': coalesce(temporal_anchor, '00:00'), 't': extracted_verbatim}, row_id) r from grounding_anchor
   where source is not null and id is not null and extracted_verbatim is not null group by all),
@@ -414,11 +428,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scene_bounds, aligned_scenes, scene_indicators, fallback_scenes, event_cuts, unlike_vectors, sample_points, histogram_shift, video_reports,
-        anchor_reports, video_indicators, video_totals, video_groundings, video_documents, media_citations, speech_segments, image_reports,
+        anchor_reports, video_indicators, video_totals, video_groundings, video_documents, media_citations, speech_segments, image_reports, parsed_anchors,
     )
 }
 SQL = {
     "scene_bounds": _BASE_SQL + "select * from sc", "aligned_scenes": ALIGNED_SQL, "scene_indicators": SCENE_IOC_SQL, "fallback_scenes": FALLBACK_SQL,
     "event_cuts": CUTS_SQL, "unlike_vectors": UNLIKE_SQL, "sample_points": POINT_SQL, "histogram_shift": HIST_SQL, "anchor_reports": ANCHOR_SQL,
-    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL, "media_citations": CITED_SQL, "speech_segments": SPEECH_SQL, "image_reports": IMAGE_SQL,
+    "video_indicators": VIDEO_SQL, "video_totals": TOTALS_SQL, "video_groundings": VG_SQL, "video_reports": REPORTS_SQL, "video_documents": DOCUMENTS_SQL, "media_citations": CITED_SQL, "speech_segments": SPEECH_SQL, "image_reports": IMAGE_SQL, "parsed_anchors": PARSED_SQL,
 }

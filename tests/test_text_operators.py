@@ -168,3 +168,26 @@ def test_wrapping_puts_texts_together():
     assert wrap_sensitive("") == ("", []) and wrap_sensitive(None) == (None, []) and wrap_sensitive("plain")[1] == []
     long, flags = wrap_sensitive(" ".join(f"10.0.{i // 250}.{i % 250}" for i in range(20_000)))
     assert len(flags) == 20_000 and long.count("[SENSITIVE:") == 20_000
+
+
+def test_inspectors(spark):
+    docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    cases = [("text", "txt", None, "text"), ("text", "md", "text/plain", "text"), ("text", "md", None, None), ("document", "pdf", docx, "pdf"), ("document", None, docx, "docx"),
+             ("document", "odt", None, None), ("image", "pdf", "application/pdf", None), (None, "txt", None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, c string, e string, m string, want string")
+    for r in df.select("*", classify.inspector_of(F.col("c"), F.col("e"), F.col("m")).alias("got"), classify.only_inspector(F.col("c")).alias("only")).collect():
+        assert r.got == r.want and r.only == ("text" if r.c == "text" else None), r
+
+
+def test_filled_sentences(spark):
+    cols = {"a": F.lit("x"), "b": F.lit("y")}
+    row = spark.range(1).select(grounding.filled("{a} and {b}.", **cols).alias("s"), grounding.filled("plain", **cols).alias("p"), grounding.filled(("{b}", "z {a}"), **cols).alias("l")).first()
+    assert (row.s, row.p, row.l) == ("x and y.", "plain", ["y", "z x"])
+
+
+def test_spoken_segments(spark):
+    from folioworks.operators.alignment import spoken_segments
+
+    rows = [("v", 1, 0.004, 10.075, " a "), ("v", 2, 1.0, 2.0, "  "), ("v", 3, None, 2.555, "b"), ("v", 4, -0.001, 1.0, None)]
+    got = spoken_segments(spark.createDataFrame(rows, "v string, i int, s double, e double, t string"), ["v", "i"], "s", "e", "t").collect()
+    assert [tuple(r) for r in got] == [("v", 1, 0.0, 10.07, "a"), ("v", 3, None, 2.55, "b")]
