@@ -126,7 +126,7 @@ def spoken_segments(df: DataFrame, keys: list[str], start: str, end: str, text:
     Numbers of segments stay as they are, so they have gaps where a segment was empty.
     """
     said = strip(F.col(text))
-    cents = lambda c: F.round(F.col(c) * 100) / 100 + F.lit(0.0)  # noqa: E731  (of the number itself, not of the decimal it is written as)
+    cents = lambda c: F.round(F.col(c) * 100) / 100 + F.lit(0.0)  # noqa: E731  (of a hundred times the number, not of the decimal it is written as)
     return df.where(F.coalesce(said, F.lit("")) != "").select(*keys, cents(start).alias("start_seconds"), cents(end).alias("end_seconds"), said.alias("text"))
 
 

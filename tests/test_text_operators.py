@@ -190,4 +190,4 @@ def test_spoken_segments(spark):
 
     rows = [("v", 1, 0.004, 10.075, " a "), ("v", 2, 1.0, 2.0, "  "), ("v", 3, None, 2.555, "b"), ("v", 4, -0.001, 1.0, None)]
     got = spoken_segments(spark.createDataFrame(rows, "v string, i int, s double, e double, t string"), ["v", "i"], "s", "e", "t").collect()
-    assert [tuple(r) for r in got] == [("v", 1, 0.0, 10.07, "a"), ("v", 3, None, 2.55, "b")]
+    assert [tuple(r) for r in got] == [("v", 1, 0.0, 10.07, "a"), ("v", 3, None, 2.56, "b")]
