@@ -221,12 +221,13 @@ def _phone_shape(s: str) -> float:
 def fit(texts: Iterable[str], given: Iterable[str], family: Iterable[str]) -> Model:
     """The model of a sample of texts: scores of contexts and words (``fit_scores``), then edge potentials (``fit_potentials``)."""
     texts = [x for x in texts if x]
-    m = fit_scores(texts, given, family)
-    fit_potentials(texts, m)
+    rows = [tokenize(x) for x in texts]
+    m = fit_scores(rows, given, family)
+    fit_potentials(texts, m, rows)
     return m
 
 
-def fit_scores(texts: Iterable[str], given: Iterable[str], family: Iterable[str]) -> Model:
+def fit_scores(rows: list[Tokens], given: Iterable[str], family: Iterable[str]) -> Model:
     """Fits the context and word scores from texts whose certain mentions are the labels.
 
     Certain names are known full names and capitalised words after a title; certain phone numbers are
@@ -234,7 +235,6 @@ def fit_scores(texts: Iterable[str], given: Iterable[str], family: Iterable[str]
     other runs and numbers score low; words then are scored by the contexts they occur in.
     """
     m = Model(frozenset(x.lower() for x in given if x), frozenset(x.lower() for x in family if x))
-    rows = [tokenize(x) for x in texts]
     small, big = Counter(), Counter()
     for t in rows:
         for i, (k, s, w) in enumerate(zip(t.kind, t.text, t.low, strict=True)):
@@ -504,19 +504,20 @@ class Graph:
         return infer(unary, np.array(self.chain, np.int64).reshape(-1, 2), links, rounds, m.chain_table, m.link_table)
 
 
-def graph(texts: list[str | None], m: Model) -> Graph:
+def graph(texts: list[str | None], m: Model, rows: list[Tokens] | None = None) -> Graph:
     """The field over all texts of a batch: a node for each token that may belong to a mention.
 
     Neighbouring nodes are chained. A node is linked to the last earlier node of its text that is the same
     word (without case, accents or possessive), the same number (its last nine letters and digits, however
-    grouped), or the given name an initial before the same family name stands for.
+    grouped), or the given name an initial before the same family name stands for. ``rows`` are the texts'
+    tokens, if they are there already.
     """
     g = Graph()
     for row, text in enumerate(texts):
         if not text:
             g.tokens.append(None)
             continue
-        t = tokenize(text)
+        t = tokenize(text) if rows is None else rows[row]
         t.source = text
         g.tokens.append(t)
         seen: dict = {}
@@ -549,14 +550,14 @@ def graph(texts: list[str | None], m: Model) -> Graph:
     return g
 
 
-def fit_potentials(texts: list[str], m: Model, rounds: int = 2) -> None:
+def fit_potentials(texts: list[str], m: Model, rows: list[Tokens] | None = None, rounds: int = 2) -> None:
     """Estimates the edge potentials from the sample, by labels inferred with the potentials so far.
 
     A potential is the log-odds of two labels on an edge against independent labels, with the stated
     potentials as 50 observations a label pair, between -3 and 3. Labels of unlinked, unchained tokens don't
     matter, so the estimate is that of a pseudo-likelihood's first step, repeated ``rounds`` times.
     """
-    g = graph(texts, m)
+    g = graph(texts, m, rows)
     if not g.unary:
         return
     prior_chain, prior_link = m.chain_table, m.link_table
